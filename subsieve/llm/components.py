@@ -1,0 +1,38 @@
+"""Connected components of a link table, as repeated star operations on DataFrames."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import materialize
+
+
+def components(links: DataFrame) -> DataFrame:
+    """(node, root) for each node of `links` (a, b long): root is the smallest node that can be reached.
+
+    Alternates two operations until the table stays as it is. Large star: each node ties its larger neighbours to its
+    smallest one. Small star: each node ties its smaller neighbours and itself to the smallest. The minimum of a node is
+    an aggregate (summed before the shuffle) that is joined back, so a node with very many links is never gathered in
+    one task. Each round is written to the shared folder. Self links and repeated links don't matter; no links: no rows.
+    """
+    now = materialize(_oriented(links), "links")
+    was = None
+    while was != (state := _state(now)):
+        was = state
+        both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
+        large = _oriented(both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")))
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        tied = large.join(least, "a")
+        now = materialize(_oriented(tied.select("b", "m").toDF("a", "b").union(least.select("a", "m").toDF("a", "b"))), "links")
+    return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+
+
+def _oriented(links: DataFrame) -> DataFrame:
+    """Each link once, from its larger to its smaller node."""
+    return links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a > b").distinct()
+
+
+def _state(links: DataFrame) -> tuple:
+    return tuple(links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
