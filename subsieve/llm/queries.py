@@ -1,6 +1,11 @@
 """Names of this subpackage's queries and their SQL."""
 
-from . import mixing, nearest, simhash
+from . import mixing, nearest, secrets, simhash
 
-QUERIES = {"op1_source_mixing": mixing.op1, "op8_simhash": simhash.op8, "op9_multi_index": nearest.op9}
+QUERIES = {
+    "op1_source_mixing": mixing.op1,
+    "op4_secrets": secrets.op4,
+    "op8_simhash": simhash.op8,
+    "op9_multi_index": nearest.op9,
+}
 ORACLES = {"op1_source_mixing": mixing.OP1_SQL}
