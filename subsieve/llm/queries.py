@@ -1,10 +1,11 @@
 """Names of this subpackage's queries and their SQL."""
 
-from . import mixing, nearest, secrets, simhash
+from . import bpe, mixing, nearest, secrets, simhash
 
 QUERIES = {
     "op1_source_mixing": mixing.op1,
     "op4_secrets": secrets.op4,
+    "op6_byte_bpe": bpe.op6,
     "op8_simhash": simhash.op8,
     "op9_multi_index": nearest.op9,
 }
