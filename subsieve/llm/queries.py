@@ -1,12 +1,14 @@
 """Names of this subpackage's queries and their SQL."""
 
-from . import bpe, mixing, nearest, secrets, simhash
+from . import bpe, jpeg, mixing, nearest, secrets, simhash, warc
 
 QUERIES = {
     "op1_source_mixing": mixing.op1,
+    "op2_jpeg": jpeg.op2,
+    "op3_warc": warc.op3,
     "op4_secrets": secrets.op4,
     "op6_byte_bpe": bpe.op6,
     "op8_simhash": simhash.op8,
     "op9_multi_index": nearest.op9,
 }
-ORACLES = {"op1_source_mixing": mixing.OP1_SQL}
+ORACLES = {"op1_source_mixing": mixing.OP1_SQL, "op3_warc": warc.OP3_SQL}
