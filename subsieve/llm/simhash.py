@@ -63,12 +63,16 @@ def near_links(fps: DataFrame) -> DataFrame:
     All such pairs, but for pairs that only meet in crowded keys: these come as links to the smallest fingerprint they
     meet in a value, which join the same fingerprints into groups.
     """
-    i = F.explode(F.sequence(F.lit(0), F.lit(63))).alias("i")
-    keys = fps.select("fp", i).select("fp", "i", _key(F.col("i")).alias("key"))
+    keys = fps.select("fp", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("i")).select("fp", _key(F.col("i")).alias("key"))
     per_key = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).filter("n > 1")
     per_key = materialize(per_key, "keys")
     two = per_key.filter("n = 2").filter("bit_count(a ^ b) <= 2").select("a", "b")
-    shared = materialize(keys.join(per_key.filter("n > 2").select("key", "n"), "key"), "shared")
+    # a key has two values of its half: so the fingerprints of the keys with more of them are found by their halves
+    more = per_key.filter("n > 2").selectExpr("key", "n", "cast(key >> 32 as int) as i", "key & 4294967295L as rest")
+    more = more.selectExpr("key", "n", "i", "i div 32 as side", "explode(array(rest, rest | shiftleft(1L, i % 32))) as half")
+    halves = fps.select("fp", F.explode(F.array(F.lit(0).cast("long"), F.lit(1).cast("long"))).alias("side"))
+    halves = halves.selectExpr("fp", "side", "shiftrightunsigned(fp, cast(32 * side as int)) & 4294967295L as half")
+    shared = materialize(more.join(halves, ["side", "half"]).select("key", "i", "n", "fp"), "shared")
     # within a key, a pair counts at the bit where its halves differ, or at bit 0 if they are equal
     near = "bit_count(x ^ y) <= 2 and ((shiftrightunsigned(x ^ y, 32 * (i div 32)) & 4294967295L) in (shiftleft(1L, i % 32), if(i % 32 = 0, 0L, -1L)))"
     some = shared.filter(f"n <= {CROWD}").groupBy("key", "i").agg(F.collect_list("fp").alias("all"))
