@@ -1,6 +1,6 @@
 """Names of this subpackage's queries and their SQL."""
 
-from . import bpe, jpeg, mixing, nearest, secrets, simhash, warc
+from . import bpe, jpeg, mixing, nearest, quality, repeats, secrets, simhash, warc
 
 QUERIES = {
     "op1_source_mixing": mixing.op1,
@@ -8,7 +8,9 @@ QUERIES = {
     "op3_warc": warc.op3,
     "op4_secrets": secrets.op4,
     "op6_byte_bpe": bpe.op6,
+    "op7_suffix_array": repeats.op7,
     "op8_simhash": simhash.op8,
     "op9_multi_index": nearest.op9,
+    "op10_quality": quality.op10,
 }
 ORACLES = {"op1_source_mixing": mixing.OP1_SQL, "op3_warc": warc.OP3_SQL}
