@@ -20,10 +20,10 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-BITS = 20  # of the hash that features share
+BITS = 22  # of the hash that features share
 SAMPLE = 12_000  # rated documents that the model is fitted on, at most
 LEAST_DOCS = 5  # documents of the sample that a feature must be in
-LEAST_Z, LEAST_OFF = 5.0, 0.5  # standard errors, and grades, by which the mean grade of its documents must be off
+LEAST_Z, LEAST_OFF = 4.0, 0.5  # standard errors, and grades, by which the mean grade of its documents must be off
 ROUNDS, RATE, PENALTY = 400, 0.3, 1e-5
 KEEP = 0.8  # least tail probability of documents that stay
 _REMEMBERED = 400_000
