@@ -21,44 +21,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialize, table, text_or_empty
+from .hashing import Hashes, mixed
 from .suffixes import permuted_prefixes, suffix_array
 
 SPAN, GRAM = 200, 32
 WINDOW = SPAN - GRAM + 1  # pieces of a string
 CROWD = 200
 SHARD_BYTES = 2 << 20
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
 _AT_ONCE = 1 << 20  # bytes whose hashes are held at a time
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
-
-
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
-    return x ^ x >> np.uint64(31)
-
-
-class _Hashes:
-    """Polynomial hashes of any range of a text, mod 2^64, mixed."""
-
-    power, inverse = _powers(_BASE, 1 << 16), _powers(_INVERSE, 1 << 16)
-
-    def __init__(self, data: np.ndarray):
-        n = len(data) + 1
-        if len(self.power) < n:
-            _Hashes.power, _Hashes.inverse = _powers(_BASE, 2 * n), _powers(_INVERSE, 2 * n)
-        self.sums = np.append(np.uint64(0), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * self.power[: n - 1]))
-
-    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return _mixed((self.sums[end] - self.sums[start]) * self.inverse[start])
-
-
 def lowest_in_windows(h: np.ndarray, width: int) -> np.ndarray:
     """Of each `width` neighbours of h, the place of the lowest, leftmost of equals; from running minima of blocks."""
     n = len(h)
@@ -88,14 +60,14 @@ def anchors(data: bytes):
     whole = np.frombuffer(data, np.uint8)
     for begin in range(0, max(0, len(whole) - SPAN + 1), _AT_ONCE):
         part = whole[begin : begin + _AT_ONCE + SPAN - 1]  # a run cut by a block's end is two rows
-        hashes = _Hashes(part)
+        hashes = Hashes(part)
         grams = np.arange(len(part) - GRAM + 1)
         h = hashes.of(grams, grams + GRAM)
         low = lowest_in_windows(h, WINDOW)
         first = np.flatnonzero(np.append(True, low[1:] != low[:-1]))
         last = np.append(first[1:], len(low)) - 1
         # where the anchor is in the segment counts too: the same bytes around another anchor are other strings
-        segment = hashes.of(first, last + SPAN) ^ _mixed((low[first] - first).astype(np.uint64) << np.uint64(32) | (last - first).astype(np.uint64))
+        segment = hashes.of(first, last + SPAN) ^ mixed((low[first] - first).astype(np.uint64) << np.uint64(32) | (last - first).astype(np.uint64))
         yield h[low[first]].view(np.int64), segment.view(np.int64), begin + first, begin + last
 
 
