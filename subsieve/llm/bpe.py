@@ -192,11 +192,11 @@ def fold_words(words: DataFrame, path: str) -> DataFrame:
     return words.select("word", F.transform(folded, rank).alias("ids"))
 
 
-def _digests(docs: DataFrame) -> DataFrame:
+def digests(docs: DataFrame) -> DataFrame:
     path = public_tokenizers.path(RANK_FILE)
     d = decode(encode(docs, path), path)
     return d.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _digests(table(spark, sf_dir, "documents"))
+    return digests(table(spark, sf_dir, "documents"))
