@@ -1 +1,5 @@
+"""Registered queries over the given tables, each with its SQL."""
 
+from . import audit
+
+MODULES = [audit]
