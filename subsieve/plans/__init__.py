@@ -1,5 +1,5 @@
 """Registered queries over the given tables, each with its SQL."""
 
-from . import audit
+from . import audit, tables
 
-MODULES = [audit]
+MODULES = [audit, tables]
