@@ -32,5 +32,6 @@ class Hashes:
             Hashes.power, Hashes.inverse = _powers(_BASE, 2 * n), _powers(_INVERSE, 2 * n)
         self.sums = np.append(np.uint64(0), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * self.power[: n - 1]))
 
-    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    def of(self, start: np.ndarray | slice, end: np.ndarray | slice) -> np.ndarray:
+        """Of the ranges from each start to each end; slices take the place of neighbouring numbers."""
         return mixed((self.sums[end] - self.sums[start]) * self.inverse[start])

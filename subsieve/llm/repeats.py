@@ -26,67 +26,90 @@ from .suffixes import permuted_prefixes, suffix_array
 
 SPAN, GRAM = 200, 32
 WINDOW = SPAN - GRAM + 1  # pieces of a string
-CROWD = 200
+CROWD = 2000
+SIDE = (SPAN - GRAM) // 2  # a string has this many bytes to the left of its anchor, or more than that to the right
 SHARD_BYTES = 2 << 20
-_AT_ONCE = 1 << 20  # bytes whose hashes are held at a time
+_AT_ONCE = 1 << 17  # bytes whose hashes are held at a time
 
 
 def lowest_in_windows(h: np.ndarray, width: int) -> np.ndarray:
-    """Of each `width` neighbours of h, the place of the lowest, leftmost of equals; from running minima of blocks."""
+    """Of each `width` (up to 256) neighbours of h, the place of the lowest 24 high bits, leftmost of equals.
+
+    A window is the end of a block and the start of the next: running minima from both sides of (bits, place in the
+    block) give the leftmost lowest of each part.
+    """
     n = len(h)
-    blocks = np.full(-(-n // width) * width, np.iinfo(np.uint64).max, np.uint64)
-    blocks[:n] = h
+    blocks = np.full(-(-n // width) * width, 0xFFFFFFFF, np.uint32)
+    blocks[:n] = (h >> np.uint64(40)).astype(np.uint32) << np.uint32(8)
     blocks = blocks.reshape(-1, width)
-    at = np.arange(width)
-
-    def running(b: np.ndarray, ties: bool) -> tuple[np.ndarray, np.ndarray]:
-        low = np.minimum.accumulate(b, axis=1)
-        new = np.ones(b.shape, bool)
-        new[:, 1:] = b[:, 1:] <= low[:, :-1] if ties else b[:, 1:] < low[:, :-1]
-        return low, np.maximum.accumulate(np.where(new, at, 0), axis=1)
-
-    head, head_at = running(blocks, False)
-    tail, tail_at = running(blocks[:, ::-1], True)
-    tail, tail_at = tail[:, ::-1].ravel(), (width - 1 - tail_at[:, ::-1]).ravel()
-    base = np.repeat(np.arange(len(blocks)) * width, width)
-    s = np.arange(n - width + 1)
-    e = s + width - 1
-    left = (tail[s] <= head.ravel()[e]) | (base[s] == base[e])
-    return np.where(left, base[s] + tail_at[s], base[e] + head_at.ravel()[e])
-
-
-def anchors(data: bytes):
-    """Blocks of (anchor hash, segment hash, first start, last start): a row for each run of strings with one anchor."""
+    blocks |= np.arange(width, dtype=np.uint32)
+    m = n - width + 1
+    head = np.minimum.accumulate(blocks, axis=1).ravel()[width - 1 : width - 1 + m]
+    tail = np.ascontiguousarray(np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1]).ravel()[:m]
+    base = np.arange(0, len(blocks) * width, width).repeat(width)
+    left = (tail >> np.uint32(8)) <= (head >> np.uint32(8))
+    left[::width] = True  # a window that is a block
+    return np.where(left, base[:m] + (tail & np.uint32(255)), base[width - 1 : width - 1 + m] + (head & np.uint32(255)))
+
+
+def anchors(data: bytes, ends: np.ndarray | None = None):
+    """(anchor hash, segment hash, first start, last start, text number) of each run of strings with one anchor.
+
+    `data` holds texts one after another that end at `ends`; strings don't cross ends.
+    """
     whole = np.frombuffer(data, np.uint8)
-    for begin in range(0, max(0, len(whole) - SPAN + 1), _AT_ONCE):
-        part = whole[begin : begin + _AT_ONCE + SPAN - 1]  # a run cut by a block's end is two rows
-        hashes = Hashes(part)
-        grams = np.arange(len(part) - GRAM + 1)
-        h = hashes.of(grams, grams + GRAM)
-        low = lowest_in_windows(h, WINDOW)
-        first = np.flatnonzero(np.append(True, low[1:] != low[:-1]))
-        last = np.append(first[1:], len(low)) - 1
-        # where the anchor is in the segment counts too: the same bytes around another anchor are other strings
-        segment = hashes.of(first, last + SPAN) ^ mixed((low[first] - first).astype(np.uint64) << np.uint64(32) | (last - first).astype(np.uint64))
-        yield h[low[first]].view(np.int64), segment.view(np.int64), begin + first, begin + last
+    if len(whole) < SPAN:
+        return
+    ends = np.array([len(whole)]) if ends is None else ends
+    hashes = Hashes(whole)
+    h = hashes.of(slice(0, len(whole) - GRAM + 1), slice(GRAM, len(whole) + 1))
+    low = lowest_in_windows(h, WINDOW)
+    begins = np.append(0, ends[:-1])
+    inside = np.zeros(len(low) + 1, np.int32)
+    some = np.flatnonzero(ends - begins >= SPAN)
+    inside[begins[some]] += 1
+    inside[ends[some] - SPAN + 1] -= 1
+    ok = np.cumsum(inside[:-1]) > 0
+    new = np.append(True, (low[1:] != low[:-1]) | (ok[1:] != ok[:-1]))
+    new[begins[some]] = True
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(low)) - 1
+    first, last = first[ok[first]], last[ok[first]]
+    # where the anchor is in the segment counts too: the same bytes around another anchor are other strings
+    segment = hashes.of(first, last + SPAN) ^ mixed((low[first] - first).astype(np.uint64) << np.uint64(32) | (last - first).astype(np.uint64))
+    owner = np.searchsorted(ends, first, side="right")
+    return h[low[first]].view(np.int64), segment.view(np.int64), first - begins[owner], last - begins[owner], owner
+
+
+def _groups(rows):
+    """Rows (k, text) as (list of k, bytes, ends, offset of the first text), of about _AT_ONCE bytes; longer texts in parts."""
+    keys, parts, size = [], [], 0
+    for k, t in rows:
+        data = t.encode()
+        if len(data) > _AT_ONCE:
+            for begin in range(0, len(data) - SPAN + 1, _AT_ONCE):  # a run cut by a part's end is two rows
+                part = data[begin : begin + _AT_ONCE + SPAN - 1]
+                yield [k], part, np.array([len(part)]), begin
+        elif len(data) >= SPAN:
+            keys.append(k)
+            parts.append(data)
+            size += len(data)
+            if size >= _AT_ONCE:
+                yield keys, b"".join(parts), np.cumsum([len(x) for x in parts]), 0
+                keys, parts, size = [], [], 0
+    if keys:
+        yield keys, b"".join(parts), np.cumsum([len(x) for x in parts]), 0
 
 
 def anchor_rows(docs: DataFrame) -> DataFrame:
     """(k, anchor, segment, s0, s1) of docs (k, text)."""
 
     def run(batches):
-        names = ["k", "anchor", "segment", "s0", "s1"]
         for b in batches:
-            held, size = [], 0
-            for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                for h, seg, s0, s1 in anchors(t.encode()):
-                    held.append((np.full(len(h), k), h, seg, s0.astype(np.int32), s1.astype(np.int32)))
-                    size += len(h)
-                if size >= 50_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)], names)
-                    held, size = [], 0
-            if held:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)], names)
+            for keys, data, ends, offset in _groups(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)):
+                h, segment, s0, s1, owner = anchors(data, ends)
+                columns = (np.array(keys, np.int64)[owner], h, segment, (s0 + offset).astype(np.int32), (s1 + offset).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["k", "anchor", "segment", "s0", "s1"])
 
     return docs.mapInArrow(run, "k long, anchor long, segment long, s0 int, s1 int")
 
@@ -94,20 +117,36 @@ def anchor_rows(docs: DataFrame) -> DataFrame:
 def repeated_starts(segments: list[bytes]) -> list[np.ndarray]:
     """For each of several different segments, at which places a string starts that also starts elsewhere in them."""
     sizes = np.array([len(x) for x in segments])
-    begin = np.cumsum(sizes + 1) - sizes - 1
-    s = np.zeros(int((sizes + 1).sum()), np.int32)  # 0 parts the segments
-    s[np.ones(len(s), bool) & ~np.isin(np.arange(len(s)), begin + sizes)] = np.frombuffer(b"".join(segments), np.uint8).astype(np.int32) + 1
+    ends = np.cumsum(sizes)
+    begin = ends - sizes
+    count = sizes - SPAN + 1
+    starts = np.arange(count.sum()) + np.repeat(begin - (np.cumsum(count) - count), count)
+    hashes = Hashes(np.frombuffer(b"".join(segments), np.uint8)).of(starts, starts + SPAN)
+    _, back, number = np.unique(hashes, return_inverse=True, return_counts=True)
+    starts = starts[number[back] > 1]
+    owner = np.searchsorted(ends, starts, side="right")
+    some, first = np.unique(owner, return_index=True)
+    low, high = (starts - begin[owner])[first], (starts - begin[owner])[np.append(first[1:], len(starts)) - 1] if len(some) else None
+    out = [np.zeros(0, np.int64)] * len(segments)
+    if len(some):
+        found = _by_suffixes([segments[i][a : b + SPAN] for i, a, b in zip(some, low, high, strict=True)])
+        for i, a, at in zip(some, low, found, strict=True):
+            out[i] = at + a
+    return out
+
+
+def _by_suffixes(segments: list[bytes]) -> list[np.ndarray]:
+    sizes = np.array([len(x) + 1 for x in segments])
+    begin = np.cumsum(sizes) - sizes
+    s = np.frombuffer(b"\0".join([*segments, b""]), np.uint8).astype(np.int32) + 1
+    s[begin + sizes - 1] = 0  # parts the segments
     order = suffix_array(s)
     before, common = permuted_prefixes(s, order)
     long = common >= SPAN
     long[before[long]] = True
     at = np.flatnonzero(long)
     owner = np.searchsorted(begin, at, side="right") - 1
-    return [at[owner == i] - begin[i] for i in range(len(segments))] if len(segments) < 50 else _split(at - begin[owner], owner, len(segments))
-
-
-def _split(values: np.ndarray, owner: np.ndarray, n: int) -> list[np.ndarray]:
-    return np.split(values, np.cumsum(np.bincount(owner, minlength=n))[:-1])
+    return np.split(at - begin[owner], np.cumsum(np.bincount(owner, minlength=len(segments)))[:-1])
 
 
 def _spans(starts: np.ndarray) -> tuple[list[int], list[int]]:
@@ -142,15 +181,32 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     few = cut.filter("not crowd").withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards).cast("long")))
     few = few.groupBy("shard").applyInPandas(one_shard, "anchor long, segment long, a array<int>, b array<int>")
 
+    def blocks(batches):
+        schema = pa.schema([("anchor", pa.int64()), ("segment", pa.int64()), ("copied", pa.bool_()), ("block", pa.binary()), ("low", pa.int32()), ("high", pa.int32()), ("bytes", pa.binary())])
+        for b in batches:
+            out = []
+            for a, s, c, x in zip(*(b.column(n).to_pylist() for n in ("anchor", "segment", "copied", "bytes")), strict=True):
+                last, data = len(x) - SPAN, np.frombuffer(x, np.uint8)
+                p = int(lowest_in_windows(Hashes(data).of(slice(0, len(x) - GRAM + 1), slice(GRAM, len(x) + 1)), WINDOW)[0])
+                edge = p - SIDE  # strings up to here have SIDE bytes to the left
+                if edge >= 0:
+                    out.append((a, s, c, b"L" + hashlib.blake2b(x[edge : p + GRAM], digest_size=16).digest(), 0, min(edge, last), x))
+                if edge < last:
+                    out.append((a, s, c, b"R" + hashlib.blake2b(x[p : p + GRAM + SIDE + 1], digest_size=16).digest(), max(0, edge + 1), last, x))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+
     def strings(batches):
         schema = pa.schema([("anchor", pa.int64()), ("segment", pa.int64()), ("copied", pa.bool_()), ("at", pa.int32()), ("string", pa.binary())])
         for b in batches:
-            for a, s, c, x in zip(*(b.column(n).to_pylist() for n in ("anchor", "segment", "copied", "bytes")), strict=True):
-                own = [hashlib.blake2b(x[i : i + SPAN], digest_size=16).digest() for i in range(len(x) - SPAN + 1)]
+            for a, s, c, low, high, x in zip(*(b.column(n).to_pylist() for n in ("anchor", "segment", "copied", "low", "high", "bytes")), strict=True):
+                own = [hashlib.blake2b(x[i : i + SPAN], digest_size=16).digest() for i in range(low, high + 1)]
                 n = len(own)
-                yield pa.RecordBatch.from_arrays([pa.array([a] * n, pa.int64()), pa.array([s] * n, pa.int64()), pa.array([c] * n), pa.array(range(n), pa.int32()), pa.array(own, pa.binary())], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array([a] * n, pa.int64()), pa.array([s] * n, pa.int64()), pa.array([c] * n), pa.array(range(low, high + 1), pa.int32()), pa.array(own, pa.binary())], schema=schema)
 
-    many = cut.filter("crowd").mapInArrow(strings, "anchor long, segment long, copied boolean, at int, string binary")
+    sided = cut.filter("crowd").mapInArrow(blocks, "anchor long, segment long, copied boolean, block binary, low int, high int, bytes binary")
+    meet = sided.groupBy("anchor", "block").agg(F.count(F.lit(1)).alias("n"), F.max("copied").alias("c")).filter("n > 1 or c").select("anchor", "block")
+    many = sided.join(meet, ["anchor", "block"], "left_semi").mapInArrow(strings, "anchor long, segment long, copied boolean, at int, string binary")
     counted = many.groupBy("string").agg(F.count(F.lit(1)).alias("n"), F.max("copied").alias("c")).filter("n > 1 or c").select("string")
     many = many.join(counted, "string").groupBy("anchor", "segment").agg(F.sort_array(F.collect_list("at")).alias("a"))
     many = many.select("anchor", "segment", "a", F.transform("a", lambda x: x + SPAN).alias("b"))

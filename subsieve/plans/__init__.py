@@ -1,5 +1,5 @@
 """Registered queries over the given tables, each with its SQL."""
 
-from . import audit, tables
+from . import audit, profiles, tables
 
-MODULES = [audit, tables]
+MODULES = [audit, tables, profiles]
