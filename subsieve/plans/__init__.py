@@ -1,5 +1,5 @@
 """Registered queries over the given tables, each with its SQL."""
 
-from . import audit, profiles, tables
+from . import audit, clusters, profiles, scenes, tables
 
-MODULES = [audit, tables, profiles]
+MODULES = [audit, tables, profiles, scenes, clusters]
