@@ -30,7 +30,7 @@ ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 SAMPLE = 2000  # documents, at most, that ordinary identifiers are learnt from
 LEAST_RATIO = 0.4  # mean log-likelihood ratio per transition from which a token counts as random
 MASK = "[REDACTED]"
-_SIZE, _BLOCK = len(ALPHABET), 256
+_SIZE, _BLOCK, _PRIOR = len(ALPHABET), 256, 5.0
 
 
 def _let(value: Column, body) -> Column:
@@ -88,16 +88,20 @@ def train(scanned: DataFrame, sample: int = SAMPLE) -> list[float]:
     plain = F.aggregate(F.expr("transform(base, x -> x.found)"), F.col("t"), lambda s, x: F.replace(s, x, F.lit(" ")))
     ordinary = some.select(F.lit(0).alias("random"), F.explode(F.regexp_extract_all(plain, F.lit(ORDINARY), F.lit(0))).alias("w"))
     secret = scanned.filter("size(base) > 0").select(F.lit(1).alias("random"), F.explode(F.expr("transform(base, x -> x.found)")).alias("w"))
+    ordinary = ordinary.filter(~F.regexp_like("w", F.lit(CANDIDATE)))  # what is to be judged isn't a sample
     pairs = ordinary.union(secret).filter("length(w) > 1")
     pairs = pairs.select("random", F.explode(F.expr("transform(sequence(1, length(w) - 1), i -> substring(w, i, 2))")).alias("pair"))
     counts: list[dict] = [{}, {}]
     for r in pairs.groupBy("random", "pair").count().collect():
         if all(c in ALPHABET for c in r["pair"]):
             counts[r["random"]][r["pair"]] = r["count"]
-    firsts = [{a: sum(c.get(a + b, 0) for b in ALPHABET) for a in ALPHABET} for c in counts]
     if not all(counts):
         return [0.0] * (_SIZE * _SIZE)
-    share = lambda k, a, b: (counts[k].get(a + b, 0) + 0.5) / (firsts[k][a] + 0.5 * _SIZE)
+    firsts = [{a: sum(c.get(a + b, 0) for b in ALPHABET) for a in ALPHABET} for c in counts]
+    seconds = [{b: sum(c.get(a + b, 0) for a in ALPHABET) for b in ALPHABET} for c in counts]
+    alone = lambda k, b: (seconds[k][b] + 0.5) / (sum(seconds[k].values()) + 0.5 * _SIZE)
+    # a transition that was rarely seen counts by how often its second character comes at all
+    share = lambda k, a, b: (counts[k].get(a + b, 0) + _PRIOR * alone(k, b)) / (firsts[k][a] + _PRIOR)
     return [log(share(1, a, b) / share(0, a, b)) for a in ALPHABET for b in ALPHABET]
 
 
