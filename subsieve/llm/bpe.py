@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import table, text_or_empty
 
 RANK_FILE = "byte_bpe_multi_50k.tiktoken"
-REMEMBERED = 300_000  # distinct pieces that a worker remembers, of at most LONGEST characters
+REMEMBERED = 200_000  # distinct pieces that a worker remembers, of at most LONGEST characters
 LONGEST = 48
 _SHORT = 100  # bytes up to which a plain scan for the best pair is quicker than a heap
 _OUT_BYTES = 8 << 20

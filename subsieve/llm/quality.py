@@ -14,6 +14,7 @@ from dataclasses import dataclass
 from math import log2
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,10 +24,10 @@ from .common import table
 BITS = 22  # of the hash that features share
 SAMPLE = 12_000  # rated documents that the model is fitted on, at most
 LEAST_DOCS = 5  # documents of the sample that a feature must be in
-LEAST_Z, LEAST_OFF = 4.0, 0.5  # standard errors, and grades, by which the mean grade of its documents must be off
+LEAST_Z, LEAST_OFF = 4.0, 0.45  # standard errors, and share, by which its documents' grades must be off
 ROUNDS, RATE, PENALTY = 400, 0.3, 1e-5
 KEEP = 0.8  # least tail probability of documents that stay
-_REMEMBERED = 400_000
+_REMEMBERED = 150_000
 
 
 def word_features(word: str) -> list[int]:
@@ -65,6 +66,11 @@ class Model:
         w = self.weights[found]
         return float(w.sum() / max(1, np.count_nonzero(w)) ** 0.5)
 
+    @property
+    def cut(self) -> float:
+        """Least tail probability of documents that stay: KEEP, or that of a document without evidence, if it is lower."""
+        return min(KEEP, float(self.tails(np.zeros(1))[0, -1]) - 1e-9)
+
     def tails(self, score: np.ndarray) -> np.ndarray:
         """P(grade > k) for each threshold k."""
         return 1 / (1 + np.exp(np.clip(self.thresholds[None] - score[:, None], -60, 60)))
@@ -73,17 +79,20 @@ class Model:
         return self.grades[0] + self.tails(score) @ np.diff(np.array(self.grades, float))
 
 
-def fit_rows(grades: np.ndarray, docs: list[np.ndarray], rounds: int = ROUNDS) -> Model:
-    """Full-batch gradient steps, scaled for each weight by the gradients so far. At least two grades."""
+def fit_rows(grades: np.ndarray, docs: list[np.ndarray], rounds: int = ROUNDS) -> Model | None:
+    """Full-batch gradient steps, scaled for each weight by the gradients so far. None if the documents that aren't copies have one grade."""
     first = _first_of_copies(docs)
     docs = [docs[i] for i in first]
     levels, y = np.unique(grades[first], return_inverse=True)
+    if len(levels) < 2:
+        return None
     sizes = np.array([len(d) for d in docs])
-    row, at = np.repeat(np.arange(len(docs)), sizes), np.concatenate(docs)
+    row, at = np.repeat(np.arange(len(docs), dtype=np.int32), sizes), np.concatenate(docs)
     useful = np.flatnonzero(_useful(row, at, y))
-    place = np.full(1 << BITS, -1)
+    place = np.full(1 << BITS, -1, np.int32)
     place[useful] = np.arange(len(useful))
-    row, at = row[place[at] >= 0], place[at[place[at] >= 0]]
+    at = place[at]
+    row, at = row[at >= 0], at[at >= 0]
     scale = 1 / np.sqrt(np.maximum(1, np.bincount(row, minlength=len(docs))))
     m, k, i = len(useful), len(levels) - 1, np.arange(len(y))
     w = np.zeros(m)
@@ -118,18 +127,25 @@ def _first_of_copies(docs: list[np.ndarray]) -> np.ndarray:
     """Places of the documents without near copies of earlier ones: those that share their lowest hash of rare features."""
     found = [np.unique(d) for d in docs]
     count = np.bincount(np.concatenate(found), minlength=1 << BITS)
-    mixed = np.arange(1 << BITS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - BITS)
-    lowest = [min(mixed[r].tolist(), default=-1 - i) for i, r in enumerate(d[count[d] <= COMMON] for d in found)]
+    mixed = lambda r: r.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - BITS)
+    lowest = [min(mixed(r).tolist(), default=-1 - i) for i, r in enumerate(d[count[d] <= COMMON] for d in found)]
     return np.sort(np.unique(lowest, return_index=True)[1])
 
 
 def _useful(row: np.ndarray, at: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """A flag for each feature that enough documents have and whose documents' grades differ from all by more than chance."""
-    pairs = np.unique(row.astype(np.int64) << BITS | at)
-    feature, off = pairs & ((1 << BITS) - 1), (y - y.mean())[pairs >> BITS]
+    """A flag for each feature that enough documents have and for which the share of grades above some threshold differs
+    from that of all by more than chance."""
+    pairs = row.astype(np.int64) << BITS | at
+    pairs.sort()
+    pairs = pairs[np.append(True, pairs[1:] != pairs[:-1])]
+    feature, row = pairs & ((1 << BITS) - 1), pairs >> BITS
     n = np.bincount(feature, minlength=1 << BITS)
-    total = np.bincount(feature, off, minlength=1 << BITS)
-    return (n >= LEAST_DOCS) & (np.abs(total) >= np.maximum(LEAST_Z * y.std() * np.sqrt(n), LEAST_OFF * n))
+    useful = np.zeros(1 << BITS, bool)
+    for k in range(y.max()):
+        above = y > k
+        total = np.bincount(feature, (above - above.mean())[row], minlength=1 << BITS)
+        useful |= np.abs(total) >= np.maximum(LEAST_Z * above.std() * np.sqrt(n), LEAST_OFF * n)
+    return useful & (n >= LEAST_DOCS)
 
 
 def fit(rated: DataFrame, sample: int = SAMPLE) -> Model | None:
@@ -140,13 +156,24 @@ def fit(rated: DataFrame, sample: int = SAMPLE) -> Model | None:
             rows = [features(t) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("grade"), pa.array([r.tobytes() for r in rows], pa.binary())], ["doc_id", "grade", "features"])
 
+    def fitted(rows: pd.DataFrame) -> pd.DataFrame:
+        """The sample is bounded, so one task fits it; only what the model kept comes back."""
+        rows = rows.sort_values(["doc_id", "grade", "features"])[:sample]
+        m = fit_rows(rows["grade"].to_numpy(), [np.frombuffer(x, np.int32) for x in rows["features"]])
+        if m is None:
+            return pd.DataFrame({c: pd.Series([], dtype=object) for c in ("grades", "features", "weights", "thresholds")})
+        kept = np.flatnonzero(m.weights)
+        return pd.DataFrame({"grades": [list(m.grades)], "features": [kept.tobytes()], "weights": [m.weights[kept].tobytes()], "thresholds": [m.thresholds.tolist()]})
+
     d = rated.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"), F.col("grade").cast("int"))
-    rows = d.mapInArrow(run, "doc_id long, grade int, features binary").collect()
-    rows.sort(key=lambda r: (r["doc_id"] is None, r["doc_id"], r["grade"], r["features"]))
-    grades = np.array([r["grade"] for r in rows[:sample]], int)
-    if len(np.unique(grades)) < 2:
+    rows = d.mapInArrow(run, "doc_id long, grade int, features binary").withColumn("all", F.lit(0)).groupBy("all").applyInPandas(fitted, "grades array<int>, features binary, weights binary, thresholds array<double>")
+
+    found = rows.first()
+    if found is None:
         return None
-    return fit_rows(grades, [np.frombuffer(r["features"], np.int32) for r in rows[:sample]])
+    weights = np.zeros(1 << BITS, np.float32)
+    weights[np.frombuffer(found["features"], np.int64)] = np.frombuffer(found["weights"], np.float32)
+    return Model(tuple(found["grades"]), weights, np.array(found["thresholds"]))
 
 
 def rated_sample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
@@ -182,14 +209,15 @@ class _Words(dict):
 
 
 def graded(docs: DataFrame, model: Model | None) -> DataFrame:
-    """Each row of docs (text, others) as the struct column `doc`, with expected_grade and tail.
+    """Each row of docs (text, others) as the struct column `doc`, with expected_grade, tail and keep.
 
-    tail is the probability of the best grade. Null text is empty; without a model expected_grade is null and tail 1;
+    tail is the probability of the best grade; keep: it is at least the model's cut. Null text is empty; without a model
+    expected_grade is null, tail 1 and keep true;
     repeated rows come back each; empty table: no rows.
     """
     d = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
     if model is None:
-        return d.withColumn("expected_grade", F.lit(None).cast("double")).withColumn("tail", F.lit(1.0))
+        return d.withColumn("expected_grade", F.lit(None).cast("double")).withColumn("tail", F.lit(1.0)).withColumn("keep", F.lit(True))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
@@ -203,9 +231,10 @@ def graded(docs: DataFrame, model: Model | None) -> DataFrame:
                 distinct = set(words)
                 total = sum(map(known.__getitem__, sorted(distinct)), known.weigh([shape_feature(len(words), len(distinct))]))
                 score[i] = total.real / max(1, total.imag) ** 0.5
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(m.expected(score)), pa.array(m.tails(score)[:, -1])], ["doc", "expected_grade", "tail"])
+            tail = m.tails(score)[:, -1]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(m.expected(score)), pa.array(tail), pa.array(tail >= m.cut)], ["doc", "expected_grade", "tail", "keep"])
 
-    return d.mapInArrow(run, f"doc {d.schema['doc'].dataType.simpleString()}, expected_grade double, tail double")
+    return d.mapInArrow(run, f"doc {d.schema['doc'].dataType.simpleString()}, expected_grade double, tail double, keep boolean")
 
 
 def classified(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
@@ -214,4 +243,4 @@ def classified(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Data
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = classified(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return d.select(F.col("doc.doc_id").alias("doc_id"), "expected_grade", "tail", (F.col("tail") >= KEEP).alias("keep"))
+    return d.select(F.col("doc.doc_id").alias("doc_id"), "expected_grade", "tail", "keep")
