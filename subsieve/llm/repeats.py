@@ -27,7 +27,7 @@ from .suffixes import permuted_prefixes, suffix_array
 SPAN, GRAM = 200, 32
 WINDOW = SPAN - GRAM + 1  # pieces of a string
 CROWD = 2000
-SIDE = (SPAN - GRAM) // 2  # a string has this many bytes to the left of its anchor, or more than that to the right
+WIDTHS = (85, 16, 4, 1)
 SHARD_BYTES = 2 << 20
 _AT_ONCE = 1 << 17  # bytes whose hashes are held at a time
 
@@ -181,34 +181,8 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     few = cut.filter("not crowd").withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards).cast("long")))
     few = few.groupBy("shard").applyInPandas(one_shard, "anchor long, segment long, a array<int>, b array<int>")
 
-    def blocks(batches):
-        schema = pa.schema([("anchor", pa.int64()), ("segment", pa.int64()), ("copied", pa.bool_()), ("block", pa.binary()), ("low", pa.int32()), ("high", pa.int32()), ("bytes", pa.binary())])
-        for b in batches:
-            out = []
-            for a, s, c, x in zip(*(b.column(n).to_pylist() for n in ("anchor", "segment", "copied", "bytes")), strict=True):
-                last, data = len(x) - SPAN, np.frombuffer(x, np.uint8)
-                p = int(lowest_in_windows(Hashes(data).of(slice(0, len(x) - GRAM + 1), slice(GRAM, len(x) + 1)), WINDOW)[0])
-                edge = p - SIDE  # strings up to here have SIDE bytes to the left
-                if edge >= 0:
-                    out.append((a, s, c, b"L" + hashlib.blake2b(x[edge : p + GRAM], digest_size=16).digest(), 0, min(edge, last), x))
-                if edge < last:
-                    out.append((a, s, c, b"R" + hashlib.blake2b(x[p : p + GRAM + SIDE + 1], digest_size=16).digest(), max(0, edge + 1), last, x))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
-
-    def strings(batches):
-        schema = pa.schema([("anchor", pa.int64()), ("segment", pa.int64()), ("copied", pa.bool_()), ("at", pa.int32()), ("string", pa.binary())])
-        for b in batches:
-            for a, s, c, low, high, x in zip(*(b.column(n).to_pylist() for n in ("anchor", "segment", "copied", "low", "high", "bytes")), strict=True):
-                own = [hashlib.blake2b(x[i : i + SPAN], digest_size=16).digest() for i in range(low, high + 1)]
-                n = len(own)
-                yield pa.RecordBatch.from_arrays([pa.array([a] * n, pa.int64()), pa.array([s] * n, pa.int64()), pa.array([c] * n), pa.array(range(low, high + 1), pa.int32()), pa.array(own, pa.binary())], schema=schema)
-
-    sided = cut.filter("crowd").mapInArrow(blocks, "anchor long, segment long, copied boolean, block binary, low int, high int, bytes binary")
-    meet = sided.groupBy("anchor", "block").agg(F.count(F.lit(1)).alias("n"), F.max("copied").alias("c")).filter("n > 1 or c").select("anchor", "block")
-    many = sided.join(meet, ["anchor", "block"], "left_semi").mapInArrow(strings, "anchor long, segment long, copied boolean, at int, string binary")
-    counted = many.groupBy("string").agg(F.count(F.lit(1)).alias("n"), F.max("copied").alias("c")).filter("n > 1 or c").select("string")
-    many = many.join(counted, "string").groupBy("anchor", "segment").agg(F.sort_array(F.collect_list("at")).alias("a"))
+    many = crowded_starts(cut.filter("crowd").select("anchor", "segment", "copied", "bytes"))
+    many = many.groupBy("anchor", "segment").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.sequence("low", "high"))))).alias("a"))
     many = many.select("anchor", "segment", "a", F.transform("a", lambda x: x + SPAN).alias("b"))
 
     parts = few.union(many)
@@ -217,6 +191,51 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     return hit.union(whole).groupBy("k").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
+_RANGE = "anchor long, segment long, copied boolean, low int, high int, bytes binary"
+
+
+def crowded_starts(segments: DataFrame) -> DataFrame:
+    """(anchor, segment, low, high): places in segments (anchor, segment, copied, bytes) where repeated strings start."""
+    rest = segments.select("anchor", "segment", "copied", F.lit(0).alias("low"), (F.octet_length("bytes") - SPAN).alias("high"), "bytes")
+    out = None
+    for width in WIDTHS:
+        parts = rest.mapInArrow(_ranges(width), f"{_RANGE}, inner binary, outer binary")
+        shared = parts.groupBy("anchor", "inner").agg(F.count(F.lit(1)).alias("n"), F.max("copied").alias("c")).filter("n > 1 or c").select("anchor", "inner")
+        parts = parts.join(shared, ["anchor", "inner"], "left_semi")
+        whole = parts.filter("outer is not null").groupBy("anchor", "outer").agg(F.count(F.lit(1)).alias("n"), F.max("copied").alias("c")).filter("n > 1 or c").select("anchor", "outer", F.lit(True).alias("all"))
+        parts = materialize(parts.join(whole, ["anchor", "outer"], "left"), "ranges")
+        done = parts.filter("all").select("anchor", "segment", "low", "high")
+        out = done if out is None else out.union(done)
+        # one of the ranges that are equal as a whole stays, as a partner for others
+        one = parts.filter("all").groupBy("anchor", "outer").agg(F.min(F.struct("segment", "low", "high", "bytes")).alias("x"))
+        one = one.select("anchor", "x.segment", F.lit(True).alias("copied"), "x.low", "x.high", "x.bytes")
+        rest = parts.filter("all is null").select(*one.columns).union(one)
+    return out
+
+
+def _ranges(width: int):
+    """Cuts the starts low to high of a segment into ranges of `width` places before the anchor, each with hashes of the
+    bytes that all its strings share, and of those that all of them span (null where the segment lacks some)."""
+    schema = pa.schema([("anchor", pa.int64()), ("segment", pa.int64()), ("copied", pa.bool_()), ("low", pa.int32()), ("high", pa.int32()), ("bytes", pa.binary()), ("inner", pa.binary()), ("outer", pa.binary())])
+    digest = lambda kind, x: hashlib.blake2b(x, digest_size=16, key=kind).digest()
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for a, s, c, low, high, x in zip(*(b.column(n).to_pylist() for n in ("anchor", "segment", "copied", "low", "high", "bytes")), strict=True):
+                data = np.frombuffer(x, np.uint8)
+                p = int(lowest_in_windows(Hashes(data).of(slice(0, len(x) - GRAM + 1), slice(GRAM, len(x) + 1)), WINDOW)[0])
+                for k in range((p - high) // width, (p - low) // width + 1):
+                    first, last = p - (k + 1) * width + 1, p - k * width  # the starts of a whole range
+                    kind = k.to_bytes(4, "big")
+                    outer = digest(kind, x[first : last + SPAN]) if first >= low and last <= high else None
+                    out.append((a, s, c, max(first, low), min(last, high), x, digest(kind, x[last : first + SPAN]), outer))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+
+    return run
+
+
 def removed(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, spans array<struct<a, b>>, kept binary) of each row of docs (doc_id, text).
 
