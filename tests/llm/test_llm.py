@@ -225,6 +225,48 @@ def test_simhash(spark, odd, none, monkeypatch, crowd):
     assert simhash.near_duplicates(none).count() == 0
 
 
+def planted_copies():
+    """Texts with planted near copies (words changed, dropped and added), crowds of them, and texts that share a passage."""
+    rnd = random.Random(11)
+    text = lambda n: [rnd.choice("abcdefghijklmnopqrstuvwxyz") * 2 + str(rnd.randrange(400)) for _ in range(n)]
+
+    def changed(w, n):
+        w = list(w)
+        for _ in range(n):
+            w[rnd.randrange(len(w))] = str(rnd.random())
+        return w
+
+    passage, out = text(60), []
+    for i in range(40):
+        w = text(rnd.choice([40, 120, 230, 400]))
+        out += [w, changed(w, 1), changed(w, i % 8), w[: len(w) * 9 // 10], passage + w[:60]]
+    crowd = text(200)
+    out += [changed(crowd, rnd.randrange(6)) for _ in range(120)]
+    return [" ".join(w) for w in out] + ["a b c", "A  b c", "", " ", "x"]
+
+
+def test_near_copies_stage(spark):
+    import corpus_pipeline as cp
+
+    texts = planted_copies()
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in (t.lower().split() for t in texts)]
+    root = list(range(len(texts)))
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, x in enumerate(sets):
+        for j in range(i):
+            if x == sets[j] or len(x & sets[j]) >= 0.8 * len(x | sets[j]):
+                a, b = top(i), top(j)
+                root[max(a, b)] = min(a, b)
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = dict(cp.STAGES)["near_duplicates"](spark, d, SF)
+    assert sorted(r.doc_id for r in kept.collect()) == [i for i in range(len(texts)) if top(i) == i]
+
+
 def test_nearest(spark):
     rnd = np.random.default_rng(6)
     x = rnd.normal(size=(600, 8)).astype(np.float32).astype(float)
