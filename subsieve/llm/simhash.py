@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize, table, text_or_empty
 from .components import components
+from .nearcopies import keep_one  # noqa: F401  the pipeline's stage, by the similarity of texts
 
 SEED = 42
 SHINGLE = 3
@@ -100,17 +101,6 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return d.join(fps.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of docs (doc_id, text, others) whose document is the first of its group; of repeated rows one stays.
-
-    Null doc_id: such a row stays if no row of its group has an id (then one of them).
-    """
-    groups = near_duplicates(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    keep = groups.select(F.col("doc_id").alias("_keep")).distinct()
-    kept = docs.join(keep, F.col("doc_id").eqNullSafe(F.col("_keep")), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
-
-
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return d.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -267,6 +267,14 @@ def test_near_copies_stage(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [i for i in range(len(texts)) if top(i) == i]
 
 
+def test_one_row_for_each_group(spark):
+    one, two, three, four = (" ".join(f"{k}{i}" for i in range(40)) for k in "pqrs")
+    rows = [(None, one), (None, two), (None, three + " end"), (1, three), (1, four), (1, four), (2, four + " end"), (None, None), (None, "")]
+    for wide in (rows, rows[::-1]):
+        kept = simhash.keep_one(spark.createDataFrame(wide, "doc_id long, text string")).collect()
+        assert sorted((r.doc_id or 0, r.text or "") for r in kept) == sorted([(0, one), (0, two), (1, three), (1, four), (0, "")])
+
+
 def test_nearest(spark):
     rnd = np.random.default_rng(6)
     x = rnd.normal(size=(600, 8)).astype(np.float32).astype(float)
