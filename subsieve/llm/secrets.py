@@ -2,8 +2,8 @@
 
 Places of matches come without a user function: splitting a text at a pattern gives what lies between the matches, so
 running sums of the lengths of both give each start. The models are first-order character chains over ALPHABET, one of
-random strings (what the rules caught), one of ordinary identifiers (other words of a sample of documents), counted
-in the same pass over labelled samples; a token's score is the log-likelihood ratio of the two.
+random strings (what the rules caught), one of ordinary identifiers (other words of the distinct texts), counted in
+the same pass over all texts; a token's score is the log-likelihood ratio of the two.
 """
 
 from __future__ import annotations
@@ -27,7 +27,6 @@ LEAST_VALUE = 6  # characters of an assigned value
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"  # tokens that the models judge
 ORDINARY = r"[A-Za-z0-9+/_=-]{5,}"  # words that teach the model of ordinary identifiers
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
-SAMPLE = 2000  # documents, at most, that ordinary identifiers are learnt from
 LEAST_RATIO = 0.4  # mean log-likelihood ratio per transition from which a token counts as random
 MASK = "[REDACTED]"
 _SIZE, _BLOCK, _PRIOR = len(ALPHABET), 256, 5.0
@@ -77,24 +76,24 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(*[kind(i, name) for i, name in enumerate(RULES)]))
 
 
-def train(scanned: DataFrame, sample: int = SAMPLE) -> list[float]:
+def train(docs: DataFrame) -> list[float]:
     """Log-likelihood ratios of transitions, random over ordinary, at (place of the first + 1) * _SIZE + place of the second.
 
-    `scanned` has t and base. Random strings are what the rules caught in any document; ordinary identifiers are the
-    words of the `sample` documents whose hash is lowest, without what the rules caught there. At most 2 x 67 x 67
+    `docs` has t. Random strings are what the rules caught in any row; ordinary identifiers are the words of each
+    distinct text, without what the rules caught there. Words are counted before their transitions. At most 2 x 67 x 67
     counts come to the driver. With no samples both models are uniform and nothing is random.
     """
-    some = scanned.select("t", "base").orderBy(F.xxhash64("t"), "t").limit(sample)
+    texts = docs.groupBy("t").agg(F.count(F.lit(1)).alias("n")).select("t", "n", base_spans(F.col("t")).alias("base"))
     plain = F.aggregate(F.expr("transform(base, x -> x.found)"), F.col("t"), lambda s, x: F.replace(s, x, F.lit(" ")))
-    ordinary = some.select(F.lit(0).alias("random"), F.explode(F.regexp_extract_all(plain, F.lit(ORDINARY), F.lit(0))).alias("w"))
-    secret = scanned.filter("size(base) > 0").select(F.lit(1).alias("random"), F.explode(F.expr("transform(base, x -> x.found)")).alias("w"))
-    ordinary = ordinary.filter(~F.regexp_like("w", F.lit(CANDIDATE)))  # what is to be judged isn't a sample
-    pairs = ordinary.union(secret).filter("length(w) > 1")
-    pairs = pairs.select("random", F.explode(F.expr("transform(sequence(1, length(w) - 1), i -> substring(w, i, 2))")).alias("pair"))
+    ordinary = F.transform(F.regexp_extract_all(plain, F.lit(ORDINARY), F.lit(0)), lambda w: F.struct(F.lit(0).alias("random"), w.alias("w"), F.lit(1).cast("long").alias("n")))
+    secret = F.transform("base", lambda x: F.struct(F.lit(1).alias("random"), x["found"].alias("w"), F.col("n").alias("n")))
+    words = texts.select(F.explode(F.concat(ordinary, secret)).alias("x")).groupBy("x.random", "x.w").agg(F.sum("x.n").alias("n"))
+    words = words.filter((F.col("random") == 1) | ~F.regexp_like("w", F.lit(CANDIDATE)))  # what is to be judged isn't a sample
+    pairs = words.filter("length(w) > 1").select("random", "n", F.explode(F.expr("transform(sequence(1, length(w) - 1), i -> substring(w, i, 2))")).alias("pair"))
     counts: list[dict] = [{}, {}]
-    for r in pairs.groupBy("random", "pair").count().collect():
+    for r in pairs.groupBy("random", "pair").agg(F.sum("n").alias("n")).collect():
         if all(c in ALPHABET for c in r["pair"]):
-            counts[r["random"]][r["pair"]] = r["count"]
+            counts[r["random"]][r["pair"]] = r["n"]
     if not all(counts):
         return [0.0] * (_SIZE * _SIZE)
     firsts = [{a: sum(c.get(a + b, 0) for b in ALPHABET) for a in ALPHABET} for c in counts]
@@ -113,7 +112,7 @@ def score(token: Column, ratios: list[float]) -> Column:
     return total / (F.length(token) - 1)
 
 
-def find_secrets(docs: DataFrame, sample: int = SAMPLE, least: float = LEAST_RATIO) -> DataFrame:
+def find_secrets(docs: DataFrame, least: float = LEAST_RATIO) -> DataFrame:
     """Each row of docs (text, others) as the struct column `doc`, with `spans` array<struct<start, place, end, kind, found>>.
 
     Kinds are those of RULES and "random", a CANDIDATE that overlaps no span of the rules and scores `least` or more.
@@ -122,7 +121,7 @@ def find_secrets(docs: DataFrame, sample: int = SAMPLE, least: float = LEAST_RAT
     """
     d = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), text_or_empty().alias("t"))
     scanned = d.select("doc", "t", base_spans(F.col("t")).alias("base"))
-    ratios = train(scanned, sample)
+    ratios = train(d)
     apart = lambda x: ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
     more = F.filter(matches(F.col("t"), CANDIDATE), lambda x: apart(x) & (score(x["found"], ratios) >= least))
     more = F.transform(more, lambda x: F.struct(x["start"].alias("start"), F.lit(len(RULES)).alias("place"), x["end"].alias("end"), F.lit("random").alias("kind"), x["found"].alias("found")))

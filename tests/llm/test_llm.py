@@ -12,6 +12,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+import xxhash
 from compare import plain
 from pyspark.sql import functions as F
 
@@ -125,6 +126,17 @@ def test_models_tell_random_from_words(spark):
     assert found[1000] == ["random"] and found[1001] == []
 
 
+def test_copies_do_not_fill_the_ordinary_model(spark):
+    rnd = random.Random(9)
+    words = ["".join(rnd.choice(["lo", "re", "mi", "pan", "tu", "se"]) for _ in range(4)) for _ in range(500)]
+    strange = lambda: "".join(rnd.choice(secrets.ALPHABET[:62]) for _ in range(32))
+    low = min((f"GQX9Z-7KWJ4 V8HQY_{i}" for i in range(200000)), key=lambda t: int(np.uint64(xxhash.xxh64_intdigest(t, 42)).view(np.int64)))
+    docs = [(i, " ".join([*rnd.sample(words, 30), f"token={strange()}"])) for i in range(80)] + [(1000, f"a {strange()} b"), (1001, "lorepanmitulorepanmituselo " * 3)]
+    docs += [(2000 + i, low) for i in range(2000)]
+    found = {r.doc.doc_id: [s.kind for s in r.spans] for r in secrets.find_secrets(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert found[1000] == ["random"] and found[1001] == []
+
+
 def test_backoff(spark, odd, none):
     d = [(r.doc_id, (r.text or "").split()) for r in odd.collect()]
     got = sorted((r.n_words, r.n_seen, round(r.log_score, 6)) for r in backoff.scores(odd).collect())
