@@ -46,26 +46,40 @@ def refine_swap(wide: DataFrame, subset: DataFrame, tol: dict[str, float], itera
     return members, trace
 
 
+def refine_restarts(wide: DataFrame, subset: DataFrame, tol: dict[str, float], iterations: int = 20, restarts: int = 4, candidates: int | None = None, seed: int = 0) -> tuple[DataFrame, list[float]]:
+    """The best of refine_swap from the subset and from `restarts` subsets drawn by hash, of as many units of each regime."""
+    wide, subset = stored(wide.select("unit", "regime", *tol).na.drop(), "pool"), stored(subset.select("unit", "regime"), "members")
+    sizes = subset.groupBy("regime").agg(F.count_distinct("unit").alias("_n"))
+    best = refine_swap(wide, subset, tol, iterations, candidates, seed)
+    for r in range(1, restarts + 1):
+        w = Window.partitionBy("regime").orderBy(hash48(F.lit(seed), F.lit(r), F.col("unit")), "unit")
+        start = wide.withColumn("_at", F.row_number().over(w)).join(F.broadcast(sizes), "regime").filter("_at <= _n").select("unit", "regime")
+        new = refine_swap(wide, start, tol, iterations, candidates, seed + 1000 * r)
+        if new[1][-1] < best[1][-1]:
+            best = new
+    return best
+
+
 def facility_location(vectors: DataFrame, size: int, pool: int, runs: int, seed: int = 0) -> DataFrame:
     """run, step, unit: greedy facility location of several runs at once over vectors (unit, v).
 
     Each step draws `pool` candidates for each run by hash and takes the one that makes the sum of distances to the
-    nearest chosen unit least. The state is one row for each run and unit, written to shared files at each step;
-    candidates are pool x runs rows.
+    nearest chosen unit least. A chosen unit isn't drawn again; copies of it may be. The state is one row for each run
+    and unit, written to shared files at each step; candidates are pool x runs rows.
     """
     spark = vectors.sparkSession
-    state = stored(vectors.select("unit", "v", F.explode(F.sequence(F.lit(0), F.lit(runs - 1))).alias("run")).withColumn("near", F.lit(float("inf"))), "state")
+    state = stored(vectors.select("unit", "v", F.explode(F.sequence(F.lit(0), F.lit(runs - 1))).alias("run")).withColumn("near", F.lit(float("inf"))).withColumn("taken", F.lit(False)), "state")
     chosen: list[tuple] = []
     for step in range(size):
         h = hash48(F.lit(seed), F.col("run"), F.lit(step), F.col("unit"))
-        drawn = _lowest(state.filter("near > 0").withColumn("h", h), pool)
+        drawn = _lowest(state.filter("not taken").withColumn("h", h), pool)
         cand = drawn.select("run", F.col("unit").alias("c"), F.col("v").alias("cv"))
         d = state.join(F.broadcast(cand), "run").select("run", "c", F.least("near", distance(F.col("v"), F.col("cv"))).alias("d"))
         best = d.groupBy("run", "c").agg(F.round(F.sum("d"), 9).alias("total")).groupBy("run").agg(F.min(F.struct("total", "c")).alias("x")).select("run", "x.c").collect()
         chosen += [(r["run"], step, r["c"]) for r in best]
         one = spark.createDataFrame([(r["run"], r["c"]) for r in best], "run int, c long")
         with_vec = cand.join(F.broadcast(one), ["run", "c"], "left_semi")
-        state = stored(state.join(F.broadcast(with_vec), "run").select("unit", "v", "run", F.least("near", distance(F.col("v"), F.col("cv"))).alias("near")), "state")
+        state = stored(state.join(F.broadcast(with_vec), "run").select("unit", "v", "run", F.least("near", distance(F.col("v"), F.col("cv"))).alias("near"), (F.col("taken") | (F.col("unit") == F.col("c"))).alias("taken")), "state")
     return spark.createDataFrame(chosen, "run int, step int, unit long")
 
 

@@ -30,9 +30,8 @@ def query(name: str, text: str | None = None):
     return put
 
 
-def vectors(spark, sf, n: int | None = None) -> DataFrame:
-    v = F.col("embedding").cast("array<double>")
-    return load(spark, sf, "embeddings").select(F.col("vec_id").alias("unit"), "label", (F.slice(v, 1, n) if n else v).alias("v"))
+def vectors(spark, sf) -> DataFrame:
+    return load(spark, sf, "embeddings").select(F.col("vec_id").alias("unit"), "label", F.col("embedding").cast("array<double>").alias("v"))
 
 
 V = "v AS (SELECT vec_id AS unit, label, embedding::DOUBLE[] AS v FROM embeddings)"
@@ -148,16 +147,16 @@ def f14(spark, sf):
 
 @query("l1_refine_swap")
 def l1(spark, sf):
-    """Objective before and after each swap of a drawn subset."""
+    """Objective before and after each swap, from the best of a drawn subset and four restarts."""
     a = Audit(spark, sf)
     wide = a.pop.join(audit.wide_r(a, spark, sf).drop("runtime"), "unit")
-    _, trace = op.refine_swap(wide, a.subset(), {"price": 2.0, "qty": 2.5}, 6)
+    _, trace = op.refine_restarts(wide, a.subset(), {"price": 2.0, "qty": 2.5}, 6)
     return spark.createDataFrame([(i, round(x, 9)) for i, x in enumerate(trace)], "swaps int, objective double")
 
 
 @query("l2_facility_location")
 def l2(spark, sf):
-    return op.facility_location(vectors(spark, sf, 8).drop("label"), 6, 8, 2)
+    return op.facility_location(vectors(spark, sf).drop("label"), 36, 16, 2)
 
 
 @query("l3_regime_coverage", sql(*DRAWN, SUB, "SELECT regime, count(*) AS total, count(s.unit) AS selected, round(100.0::DOUBLE * count(s.unit) / count(*), 6) AS pct, count(s.unit) < 3 AS thin FROM pop LEFT JOIN (SELECT unit FROM sub WHERE regime <> (SELECT min(regime) FROM pop)) s USING (unit) GROUP BY regime"))
@@ -170,7 +169,7 @@ def l3(spark, sf):
 @query("l4_selector_stability")
 def l4(spark, sf):
     """Mean overlap of facility-location runs with different seeds."""
-    return re_.subset_overlap(op.facility_location(vectors(spark, sf, 8).drop("label"), 4, 8, 3), "run")
+    return re_.subset_overlap(op.facility_location(vectors(spark, sf).drop("label"), 36, 16, 20), "run")
 
 
 # ---- J over several regime counts and splits

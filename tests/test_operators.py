@@ -156,3 +156,17 @@ def test_pca_and_clusters(spark):
     assert c.groupBy((F.col("unit") % 2).alias("p")).agg(F.count_distinct("cluster").alias("n")).filter("n = 1").count() == 2
     assert rg.silhouette(c, "cluster").first().silhouette > 0.9
     assert abs(rg.project_2d(v).agg(F.sum("px")).first()[0]) < 1e-6
+
+
+def test_facility_location_takes_copies(spark):
+    v = spark.createDataFrame([(i, [float(i % 3), 1.0]) for i in range(6)], "unit long, v array<double>")
+    d = op.facility_location(v, 6, 6, 2).collect()
+    assert all(sorted(r.unit for r in d if r.run == k) == list(range(6)) for k in range(2))
+
+
+def test_restarts_keep_the_best(spark):
+    s = spark.createDataFrame([(i, f"r{i % 2}", float((i * 37) % 101)) for i in range(60)], "unit long, regime string, x double")
+    sub = s.filter("unit < 8").select("unit", "regime")
+    one, best = op.refine_swap(s, sub, {"x": 0.1}, 1), op.refine_restarts(s, sub, {"x": 0.1}, 1, restarts=2)
+    assert best[1][-1] <= one[1][-1] and best[0].count() == best[0].distinct().count() == 8
+    assert {r.regime: r["count"] for r in best[0].groupBy("regime").count().collect()} == {"r0": 4, "r1": 4}
