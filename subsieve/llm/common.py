@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 #: White space that parts words: space and the control characters 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
 
+BATCH_BYTES = 4 << 20
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -33,6 +35,13 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Let Arrow's batches hold BATCH_BYTES at most, as whole texts go through them; what the session sets itself stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) == f"{64 << 20}b":
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that df doesn't have yet, so that extra columns can't clash."""
     have, out = {c.lower() for c in df.columns}, name

@@ -5,13 +5,19 @@ Equal strings have equal anchors at equal places, so all comparisons stay within
 the same anchor start one after another; the bytes that they span are a segment. Anchors that occur once have nothing
 to compare. Where all of an anchor's segments are equal, all are repeats. The other anchors' segments, each different
 one once, are sharded by anchor, and each shard gets a suffix array by induced sorting and its permuted common
-prefixes; strings that share SPAN bytes with a neighbour in order are repeats. An anchor with more than CROWD different
-segments isn't gathered in one shard: its strings are hashed and counted by Spark instead, which is as exact.
+prefixes; strings that share SPAN bytes with a neighbour in order are repeats. Hashes of strings drop those that occur
+once in a shard before.
+
+An anchor with more than CROWD different segments isn't gathered in one shard. Its strings are dealt anew, in ranges of
+neighbouring starts, by the anchor, the place before it and the bytes that all strings of the range share, which equal
+strings have in common; what still meets more than CROWD others is cut into smaller ranges, the last of one start each.
 """
 
 from __future__ import annotations
 
 import hashlib
+import struct
+from functools import reduce
 from math import ceil
 
 import numpy as np
@@ -20,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table, text_or_empty
+from .common import materialize, small_batches, table, text_or_empty
 from .hashing import Hashes, mixed
 from .suffixes import permuted_prefixes, suffix_array
 
@@ -149,87 +155,108 @@ def _by_suffixes(segments: list[bytes]) -> list[np.ndarray]:
     return np.split(at - begin[owner], np.cumsum(np.bincount(owner, minlength=len(segments)))[:-1])
 
 
-def _spans(starts: np.ndarray) -> tuple[list[int], list[int]]:
-    """Runs of bytes, end exclusive, that strings at these ascending starts cover."""
+def _runs(starts: np.ndarray) -> list[tuple[int, int]]:
+    """(first, last) of runs of ascending starts whose strings overlap or touch."""
     if not len(starts):
-        return [], []
+        return []
     cut = np.flatnonzero(np.diff(starts) > SPAN)
-    return starts[np.append(0, cut + 1)].tolist(), (starts[np.append(cut, len(starts) - 1)] + SPAN).tolist()
+    return list(zip(starts[np.append(0, cut + 1)].tolist(), starts[np.append(cut, len(starts) - 1)].tolist(), strict=True))
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
-    """(k, spans array<struct<a, b>>) of docs (k, text): runs of bytes to remove, of documents that have some."""
-    spark = docs.sparkSession
+    """(k, spans array<struct<a, b>>) of docs (k, text): runs of bytes to remove, of documents that have some.
+
+    Rows with the same k must have the same text; their spans come once.
+    """
+    small_batches(docs.sparkSession)
     rows = anchor_rows(docs)
     again = rows.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("segment").alias("x"), F.max("segment").alias("y")).filter("n > 1")
-    found = materialize(rows.join(again.selectExpr("anchor", "x = y as same"), "anchor"), "anchors")
+    again = materialize(again.selectExpr("anchor", "x = y as same"), "again")  # written, so that the join can split the rows of a hot anchor
+    found = materialize(rows.join(again, "anchor"), "anchors")
     differ = found.filter("not same")
     each = differ.groupBy("anchor", "segment").agg(F.min(F.struct("k", "s0", "s1")).alias("one"), F.count(F.lit(1)).alias("n"))
-    crowds = each.groupBy("anchor").agg(F.count(F.lit(1)).alias("m")).filter(f"m > {CROWD}").select("anchor", F.lit(True).alias("crowd"))
-    each = materialize(each.join(crowds, "anchor", "left").select("anchor", "segment", "one.*", (F.col("n") > 1).alias("copied"), F.coalesce("crowd", F.lit(False)).alias("crowd")), "segments")
-    total = each.filter("not crowd").agg(F.sum(F.col("s1") - F.col("s0") + SPAN)).first()[0] or 0
-    shards = max(1, ceil(total / SHARD_BYTES))
+    each = materialize(each.select("anchor", "segment", "one.*", (F.col("n") > 1).alias("copied")), "segments")
+    crowds = materialize(each.groupBy("anchor").agg(F.count(F.lit(1)).alias("m")).filter(f"m > {CROWD}").select("anchor", F.lit(True).alias("crowd")), "crowds")
+    each = each.join(crowds, "anchor", "left").withColumn("crowd", F.coalesce("crowd", F.lit(False)))
 
     bytes_of = F.substring(F.encode("text", "utf-8"), F.col("s0") + 1, F.col("s1") - F.col("s0") + SPAN)
-    cut = each.join(docs, "k").select("anchor", "segment", "copied", "crowd", bytes_of.alias("bytes"))
+    cut = each.join(docs.dropDuplicates(["k"]), "k").select("anchor", "segment", "copied", "crowd", bytes_of.alias("bytes"))
+    cut = materialize(cut.select("anchor", "segment", "copied", "crowd", F.lit(0).alias("low"), (F.octet_length("bytes") - SPAN).alias("high"), "bytes"), "cut")
 
-    def one_shard(rows: pd.DataFrame) -> pd.DataFrame:
-        starts = repeated_starts(rows["bytes"].tolist())
-        out = [(a, s, *_spans(np.arange(len(x) - SPAN + 1) if c else at)) for a, s, x, c, at in zip(rows["anchor"], rows["segment"], rows["bytes"], rows["copied"], starts, strict=True)]
-        return pd.DataFrame([r for r in out if r[2]], columns=["anchor", "segment", "a", "b"])
+    small, parts = [cut.filter("not crowd").select(F.xxhash64("anchor").alias("key"), *_PART)], []
+    rest = cut.filter("crowd").select(*_PART)
+    for width in WIDTHS:
+        if rest.isEmpty():
+            break
+        done, few, rest = narrowed(rest, width)
+        parts.append(done)
+        small.append(few)
+    parts.append(by_shards(reduce(DataFrame.union, small)))
+    parts = materialize(reduce(DataFrame.union, parts), "parts")
+    hit = differ.join(parts, ["anchor", "segment"]).select("k", (F.col("s0") + F.col("low")).alias("a"), (F.col("s0") + F.col("high") + SPAN).alias("b"))
+    whole = found.filter("same").select("k", F.col("s0").alias("a"), (F.col("s1") + SPAN).alias("b"))
+    return hit.union(whole).groupBy("k").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
 
-    few = cut.filter("not crowd").withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards).cast("long")))
-    few = few.groupBy("shard").applyInPandas(one_shard, "anchor long, segment long, a array<int>, b array<int>")
 
-    many = crowded_starts(cut.filter("crowd").select("anchor", "segment", "copied", "bytes"))
-    many = many.groupBy("anchor", "segment").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.sequence("low", "high"))))).alias("a"))
-    many = many.select("anchor", "segment", "a", F.transform("a", lambda x: x + SPAN).alias("b"))
+_PART = ["anchor", "segment", "copied", "low", "high", "bytes"]
 
-    parts = few.union(many)
-    hit = differ.join(parts, ["anchor", "segment"]).select("k", F.expr("transform(arrays_zip(a, b), x -> struct(s0 + x.a as a, s0 + x.b as b))").alias("spans"))
-    whole = found.filter("same").select("k", F.array(F.struct(F.col("s0").alias("a"), (F.col("s1") + SPAN).alias("b"))).alias("spans"))
-    return hit.union(whole).groupBy("k").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
+def by_shards(segments: DataFrame) -> DataFrame:
+    """(anchor, segment, low, high): runs of starts of repeated strings, from suffix arrays over all segments
+    (key, anchor, segment, copied, low, high, bytes) of the same shard; a key's segments are in one shard."""
 
-_RANGE = "anchor long, segment long, copied boolean, low int, high int, bytes binary"
+    def one_shard(rows: pd.DataFrame) -> pd.DataFrame:
+        starts = repeated_starts(rows["bytes"].tolist())
+        out = []
+        for a, s, low, x, copied, at in zip(*(rows[c] for c in ("anchor", "segment", "low", "bytes", "copied")), starts, strict=True):
+            runs = _runs(np.arange(len(x) - SPAN + 1) if copied else at)
+            out += [(a, s, low + first, low + last) for first, last in runs]
+        return pd.DataFrame(out, columns=["anchor", "segment", "low", "high"])
 
+    total = segments.agg(F.sum(F.octet_length("bytes").cast("long"))).first()[0] or 0
+    shards = max(1, ceil(total / SHARD_BYTES))
+    few = segments.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards).cast("long")))
+    return few.groupBy("shard").applyInPandas(one_shard, "anchor long, segment long, low int, high int")
 
-def crowded_starts(segments: DataFrame) -> DataFrame:
-    """(anchor, segment, low, high): places in segments (anchor, segment, copied, bytes) where repeated strings start."""
-    rest = segments.select("anchor", "segment", "copied", F.lit(0).alias("low"), (F.octet_length("bytes") - SPAN).alias("high"), "bytes")
-    out = None
-    for width in WIDTHS:
-        parts = rest.mapInArrow(_ranges(width), f"{_RANGE}, inner binary, outer binary")
-        shared = parts.groupBy("anchor", "inner").agg(F.count(F.lit(1)).alias("n"), F.max("copied").alias("c")).filter("n > 1 or c").select("anchor", "inner")
-        parts = parts.join(shared, ["anchor", "inner"], "left_semi")
-        whole = parts.filter("outer is not null").groupBy("anchor", "outer").agg(F.count(F.lit(1)).alias("n"), F.max("copied").alias("c")).filter("n > 1 or c").select("anchor", "outer", F.lit(True).alias("all"))
-        parts = materialize(parts.join(whole, ["anchor", "outer"], "left"), "ranges")
-        done = parts.filter("all").select("anchor", "segment", "low", "high")
-        out = done if out is None else out.union(done)
-        # one of the ranges that are equal as a whole stays, as a partner for others
-        one = parts.filter("all").groupBy("anchor", "outer").agg(F.min(F.struct("segment", "low", "high", "bytes")).alias("x"))
-        one = one.select("anchor", "x.segment", F.lit(True).alias("copied"), "x.low", "x.high", "x.bytes")
-        rest = parts.filter("all is null").select(*one.columns).union(one)
-    return out
+
+def narrowed(rest: DataFrame, width: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Parts of crowded anchors cut into ranges of `width` starts and told apart by the bytes that a range's strings share.
+
+    Returns (anchor, segment, low, high) of the ranges that come again as a whole; the ranges, each different one once,
+    that meet few others, for shards; and those that still meet more than CROWD others, to be cut again. With a width of
+    1 a range's strings share all their bytes, so none is left.
+    """
+    cut = materialize(rest.mapInArrow(_ranges(width), ", ".join(f"{c} {rest.schema[c].dataType.simpleString()}" for c in _PART) + ", key long, content long"), "ranges")
+    each = cut.groupBy("anchor", "key", "content").agg(F.count(F.lit(1)).alias("n"), F.max("copied").alias("c"), F.min(F.struct("segment", "low")).alias("one"))
+    each = materialize(each.selectExpr("anchor", "key", "content", "n > 1 or c as again", "one.segment", "one.low"), "contents")
+    met = materialize(each.groupBy("anchor", "key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1"), "met")
+    done = cut.join(each.filter("again").select("anchor", "key", "content"), ["anchor", "key", "content"], "left_semi").select("anchor", "segment", "low", "high")
+    one = materialize(each.join(met, ["anchor", "key"]), "open").select("anchor", "key", "segment", "low", "again", "m")
+    one = materialize(one.join(cut.drop("copied"), ["anchor", "key", "segment", "low"]).withColumnRenamed("again", "copied"), "one")
+    few = one.filter(f"m <= {CROWD}").select(F.xxhash64("anchor", "key").alias("key"), *_PART)
+    return done, few, one.filter(f"m > {CROWD}").select(*_PART)
 
 
 def _ranges(width: int):
-    """Cuts the starts low to high of a segment into ranges of `width` places before the anchor, each with hashes of the
-    bytes that all its strings share, and of those that all of them span (null where the segment lacks some)."""
-    schema = pa.schema([("anchor", pa.int64()), ("segment", pa.int64()), ("copied", pa.bool_()), ("low", pa.int32()), ("high", pa.int32()), ("bytes", pa.binary()), ("inner", pa.binary()), ("outer", pa.binary())])
-    digest = lambda kind, x: hashlib.blake2b(x, digest_size=16, key=kind).digest()
+    """Cuts the starts low to high of a part into ranges of `width` places before the anchor, each with its own bytes, a
+    hash of those that all strings of a whole range there share, and one of all its bytes and its place."""
+    schema = pa.schema([("anchor", pa.int64()), ("segment", pa.int64()), ("copied", pa.bool_()), ("low", pa.int32()), ("high", pa.int32()), ("bytes", pa.binary()), ("key", pa.int64()), ("content", pa.int64())])
+    digest = lambda x, *n: int.from_bytes(hashlib.blake2b(x, digest_size=8, key=struct.pack(f"<{len(n)}i", *n)).digest(), "little", signed=True)
 
     def run(batches):
         for b in batches:
             out = []
-            for a, s, c, low, high, x in zip(*(b.column(n).to_pylist() for n in ("anchor", "segment", "copied", "low", "high", "bytes")), strict=True):
+            for a, s, c, low, high, x in zip(*(b.column(n).to_pylist() for n in _PART), strict=True):
                 data = np.frombuffer(x, np.uint8)
                 p = int(lowest_in_windows(Hashes(data).of(slice(0, len(x) - GRAM + 1), slice(GRAM, len(x) + 1)), WINDOW)[0])
-                for k in range((p - high) // width, (p - low) // width + 1):
-                    first, last = p - (k + 1) * width + 1, p - k * width  # the starts of a whole range
-                    kind = k.to_bytes(4, "big")
-                    outer = digest(kind, x[first : last + SPAN]) if first >= low and last <= high else None
-                    out.append((a, s, c, max(first, low), min(last, high), x, digest(kind, x[last : first + SPAN]), outer))
+                for k in range((p - high + low) // width, p // width + 1):
+                    first, last = p - (k + 1) * width + 1, p - k * width  # the starts of a whole range, from the part's first
+                    y, z = max(first, 0), min(last, high - low)
+                    own = x[y : z + SPAN]
+                    out.append((a, s, c, low + y, low + z, own, digest(x[last : first + SPAN], k), digest(own, k, p - y, z - y)))
+                if len(out) >= 2000:
+                    yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+                    out = []
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
