@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 Z95 = 1.959963984540054  # two-sided normal quantile at confidence 0.95
 BUCKETS = 256
+SMALL = 4096  # values of a group that one task sorts
 
 
 def wilson_lcb(k: Column, n: Column, z: float = Z95) -> Column:
@@ -62,11 +63,14 @@ def positions(df: DataFrame, by: list[str], key: str, name: str = "pos", rows_pe
 def running_sums(c: DataFrame, by: list[str], value: str, cols: list[str], buckets: int = BUCKETS) -> DataFrame:
     """c with upto_<col>: sums of each col over the rows of the same `by` whose value is at most this row's.
 
-    `c` has a row for each value. Ranges of equal width bound what one task sorts; sums over ranges are small.
+    `c` has a row for each value. A group of more than SMALL values is cut into ranges at approximate quantiles, so that
+    each holds about as many whatever the values are, outliers and infinities too; a task sorts a range, and sums over
+    ranges are small.
     """
-    ends = c.groupBy(*by).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
-    c = c.join(ends, by) if by else c.crossJoin(ends)
-    c = c.withColumn("_b", F.when(F.col("_hi") > F.col("_lo"), F.floor((F.col(value) - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * (buckets - 1))).otherwise(0).cast("long"))
+    shares = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
+    cuts = c.groupBy(*by).agg(F.when(F.count(F.lit(1)) > SMALL, F.percentile_approx(value, shares, F.lit(20 * buckets))).alias("_cuts"))
+    c = c.join(cuts, by) if by else c.crossJoin(cuts)
+    c = c.withColumn("_b", F.when(F.col("_cuts").isNull(), 0).otherwise(F.size(F.filter("_cuts", lambda q: q < F.col(value)))))
     sums = c.groupBy(*by, "_b").agg(*[F.sum(x).alias(f"_s_{x}") for x in cols])
     upto = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     sums = sums.select(*by, "_b", *[(F.sum(f"_s_{x}").over(upto) - F.col(f"_s_{x}")).alias(f"_before_{x}") for x in cols])
@@ -74,7 +78,7 @@ def running_sums(c: DataFrame, by: list[str], value: str, cols: list[str], bucke
     c = c.select("*", *[F.sum(x).over(inside).alias(f"_in_{x}") for x in cols]).join(sums, [*by, "_b"])
     for x in cols:
         c = c.withColumn(f"upto_{x}", F.col(f"_before_{x}") + F.col(f"_in_{x}"))
-    return c.drop("_b", "_lo", "_hi", *[f"_in_{x}" for x in cols], *[f"_before_{x}" for x in cols])
+    return c.drop("_b", "_cuts", *[f"_in_{x}" for x in cols], *[f"_before_{x}" for x in cols])
 
 
 def running_counts(df: DataFrame, by: list[str], value: str = "value") -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.stats import quantiles, unpivot
+
 
 def parse_points_text(df: DataFrame, text: str = "text", key: str = "scene") -> DataFrame:
     """key, point_id, x, y, z, error, track: a point on each line, `ID X Y Z R G B ERROR (IMAGE INDEX)*`; '#' lines are comments."""
@@ -59,7 +61,10 @@ def pose_stats(df: DataFrame) -> DataFrame:
 
 def point_stats(df: DataFrame, scenes: DataFrame | None = None) -> DataFrame:
     """scene, n_points, extents, volume, density, mean, deviation and median of error and track; scenes without points: nulls."""
-    d = df.groupBy("scene").agg(F.count("x").alias("n_points"), *[(F.max(c) - F.min(c)).alias(f"extent_{c}") for c in "xyz"], *[f(c).alias(f"{c}_{n}") for c in ("error", "track") for n, f in (("mean", F.avg), ("std", F.stddev_pop), ("median", F.median))])
+    d = df.groupBy("scene").agg(F.count("x").alias("n_points"), *[(F.max(c) - F.min(c)).alias(f"extent_{c}") for c in "xyz"], *[f(c).alias(f"{c}_{n}") for c in ("error", "track") for n, f in (("mean", F.avg), ("std", F.stddev_pop))])
+    q = quantiles(unpivot(df, ["scene"], ["error", "track"]), ["scene", "feature"], {"median": 0.5})  # of any number of points in a scene
+    q = q.groupBy("scene").agg(*[F.max(F.when(F.col("feature") == c, F.col("median"))).alias(f"{c}_median") for c in ("error", "track")])
+    d = d.join(q, "scene", "left")
     volume = F.greatest(F.col("extent_x"), F.lit(1e-12)) * F.greatest(F.col("extent_y"), F.lit(1e-12)) * F.greatest(F.col("extent_z"), F.lit(1e-12))
     d = d.withColumn("volume", volume).withColumn("density", F.col("n_points") / volume)
     return d if scenes is None else scenes.select("scene").distinct().join(d, "scene", "left").withColumn("n_points", F.coalesce("n_points", F.lit(0)))
@@ -90,9 +95,21 @@ def edge_share(pixels: DataFrame) -> DataFrame:
 
 
 def image_stats(per_image: DataFrame, cols: list[str]) -> DataFrame:
+    """Mean and deviation over a scene's images of each column; images that lack a value don't count for it."""
     return per_image.groupBy("scene").agg(*[f(c).alias(f"{c}_{n}") for c in cols for n, f in (("mean", F.avg), ("std", F.stddev_pop))])
 
 
+def scene_image_stats(entropy: DataFrame, edges: DataFrame, frames: DataFrame) -> DataFrame:
+    """Per scene, mean and deviation of entropy, edge share, mask share and sharpness.
+
+    entropy and edges are as image_entropy and edge_share return them; frames has scene, image and sharpness (null where
+    a frame has none). A scene is there if any of the three has it.
+    """
+    keys = ["scene", "image"]
+    d = entropy.join(edges, keys, "full").join(frames.select(*keys, "sharpness"), keys, "full")
+    return image_stats(d, ["entropy", "edges", "mask_share", "sharpness"])
+
+
 def focus_point(df: DataFrame) -> DataFrame:
     """scene, fx, fy, fz, weight: over all ordered pairs of a scene's rays, the mean of the closest points on the first,
     weighted by |da x db|^2 where that is above 1e-5; a scene's rays are few."""

@@ -7,12 +7,13 @@ distribution at the drawn values, worked out once.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.stats import running_counts, running_sums
+from ..functions.stats import running_counts, running_sums, wilson_lcb
 
 KEY = ["method", "metric"]
+TRIAL = ["b", "trial"]  # what tells draws apart; groupings, generators or seeds may come before
 
 
 def ranked(scores: DataFrame, by: list[str] = KEY) -> DataFrame:
@@ -21,16 +22,16 @@ def ranked(scores: DataFrame, by: list[str] = KEY) -> DataFrame:
     return scores.join(c.select(*by, "value", (F.col("le") / F.col("n")).alias("f_le"), (F.col("lt") / F.col("n")).alias("f_lt")), [*by, "value"])
 
 
-def trial_stats(draws: DataFrame, scores: DataFrame, by: list[str] = KEY) -> DataFrame:
-    """b, trial, by, n, mean, pop_mean, gap (absolute), ks."""
-    d = draws.select("b", "trial", "unit").join(ranked(scores, by), "unit")
-    own = Window.partitionBy("b", "trial", *by)
+def trial_stats(draws: DataFrame, scores: DataFrame, by: list[str] = KEY, keys: list[str] = TRIAL) -> DataFrame:
+    """keys, by, n, mean, pop_mean, gap (absolute), ks."""
+    d = draws.select(*keys, "unit").join(ranked(scores, by), "unit")
+    own = Window.partitionBy(*keys, *by)
     d = d.withColumn("n", F.count(F.lit(1)).over(own)).withColumn("lo", F.rank().over(own.orderBy("value")) - 1).withColumn("hi", F.count(F.lit(1)).over(own.orderBy("value")))
     apart = F.greatest(F.abs(F.col("hi") / F.col("n") - F.col("f_le")), F.abs(F.col("f_lt") - F.col("lo") / F.col("n")))
-    t = d.groupBy("b", "trial", *by).agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"), F.max(apart).alias("ks"))
+    t = d.groupBy(*keys, *by).agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"), F.max(apart).alias("ks"))
     means = scores.groupBy(*by).agg(F.avg("value").alias("pop_mean"))
     t = t.join(means, by).withColumn("gap", F.round(F.abs(F.col("mean") - F.col("pop_mean")), 9))
-    return t.withColumn("ks", F.round("ks", 9)).select("b", "trial", *by, "n", "mean", "pop_mean", "gap", "ks")
+    return t.withColumn("ks", F.round("ks", 9)).select(*keys, *by, "n", "mean", "pop_mean", "gap", "ks")
 
 
 def tolerances(scores: DataFrame, c: float, tau_ks: float) -> DataFrame:
@@ -38,17 +39,17 @@ def tolerances(scores: DataFrame, c: float, tau_ks: float) -> DataFrame:
     return scores.groupBy(*KEY).agg(F.round(c * F.stddev_samp("value"), 9).alias("tau")).withColumn("tau_ks", F.lit(tau_ks))
 
 
-def constraints(trials: DataFrame, tol: DataFrame) -> DataFrame:
-    """A row for each trial and constraint: method, metric, kind (mean or ks), ratio to its tolerance, ok."""
+def constraints(trials: DataFrame, tol: DataFrame, keys: list[str] = TRIAL) -> DataFrame:
+    """A row for each trial and constraint: method, metric, kind (mean or ks), amount, ratio to its tolerance, ok."""
     d = trials.join(tol, KEY)
-    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), (F.col(x) / F.col(t)).alias("ratio"), (F.col(x) <= F.col(t)).alias("ok")) for k, x, t in (("mean", "gap", "tau"), ("ks", "ks", "tau_ks"))])
-    return d.select("b", "trial", *KEY, F.explode(kinds).alias("x")).select("b", "trial", *KEY, "x.*")
+    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(x).alias("amount"), (F.col(x) / F.col(t)).alias("ratio"), (F.col(x) <= F.col(t)).alias("ok")) for k, x, t in (("mean", "gap", "tau"), ("ks", "ks", "tau_ks"))])
+    return d.select(*keys, *KEY, F.explode(kinds).alias("x")).select(*keys, *KEY, "x.*")
 
 
-def joint_event(rows: DataFrame) -> DataFrame:
-    """b, trial, ok (every constraint holds), mean_objective, joint_objective (largest ratios)."""
-    mean = F.max(F.when(F.col("kind") == "mean", F.col("ratio")))
-    return rows.groupBy("b", "trial").agg(F.every("ok").alias("ok"), F.round(mean, 9).alias("mean_objective"), F.round(F.max("ratio"), 9).alias("joint_objective"))
+def joint_event(rows: DataFrame, keys: list[str] = TRIAL) -> DataFrame:
+    """keys, ok (every constraint holds), mean_objective, joint_objective (largest ratios), max_ks."""
+    mean, ks = F.max(F.when(F.col("kind") == "mean", F.col("ratio"))), F.max(F.when(F.col("kind") == "ks", F.col("amount")))
+    return rows.groupBy(*keys).agg(F.every("ok").alias("ok"), F.round(mean, 9).alias("mean_objective"), F.round(F.max("ratio"), 9).alias("joint_objective"), ks.alias("max_ks"))
 
 
 def method_pass(rows: DataFrame) -> DataFrame:
@@ -122,16 +123,16 @@ def method_pairs(means: DataFrame, keys: list[str]) -> DataFrame:
     return d.select(*[F.col(f"a.{k}") for k in [*keys, "metric"]], F.col("a.method").alias("first"), F.col("b.method").alias("second"), (F.col("a.mean") - F.col("b.mean")).alias("diff"))
 
 
-def ranking_event(trials: DataFrame, scores: DataFrame, events: DataFrame, tol: DataFrame) -> DataFrame:
-    """b, trial, ok (joint event), keeps_order (A: the sign of every method gap), keeps_gap (B: and it is within the larger tolerance)."""
+def ranking_event(trials: DataFrame, scores: DataFrame, events: DataFrame, tol: DataFrame, keys: list[str] = TRIAL) -> DataFrame:
+    """events with keeps_order (A: the sign of every method gap) and keeps_gap (B: and it is within the larger tolerance)."""
     pop = method_pairs(scores.groupBy(*KEY).agg(F.avg("value").alias("mean")), []).withColumnRenamed("diff", "pop_diff")
-    own = method_pairs(trials.select("b", "trial", *KEY, "mean"), ["b", "trial"])
+    own = method_pairs(trials.select(*keys, *KEY, "mean"), keys)
     pair_tol = pop.join(tol.select(F.col("method").alias("first"), "metric", F.col("tau").alias("t1")), ["first", "metric"]).join(tol.select(F.col("method").alias("second"), "metric", F.col("tau").alias("t2")), ["second", "metric"])
     d = own.join(pair_tol, ["first", "second", "metric"])
     a = F.signum(F.round("diff", 9)) == F.signum(F.round("pop_diff", 9))
     b = F.round(F.abs(F.col("diff") - F.col("pop_diff")), 9) <= F.greatest("t1", "t2")
-    d = d.groupBy("b", "trial").agg(F.every(a).alias("keeps_order"), F.every(a & b).alias("keeps_gap"))
-    return events.select("b", "trial", "ok").join(d, ["b", "trial"])
+    d = d.groupBy(*keys).agg(F.every(a).alias("keeps_order"), F.every(a & b).alias("keeps_gap"))
+    return events.join(d, keys)
 
 
 def ranking_rates(rows: DataFrame) -> DataFrame:
@@ -140,20 +141,42 @@ def ranking_rates(rows: DataFrame) -> DataFrame:
     return rows.groupBy("b").agg(F.count(F.lit(1)).alias("n_trials"), rate(a).alias("order_rate"), rate(b).alias("gap_rate"), F.count_if(ok & a).alias("n_joint_order"), F.count_if(ok & b).alias("n_joint_gap"), F.round(F.avg(F.when(ok, a.cast("int"))), 9).alias("order_given_joint"))
 
 
-def simulate_budget(draws: DataFrame, wide: DataFrame, tol: dict[str, float], runtime_weight: float) -> DataFrame:
-    """Per trial of draws: gaps of the metrics in tol, their sum over tolerances plus the runtime share, and a pass flag.
+def simulate_budget(draws: DataFrame, wide: DataFrame, tol: dict[str, float], runtime_weight: float, keys: list[str] = TRIAL) -> DataFrame:
+    """Per trial of draws: gaps of the metrics in tol, mean runtime, the sum of gaps over tolerances plus the weighted ratio
+    of the draw's mean runtime to that of all, and a pass flag.
 
-    `wide` has unit, the metrics and runtime (nullable).
+    `wide` has unit, the metrics and runtime (nullable; where the ratio isn't known it doesn't count).
     """
-    pop = wide.agg(*[F.avg(m).alias(f"pop_{m}") for m in tol], F.sum("runtime").alias("pop_runtime"))
-    t = draws.join(wide, "unit").groupBy("b", "trial").agg(F.count(F.lit(1)).alias("units"), *[F.avg(m).alias(m) for m in tol], F.sum("runtime").alias("run")).crossJoin(F.broadcast(pop))
+    pop = wide.agg(*[F.avg(m).alias(f"pop_{m}") for m in tol], F.avg("runtime").alias("pop_runtime"))
+    t = draws.join(wide, "unit").groupBy(*keys).agg(F.count(F.lit(1)).alias("units"), *[F.avg(m).alias(m) for m in tol], F.avg("runtime").alias("run")).crossJoin(F.broadcast(pop))  # one row
     gap = lambda m: F.round(F.abs(F.col(m) - F.col(f"pop_{m}")), 9)
-    share = F.coalesce(F.col("run") / F.col("pop_runtime"), F.lit(0.0))
-    total = sum((gap(m) / F.lit(x) for m, x in tol.items()), runtime_weight * share)
+    ratio = F.coalesce(F.when(F.col("pop_runtime") > 1e-12, F.greatest(F.lit(0.0), F.col("run") / F.col("pop_runtime"))), F.lit(0.0))
+    total = sum((gap(m) / F.lit(x) for m, x in tol.items()), runtime_weight * ratio)
     ok = F.lit(True)
     for m, x in tol.items():
         ok = ok & (gap(m) <= x)
-    return t.select("b", "trial", "units", *[gap(m).alias(f"gap_{m}") for m in tol], F.round(share, 9).alias("runtime_share"), F.round(total, 6).alias("objective"), ok.alias("ok"))
+    return t.select(*keys, "units", *[gap(m).alias(f"gap_{m}") for m in tol], F.round("run", 9).alias("runtime_mean"), F.round(total, 6).alias("objective"), ok.alias("ok"))
+
+
+def budget_summary(sim: DataFrame, draws: DataFrame, pop: DataFrame, wide: DataFrame, tol: dict[str, float], regime_tol: dict[str, float], by: list[str] = ()) -> DataFrame:
+    """Per budget (and `by`): trials, passes, rate and bound, expected and 95 % gaps and runtimes, and of the best draw
+    (objective, then trial) its runtime, whether it passes, its largest gap of a regime, and whether all regimes pass.
+
+    sim: as simulate_budget returns it for draws; pop: unit, regime and `by`; gaps of regimes are held against regime_tol.
+    """
+    g = [*by, "b"]
+    q = lambda c: F.round(F.percentile(c, F.lit(0.95)), 6)  # noqa: E731  over trials
+    best = F.min(F.struct("objective", "trial", "ok", "runtime_mean", "units"))
+    s = sim.groupBy(*g).agg(F.count(F.lit(1)).alias("n_trials"), F.count_if("ok").alias("n_pass"), *[x for m in tol for x in (F.round(F.avg(f"gap_{m}"), 6).alias(f"exp_gap_{m}"), q(f"gap_{m}").alias(f"p95_gap_{m}"))], F.round(F.avg("runtime_mean"), 6).alias("exp_runtime"), q("runtime_mean").alias("p95_runtime"), best.alias("x"))
+    s = s.select(*g, F.col("x.units").alias("size"), "n_trials", "n_pass", F.round(F.col("n_pass") / F.col("n_trials"), 9).alias("rate"), F.round(wilson_lcb(F.col("n_pass"), F.col("n_trials")), 9).alias("lcb"),
+                 *[f"{k}_gap_{m}" for m in tol for k in ("exp", "p95")], "exp_runtime", "p95_runtime", F.col("x.trial").alias("best_trial"), F.col("x.objective").alias("best_objective"), F.round("x.runtime_mean", 6).alias("best_runtime"), F.col("x.ok").alias("best_pass"))
+    full = pop.join(wide, "unit").groupBy(*by, "regime").agg(*[F.avg(m).alias(f"full_{m}") for m in tol])
+    own = draws.join(s.select(*g, F.col("best_trial").alias("trial")), [*g, "trial"], "left_semi").join(wide, "unit").groupBy(*g, "regime").agg(*[F.avg(m).alias(m) for m in tol])
+    worst = own.join(full, [*by, "regime"]).groupBy(*g).agg(*[F.round(F.max(F.abs(F.col(m) - F.col(f"full_{m}"))), 9).alias(f"regime_gap_{m}") for m in tol])
+    ok = F.lit(True)
+    for m, x in regime_tol.items():
+        ok = ok & (F.col(f"regime_gap_{m}") <= x)
+    return s.join(worst, g).withColumn("best_regime_pass", ok)
 
 
 def random_baseline(trials: DataFrame, observed: DataFrame) -> DataFrame:
@@ -189,7 +212,3 @@ def calibration(scores: DataFrame, tol: DataFrame) -> DataFrame:
     gap = method_pairs(s.select(*KEY, "mean"), []).groupBy("metric").agg(F.min(F.round(F.abs("diff"), 9)).alias("smallest_gap"))
     d = s.join(tol, KEY).groupBy("metric").agg(F.round(F.max(F.col("tau") / F.col("sigma")), 6).alias("tau_over_sigma"), F.max("tau").alias("tau"))
     return d.join(gap, "metric").select("metric", "tau_over_sigma", "smallest_gap", (F.col("tau") < F.col("smallest_gap")).alias("below_gap"))
-
-
-def every(cond: Column) -> Column:
-    return F.every(cond)

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.graph import components
+from ..sources.tables import stored
 from .clean import drop_constant, impute_mean
 
 
@@ -50,11 +51,49 @@ def silhouette(df: DataFrame, label: str = "label", key: str = "unit") -> DataFr
     return d.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(s), 6).alias("silhouette"))
 
 
+BLOCK = 1024  # units of a block
+
+
+def distance_sums(df: DataFrame, label: str = "label", key: str = "unit", within: bool = False) -> DataFrame:
+    """key, label, other, total, n: number and sum of Euclidean distances of each unit to the other units of each label,
+    or of its own label only (`within`).
+
+    These sums are over all pairs by definition. Units are dealt into blocks of about BLOCK; each two blocks (of one
+    label, if `within`) meet in a task of their own and give a row for each unit and label, so no label is gathered in a
+    task, however many units it has; a vector is sent once for each block that it meets.
+    """
+    scope = F.col(label) if within else F.lit(0)
+    d = df.select(F.col(key).alias("x"), F.col(label).alias("lx"), "v", scope.alias("scope"))
+    sizes = d.groupBy(F.col("scope").alias("of")).agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
+    d = stored(d.join(sizes, F.col("scope").eqNullSafe(F.col("of"))).select("x", "lx", "v", "scope", "blocks", F.pmod(F.xxhash64("x"), "blocks").alias("block")), "blocks")
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    left = d.select("scope", F.col("block").alias("i"), every.alias("j"), "x", "lx", "v")
+    right = d.select(F.col("scope").alias("scope2"), every.alias("i2"), F.col("block").alias("j2"), F.col("x").alias("y"), F.col("lx").alias("ly"), F.col("v").alias("w"))  # as one side of a cogroup must not have columns of the other
+    kind, ids = df.schema[label].dataType.simpleString(), df.schema[key].dataType.simpleString()
+
+    def pairs(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(a) and len(b):
+            y, codes, labels = np.array(b["w"].tolist(), float), *pd.factorize(b["ly"], use_na_sentinel=False)
+            for at in range(0, len(a), 32):
+                part = a[at : at + 32]
+                far = np.sqrt(((np.array(part["v"].tolist(), float)[:, None] - y[None]) ** 2).sum(2))
+                other = part["x"].to_numpy()[:, None] != b["y"].to_numpy()[None]
+                for k, name in enumerate(labels):
+                    inside = other & (codes == k)[None]
+                    out.append(pd.DataFrame({"x": part["x"], "lx": part["lx"], "ly": name, "total": (far * inside).sum(1), "n": inside.sum(1)}))
+        return pd.concat(out) if out else pd.DataFrame({"x": [], "lx": [], "ly": [], "total": [], "n": []})
+
+    met = left.groupBy("scope", "i", "j").cogroup(right.groupBy("scope2", "i2", "j2")).applyInPandas(pairs, f"x {ids}, lx {kind}, ly {kind}, total double, n long")
+    sums = met.groupBy("x", "lx", "ly").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
+    return sums.select(F.col("x").alias(key), F.col("lx").alias(label), F.col("ly").alias("other"), "total", "n")
+
+
 def silhouette_exact(df: DataFrame, label: str = "label", key: str = "unit") -> DataFrame:
-    """The same by Euclidean distance, from all pairs: for thousands of units."""
-    a, b = df.select(F.col(key).alias("x"), F.col(label).alias("lx"), F.col("v").alias("vx")), df.select(F.col(key).alias("y"), F.col(label).alias("ly"), F.col("v").alias("vy"))
-    p = a.join(b, F.col("x") != F.col("y")).groupBy("x", "lx", "ly").agg(F.avg(distance(F.col("vx"), F.col("vy"))).alias("d"))
-    p = p.groupBy("x").agg(F.max(F.when(F.col("lx") == F.col("ly"), F.col("d"))).alias("a"), F.min(F.when(F.col("lx") != F.col("ly"), F.col("d"))).alias("b"))
+    """The same by Euclidean distance, from the sums of distances over all pairs."""
+    d = distance_sums(df, label, key).filter("n > 0").withColumn("d", F.col("total") / F.col("n"))
+    own = F.col("other") == F.col(label)
+    p = d.groupBy(key).agg(F.max(F.when(own, F.col("d"))).alias("a"), F.min(F.when(~own, F.col("d"))).alias("b"))
     s = F.when(F.col("a").isNull() | F.col("b").isNull(), 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b"))
     return p.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(s), 6).alias("silhouette"))
 
@@ -106,10 +145,9 @@ def reps_centroid(df: DataFrame, n: int, label: str = "label", key: str = "unit"
 
 
 def reps_medoid(df: DataFrame, label: str = "label", key: str = "unit") -> DataFrame:
-    """The unit of each cluster with the least sum of Euclidean distances to the others, from pairs inside clusters."""
-    a, b = df.select(label, F.col(key).alias("x"), F.col("v").alias("vx")), df.select(label, F.col(key).alias("y"), F.col("v").alias("vy"))
-    d = a.join(b, label).groupBy(label, "x").agg(F.round(F.sum(distance(F.col("vx"), F.col("vy"))), 6).alias("d"))
-    return d.groupBy(label).agg(F.min(F.struct("d", "x")).alias("s")).select(label, F.col("s.x").alias(key), F.col("s.d").alias("total"))
+    """The unit of each cluster with the least sum of Euclidean distances to the others, ties by key."""
+    d = distance_sums(df, label, key, within=True)
+    return d.groupBy(label).agg(F.min(F.struct(F.round("total", 6).alias("d"), F.col(key).alias("x"))).alias("s")).select(label, F.col("s.x").alias(key), F.col("s.d").alias("total"))
 
 
 def rep_metric_summary(reps: DataFrame, scores: DataFrame, key: str = "unit") -> DataFrame:
@@ -161,9 +199,12 @@ def region_bounds(df: DataFrame, flag: str, pad: float = 0.2) -> DataFrame:
     return df.agg(*ends("x"), *ends("y"))
 
 
-def hull(df: DataFrame, by: str, buckets: int = 16) -> DataFrame:
-    """by, place, x, y: the corners of each group's convex hull, against the clock from the leftmost lowest. The hull of
-    hulls of hash buckets is the hull, so no task gets a whole group."""
+def hull(df: DataFrame, by: str, per_bucket: int = 100_000) -> DataFrame:
+    """by, place, x, y: the corners of each group's convex hull, against the clock from the leftmost lowest.
+
+    The hull of hulls of hash buckets is the hull; a group has a bucket for each `per_bucket` of its points, so no task
+    gets a whole group.
+    """
 
     def corners(points: pd.DataFrame) -> np.ndarray:
         p = np.unique(points[["x", "y"]].to_numpy(float), axis=0)
@@ -186,6 +227,8 @@ def hull(df: DataFrame, by: str, buckets: int = 16) -> DataFrame:
         return part(points).reset_index(names="place")[[by, "place", "x", "y"]]
 
     kind = df.schema[by].dataType.simpleString()
-    d = df.filter("x is not null and y is not null").select(by, "x", "y", F.pmod(F.xxhash64("x", "y"), F.lit(buckets)).alias("bucket"))
+    d = df.filter("x is not null and y is not null").select(by, "x", "y")
+    sizes = d.groupBy(F.col(by).alias("_by")).agg(F.ceil(F.count(F.lit(1)) / per_bucket).alias("_buckets"))
+    d = d.join(sizes, F.col(by).eqNullSafe(F.col("_by"))).select(by, "x", "y", F.pmod(F.xxhash64("x", "y"), F.col("_buckets")).alias("bucket"))
     d = d.groupBy(by, "bucket").applyInPandas(part, f"{by} {kind}, x double, y double")
     return d.groupBy(by).applyInPandas(whole, f"{by} {kind}, place long, x double, y double")

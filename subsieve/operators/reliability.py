@@ -2,18 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import wilson_lcb
+from . import fidelity as fi
 
 
 def frontier(events: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """Per budget: trials, passes, rate, lower bound, and the objectives of the best draw (joint, mean, trial)."""
+    """Per budget: trials, passes, rate, lower bound, and the objectives and largest KS distance of the best draw (joint,
+    mean, trial)."""
     by = by or []
-    best = F.min(F.struct("joint_objective", "mean_objective", "trial"))
+    best = F.min(F.struct("joint_objective", "mean_objective", "trial", "max_ks"))
     d = events.groupBy(*by, "b").agg(F.count(F.lit(1)).alias("n_trials"), F.count_if("ok").alias("n_pass"), best.alias("x"))
-    return d.select(*by, "b", "n_trials", "n_pass", F.round(F.col("n_pass") / F.col("n_trials"), 9).alias("rate"), F.round(wilson_lcb(F.col("n_pass"), F.col("n_trials")), 9).alias("lcb"), F.col("x.trial").alias("best_trial"), F.col("x.joint_objective").alias("best_joint"), F.col("x.mean_objective").alias("best_mean"))
+    return d.select(*by, "b", "n_trials", "n_pass", F.round(F.col("n_pass") / F.col("n_trials"), 9).alias("rate"), F.round(wilson_lcb(F.col("n_pass"), F.col("n_trials")), 9).alias("lcb"), F.col("x.trial").alias("best_trial"), F.col("x.joint_objective").alias("best_joint"), F.col("x.mean_objective").alias("best_mean"), F.col("x.max_ks").alias("best_max_ks"))
+
+
+def best_draw_stats(front: DataFrame, trials: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """by, b, best_trial, method, metric, gap, ks: the distances of each budget's best draw."""
+    by = by or []
+    best = front.select(*by, "b", "best_trial", F.col("best_trial").alias("trial"))
+    return trials.join(best, [*by, "b", "trial"]).select(*by, "b", "best_trial", "method", "metric", "gap", "ks")
 
 
 def recommend(front: DataFrame, targets: list[float], by: list[str] | None = None) -> DataFrame:
@@ -24,6 +33,12 @@ def recommend(front: DataFrame, targets: list[float], by: list[str] | None = Non
     return d.select(*by, "target", "b", F.when(F.col("b").isNull(), "not reached").otherwise("reached").alias("status"))
 
 
+def recommendations(grid: DataFrame) -> DataFrame:
+    """recommended, n, share: how often each size comes in a grid (size, null where none meets the target)."""
+    d = grid.groupBy(F.coalesce(F.col("size").cast("string"), F.lit("not reached")).alias("recommended")).agg(F.count(F.lit(1)).alias("n"))
+    return d.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy()), 9))
+
+
 def best_subset(events: DataFrame, draws: DataFrame, order: tuple[str, str] = ("joint_objective", "mean_objective")) -> DataFrame:
     """The units of the best draw for each budget."""
     best = events.groupBy("b").agg(F.min(F.struct(*order, "trial")).alias("x")).select("b", "x.trial")
@@ -95,12 +110,66 @@ def subset_overlap(subsets: DataFrame, name: str = "subset") -> DataFrame:
 
 
 def failure_modes(rows: DataFrame, by: list[str]) -> DataFrame:
-    """Per generator and budget: trials whose means hold, that hold jointly, and whose means hold but a KS distance doesn't,
-    with the first such trial of the lowest mean objective."""
-    mean = F.every(F.when(F.col("kind") == "mean", F.col("ok")))
-    t = rows.groupBy(*by, "b", "trial").agg(mean.alias("means"), F.every("ok").alias("ok"), F.round(F.max(F.when(F.col("kind") == "mean", F.col("ratio"))), 9).alias("objective"))
+    """Per generator and budget: trials, those whose means hold, whose KS distances hold, that hold jointly with their
+    bound, and whose means hold but a KS distance doesn't, with the first such trial of the lowest mean objective."""
+    every = lambda kind: F.every(F.when(F.col("kind") == kind, F.col("ok")))
+    t = rows.groupBy(*by, "b", "trial").agg(every("mean").alias("means"), every("ks").alias("kss"), F.every("ok").alias("ok"), F.round(F.max(F.when(F.col("kind") == "mean", F.col("ratio"))), 9).alias("objective"))
     bad = F.col("means") & ~F.col("ok")
-    return t.groupBy(*by, "b").agg(F.count(F.lit(1)).alias("n_trials"), F.count_if("means").alias("n_means"), F.count_if("ok").alias("n_joint"), F.count_if(bad).alias("n_means_only"), F.min(F.when(bad, F.struct("objective", "trial")))["trial"].alias("example"))
+    d = t.groupBy(*by, "b").agg(F.count(F.lit(1)).alias("n_trials"), F.count_if("means").alias("n_means"), F.count_if("kss").alias("n_ks"), F.count_if("ok").alias("n_joint"), F.count_if(bad).alias("n_means_only"), F.min(F.when(bad, F.struct("objective", "trial")))["trial"].alias("example"))
+    return d.withColumn("lcb", F.round(wilson_lcb(F.col("n_joint"), F.col("n_trials")), 9))
+
+
+def exported_draws(events: DataFrame, by: list[str], orders: dict[str, tuple[str, str]]) -> DataFrame:
+    """by, b, criterion, trial, mean_objective, joint_objective, max_ks, keeps_order: of each generator and budget the draw
+    that each criterion exports. events: as joint_event returns it, with keeps_order; orders: columns, by criterion."""
+    out = None
+    for name, (first, second) in orders.items():
+        best = F.min(F.struct(first, second, "trial", "max_ks", "keeps_order"))
+        one = events.groupBy(*by, "b").agg(best.alias("x")).select(*by, "b", F.lit(name).alias("criterion"), "x.trial", "x.mean_objective", "x.joint_objective", "x.max_ks", "x.keeps_order")
+        out = one if out is None else out.union(one)
+    return out
+
+
+def with_summaries(modes: DataFrame, summaries: DataFrame, by: str = "generator") -> DataFrame:
+    """modes, and rows of baselines of which only (by, b, rate, lcb) is known: a note says so, what isn't known is null."""
+    known = modes.withColumn("rate", F.round(F.col("n_joint") / F.col("n_trials"), 9)).withColumn("note", F.lit(""))
+    return known.unionByName(summaries.select(by, "b", "rate", "lcb", F.lit("summary only").alias("note")), allowMissingColumns=True)
+
+
+def selector_stability(picks: DataFrame, scores: DataFrame, tol: DataFrame) -> DataFrame:
+    """One row: runs of a stochastic selector, how many pass the joint event, and how much their subsets overlap.
+
+    picks: run, unit; every run picks a subset of the population that scores describes.
+    """
+    draws = picks.select(F.lit(0).alias("b"), F.col("run").alias("trial"), "unit").distinct()
+    events = fi.joint_event(fi.constraints(fi.trial_stats(draws, scores), tol))
+    passed = events.agg(F.count(F.lit(1)).alias("n_runs"), F.count_if("ok").alias("n_pass"))
+    return passed.crossJoin(subset_overlap(picks.select("run", "unit").distinct(), "run"))
+
+
+def select_joint(summary: DataFrame, target: float, max_size: int | None = None, metric: str = "lcb") -> DataFrame:
+    """One row of a joint sweep: among feasible rows whose best draw passes globally and in every regime, up to max_size
+    (all of these, if none is; all feasible rows, if none passes), the smallest that meets the target, else the one with
+    the best metric; ties by the metric, size, silhouette, balance, k and b.
+
+    summary: k, b, size, rate, lcb, feasible, best_pass, best_regime_pass, silhouette, balance; few rows.
+    """
+    all_, strict = Window.partitionBy(), F.col("best_pass") & F.col("best_regime_pass")
+    small = F.lit(True) if max_size is None else F.col("size") <= max_size
+    some = lambda c: F.max(F.coalesce(c, F.lit(False))).over(all_)
+    d = summary.filter("feasible").withColumn("_some", some(strict)).withColumn("_small", some(strict & small))
+    d = d.filter(F.when(~F.col("_some"), True).when(F.col("_small"), strict & small).otherwise(strict)).withColumn("meets", F.col(metric) >= target)
+    order = [F.desc("meets"), F.when(F.col("meets"), F.col("size")), F.desc(metric), "size", F.desc_nulls_last("silhouette"), F.desc_nulls_last("balance"), "k", "b"]
+    return d.orderBy(*order).limit(1).select("k", "b", "size", "rate", "lcb", "silhouette", "balance", "meets")
+
+
+def joint_sweep(summary: DataFrame, target: float, max_size: int | None = None) -> DataFrame:
+    """summary with its Pareto rows (high lcb, small size), its rank (lcb, size, silhouette) and the recommended row."""
+    front = pareto(summary, "lcb", "size").select("k", "b", F.lit(True).alias("pareto"))
+    best = select_joint(summary, target, max_size).select("k", "b", F.lit(True).alias("recommended"))
+    d = summary.join(front, ["k", "b"], "left").join(best, ["k", "b"], "left")
+    rank = F.row_number().over(Window.orderBy(F.desc("lcb"), "size", F.desc_nulls_last("silhouette"), "k", "b"))
+    return d.select("*", rank.alias("rank")).withColumns({c: F.coalesce(c, F.lit(False)) for c in ("pareto", "recommended")})
 
 
 def baseline_min_size(front: DataFrame, target: float, order: list[str], label: str = "generator") -> DataFrame:
@@ -108,7 +177,3 @@ def baseline_min_size(front: DataFrame, target: float, order: list[str], label:
     d = front.groupBy(label).agg(F.min(F.when(F.col("lcb") >= target, F.col("b"))).alias("b"), F.max("b").alias("limit"))
     place = F.array_position(F.array(*[F.lit(x) for x in order]), F.col(label))
     return d.select(place.cast("int").alias("place"), label, F.coalesce(F.col("b").cast("string"), F.concat(F.lit(">"), F.col("limit").cast("string"))).alias("size"))
-
-
-def passes(ok: Column, n: Column) -> Column:
-    return wilson_lcb(ok, n)

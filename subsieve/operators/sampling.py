@@ -17,33 +17,45 @@ def places(seed: Column, trial: Column, group: Column, n: Column, take: Column)
     h = lambda j: hash48(seed, trial, group, j)
     ordered = F.transform(F.array_sort(F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda j: F.struct(h(j).alias("h"), j.alias("j")))), lambda x: x["j"])
     tried = F.array_distinct(F.transform(F.sequence(F.lit(0).cast("long"), 4 * take + 40), lambda j: F.pmod(h(j), n)))
-    return F.slice(F.when(n < 2 * take, ordered).otherwise(tried), F.lit(1), take.cast("int"))
+    # so many hashes hold enough different places but for once in 2 ** 43 draws; then, too, all places are put in order
+    enough = F.transform(F.array(tried), lambda t: F.when(F.size(t) < take, ordered).otherwise(t))[0]
+    return F.slice(F.when(n < 2 * take, ordered).otherwise(enough), F.lit(1), take.cast("int"))
 
 
-def draw_allocated(pop: DataFrame, alloc: DataFrame, trials: int, seed: int) -> DataFrame:
+def draw_allocated(pop: DataFrame, alloc: DataFrame, trials: int, seed: int | str, by: list[str] = ()) -> DataFrame:
     """b, trial, unit, regime: from pop (unit, regime), by alloc (b, regime, take).
 
-    Budgets with an allocation below 1 or above its regime's size are left out. Units must be distinct.
+    Budgets with an allocation below 1 or above its regime's size are left out. Units must be distinct. Several
+    populations (groupings, generators) are drawn from at once if pop and alloc have the columns `by`, which tell them
+    apart; other columns of alloc tell draws apart. The seed may be one of these. All of them come back before b.
     """
-    placed = positions(pop.select("unit", "regime"), ["regime"], "unit")
-    sizes = pop.groupBy("regime").agg(F.count(F.lit(1)).alias("n"))
-    a = alloc.join(sizes, "regime", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    bad = F.max(((F.col("take") < 1) | (F.col("take") > F.col("n"))).cast("int")).over(Window.partitionBy("b"))
+    group, extra = [*by, "regime"], [c for c in alloc.columns if c not in ("b", "regime", "take", *by)]
+    placed = positions(pop.select("unit", *group), group, "unit")
+    sizes = pop.groupBy(*group).agg(F.count(F.lit(1)).alias("n"))
+    a = alloc.join(sizes, group, "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    bad = F.max(((F.col("take") < 1) | (F.col("take") > F.col("n"))).cast("int")).over(Window.partitionBy(*by, *extra, "b"))
     a = a.withColumn("bad", bad).filter("bad = 0").drop("bad")
-    a = a.withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(trials - 1)))).repartition("b", "trial", "regime")
-    seed_b = (F.lit(seed) + F.col("b")).cast("long")
-    drawn = a.select("b", "trial", "regime", F.explode(places(seed_b, F.col("trial"), F.col("regime"), F.col("n").cast("long"), F.col("take").cast("long"))).alias("pos"))
-    return drawn.join(placed, ["regime", "pos"]).select("b", "trial", "unit", "regime")
+    a = a.withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(trials - 1)))).repartition(*extra, "b", "trial", *group)
+    seed_b = ((F.col(seed) if isinstance(seed, str) else F.lit(seed)) + F.col("b")).cast("long")
+    drawn = a.select(*extra, "b", "trial", *group, F.explode(places(seed_b, F.col("trial"), F.col("regime"), F.col("n").cast("long"), F.col("take").cast("long"))).alias("pos"))
+    return drawn.join(placed, [*group, "pos"]).select(*by, *extra, "b", "trial", "unit", "regime")
 
 
-def budget_frame(pop: DataFrame, budgets: list[int]) -> DataFrame:
-    """b, regime, n for each budget and regime; regimes are few."""
-    sizes = pop.groupBy("regime").agg(F.count(F.lit(1)).alias("n"))
-    return sizes.select(F.explode(F.array(*[F.lit(b) for b in budgets])).alias("b"), "regime", "n")
+def budget_frame(pop: DataFrame, budgets: list[int], by: list[str] = ()) -> DataFrame:
+    """by, b, regime, n for each budget and regime; regimes are few."""
+    sizes = pop.groupBy(*by, "regime").agg(F.count(F.lit(1)).alias("n"))
+    return sizes.select(*by, F.explode(F.array(*[F.lit(b) for b in budgets])).alias("b"), "regime", "n")
 
 
-def allocate_equal(pop: DataFrame, budgets: list[int]) -> DataFrame:
-    return budget_frame(pop, budgets).select("b", "regime", F.col("b").alias("take"))
+def allocate_equal(pop: DataFrame, budgets: list[int], by: list[str] = ()) -> DataFrame:
+    return budget_frame(pop, budgets, by).select(*by, "b", "regime", F.col("b").alias("take"))
+
+
+def allocate_by_size(pop: DataFrame, sizes: list[int], by: list[str]) -> DataFrame:
+    """by, b, regime, take: for each population the different budgets size / regimes (half up) that its regimes can fill."""
+    k = pop.groupBy(*by, "regime").agg(F.count(F.lit(1)).alias("n")).groupBy(*by).agg(F.count(F.lit(1)).alias("k"), F.min("n").alias("smallest"), F.collect_list("regime").alias("regimes"))
+    b = k.select(*by, "smallest", "regimes", F.explode(F.array_distinct(F.transform(F.array(*[F.lit(s) for s in sizes]), lambda s: F.floor(s / F.col("k") + 0.5).cast("int")))).alias("b"))
+    return b.filter("b >= 1 and b <= smallest").select(*by, "b", F.explode("regimes").alias("regime"), F.col("b").alias("take"))
 
 
 def allocate_proportional(pop: DataFrame, budgets: list[int]) -> DataFrame:

@@ -11,7 +11,8 @@ from ..operators import reliability as re_
 from ..operators import sampling as sa
 from ..sources.tables import load, stored
 
-BUDGETS, TRIALS, SEED = [4, 8, 16], 40, 7
+BUDGETS, TRIALS, SEED = [4, 8, 16], 400, 7
+SWEEP = [4, 6, 8, 10, 12, 14, 16, 20]  # budgets of a full sweep
 TAU_C, TAU_KS = 0.2, 0.14
 TARGETS = [0.2, 0.5, 0.8]
 SETS = {"strict": (0.5, 0.8), "default": (1.0, 1.0), "relaxed": (2.0, 1.5)}
@@ -112,14 +113,16 @@ TOL = f"tol AS (SELECT method, metric, round({TAU_C} * stddev_samp(value), 9) AS
 
 def cons_sql(trials: str = "trials", name: str = "cons") -> str:
     return f"""
-{name} AS (SELECT b, trial, method, metric, 'mean' AS kind, gap / tau AS ratio, gap <= tau AS ok FROM {trials} JOIN tol USING (method, metric)
-           UNION ALL SELECT b, trial, method, metric, 'ks', ks / tau_ks, ks <= tau_ks FROM {trials} JOIN tol USING (method, metric))"""
+{name} AS (SELECT b, trial, method, metric, 'mean' AS kind, gap AS amount, gap / tau AS ratio, gap <= tau AS ok FROM {trials} JOIN tol USING (method, metric)
+           UNION ALL SELECT b, trial, method, metric, 'ks', ks, ks / tau_ks, ks <= tau_ks FROM {trials} JOIN tol USING (method, metric))"""
+
+
+EVENT = "bool_and(ok) AS ok, round(max(ratio) FILTER (kind = 'mean'), 9) AS mean_objective, round(max(ratio), 9) AS joint_objective, max(amount) FILTER (kind = 'ks') AS max_ks"
 
 
 def events_sql(cons: str = "cons", name: str = "ev", where: str = "true") -> str:
     return f"""
-{name} AS (SELECT b, trial, bool_and(ok) AS ok, round(max(ratio) FILTER (kind = 'mean'), 9) AS mean_objective, round(max(ratio), 9) AS joint_objective
-           FROM {cons} WHERE {where} GROUP BY b, trial)"""
+{name} AS (SELECT b, trial, {EVENT} FROM {cons} WHERE {where} GROUP BY b, trial)"""
 
 
 WILSON = "CASE WHEN {n} > 0 THEN greatest(0, ({k}::DOUBLE / {n} + 3.8414588206941236 / (2 * {n}) - 1.959963984540054 * sqrt({k}::DOUBLE / {n} * (1 - {k}::DOUBLE / {n}) / {n} + 3.8414588206941236 / (4 * {n} * {n}))) / (1 + 3.8414588206941236 / {n})) ELSE 0 END"
@@ -131,7 +134,7 @@ def frontier_sql(events: str = "ev", name: str = "fr", by: str = "") -> str:
 {name} AS (SELECT {by}b, count(*) AS n_trials, count(*) FILTER (ok) AS n_pass, round(count(*) FILTER (ok)::DOUBLE / count(*), 9) AS rate,
            round({WILSON.format(k="count(*) FILTER (ok)", n="count(*)")}, 9) AS lcb,
            min_by(trial, [joint_objective, mean_objective, trial::DOUBLE]) AS best_trial, min(joint_objective) AS best_joint,
-           min_by(mean_objective, [joint_objective, mean_objective, trial::DOUBLE]) AS best_mean FROM {events} GROUP BY {by}b)"""
+           min_by(mean_objective, [joint_objective, mean_objective, trial::DOUBLE]) AS best_mean, min_by(max_ks, [joint_objective, mean_objective, trial::DOUBLE]) AS best_max_ks FROM {events} GROUP BY {by}b)"""
 
 
 def sql(*parts: str) -> str:
@@ -294,8 +297,8 @@ def wide_r(a: Audit, spark, sf) -> DataFrame:
 def sim_sql(name: str = "sim", draws: str = "draws") -> str:
     return f"""
 {name} AS (SELECT b, trial, count(*) AS units, round(abs(avg(price) - (SELECT avg(price) FROM wide)), 9) AS gap_price, round(abs(avg(qty) - (SELECT avg(qty) FROM wide)), 9) AS gap_qty,
-        round(coalesce(sum(runtime) / (SELECT sum(runtime) FROM wide), 0), 9) AS runtime_share,
-        round(round(abs(avg(price) - (SELECT avg(price) FROM wide)), 9) / 2.0 + round(abs(avg(qty) - (SELECT avg(qty) FROM wide)), 9) / 2.5 + 0.1 * coalesce(sum(runtime) / (SELECT sum(runtime) FROM wide), 0), 6) AS objective,
+        round(avg(runtime), 9) AS runtime_mean,
+        round(round(abs(avg(price) - (SELECT avg(price) FROM wide)), 9) / 2.0 + round(abs(avg(qty) - (SELECT avg(qty) FROM wide)), 9) / 2.5 + 0.1 * coalesce(greatest(0, avg(runtime) / (SELECT avg(runtime) FROM wide)), 0), 6) AS objective,
         round(abs(avg(price) - (SELECT avg(price) FROM wide)), 9) <= 2.0 AND round(abs(avg(qty) - (SELECT avg(qty) FROM wide)), 9) <= 2.5 AS ok
         FROM {draws} JOIN wide USING (unit) GROUP BY b, trial)"""
 
@@ -309,6 +312,29 @@ def i4(spark, sf):
     return fi.simulate_budget(a.drawn(), wide_r(a, spark, sf), SIM_TOL, 0.1)
 
 
+REGIME_TOL = {"price": 8.0, "qty": 8.0}
+
+
+def summary_sql(name: str = "su", sim: str = "sim", draws: str = "draws") -> list[str]:
+    """The summary of a simulation, its best draws' regimes included."""
+    best = "min_by({}, [objective, trial::DOUBLE])"
+    return [
+        f"{name}_a AS (SELECT b, {best.format('units')} AS size, count(*) AS n_trials, count(*) FILTER (ok) AS n_pass, round(count(*) FILTER (ok)::DOUBLE / count(*), 9) AS rate, round({WILSON.format(k='count(*) FILTER (ok)', n='count(*)')}, 9) AS lcb, "
+        + ", ".join(f"round(avg(gap_{m}), 6) AS exp_gap_{m}, round(quantile_cont(gap_{m}, 0.95), 6) AS p95_gap_{m}" for m in SIM_TOL)
+        + f", round(avg(runtime_mean), 6) AS exp_runtime, round(quantile_cont(runtime_mean, 0.95), 6) AS p95_runtime, {best.format('trial')} AS best_trial, min(objective) AS best_objective, round({best.format('runtime_mean')}, 6) AS best_runtime, {best.format('ok')} AS best_pass FROM {sim} GROUP BY b)",
+        f"{name}_f AS (SELECT regime, avg(price) AS price, avg(qty) AS qty FROM pop JOIN wide USING (unit) GROUP BY regime)",
+        f"{name}_o AS (SELECT d.b, d.regime, avg(price) AS price, avg(qty) AS qty FROM {draws} d JOIN {name}_a a ON d.b = a.b AND d.trial = a.best_trial JOIN wide USING (unit) GROUP BY d.b, d.regime)",
+        f"{name} AS (SELECT {name}_a.*, w.regime_gap_price, w.regime_gap_qty, w.regime_gap_price <= 8.0 AND w.regime_gap_qty <= 8.0 AS best_regime_pass FROM {name}_a JOIN (SELECT o.b, round(max(abs(o.price - f.price)), 9) AS regime_gap_price, round(max(abs(o.qty - f.qty)), 9) AS regime_gap_qty FROM {name}_o o JOIN {name}_f f USING (regime) GROUP BY o.b) w USING (b))",
+    ]
+
+
+@query("i4_budget_summary", sql(*SIM, *summary_sql(), "SELECT * FROM su"))
+def i4_summary(spark, sf):
+    a = Audit(spark, sf)
+    draws, wide = stored(a.drawn(), "draws"), stored(wide_r(a, spark, sf), "wide")
+    return fi.budget_summary(fi.simulate_budget(draws, wide, SIM_TOL, 0.1), draws, a.pop, wide, SIM_TOL, REGIME_TOL)
+
+
 RGAPS = GAPS.replace("gaps AS (SELECT method", "rgaps AS (SELECT regime, method").replace("USING (unit)", "USING (unit, regime)")
 
 
@@ -440,6 +466,25 @@ def j2(spark, sf):
     return re_.frontier(Audit(spark, sf).events())
 
 
+_S = "[" + ", ".join(map(str, SWEEP)) + "]"
+
+
+@query("j2_full_sweep", sql(BASE, EQUAL.replace(_B, _S), draws_sql("alloc"), *FRONT[3:], "SELECT * FROM fr"))
+def j2_sweep(spark, sf):
+    """Eight budgets, as many trials each."""
+    a = Audit(spark, sf)
+    trials = fi.trial_stats(sa.draw_balanced(a.pop, SWEEP, TRIALS, SEED), a.scores)
+    return re_.frontier(fi.joint_event(fi.constraints(trials, a.tol())))
+
+
+@query("j2_best_draw", sql(*FRONT, "SELECT t.b, best_trial, method, metric, gap, ks FROM trials t JOIN fr ON fr.b = t.b AND fr.best_trial = t.trial"))
+def j2_best(spark, sf):
+    """Gaps and KS distances of each budget's best draw."""
+    a = Audit(spark, sf)
+    trials = stored(a.trials(), "trials")
+    return re_.best_draw_stats(re_.frontier(fi.joint_event(fi.constraints(trials, a.tol()))), trials)
+
+
 @query("j3_recommend", sql(*FRONT, f"SELECT target, min(b) FILTER (lcb >= target) AS b, CASE WHEN min(b) FILTER (lcb >= target) IS NULL THEN 'not reached' ELSE 'reached' END AS status FROM fr, (SELECT unnest({TARGETS})::DOUBLE AS target) GROUP BY target"))
 def j3(spark, sf):
     return re_.recommend(re_.frontier(Audit(spark, sf).events()), TARGETS)
@@ -496,26 +541,19 @@ def j10(spark, sf):
 
 
 SEEDS = [7, 107, 207]
-_SEEDED = [part for s in SEEDS for part in (draws_sql("alloc", f"d{s}", trials=20, seed=s), trials_sql(f"d{s}", f"t{s}"), cons_sql(f"t{s}", f"c{s}"), events_sql(f"c{s}", f"e{s}"))]
+_SEEDED = [part for s in SEEDS for part in (draws_sql("alloc", f"d{s}", seed=s), trials_sql(f"d{s}", f"t{s}"), cons_sql(f"t{s}", f"c{s}"), events_sql(f"c{s}", f"e{s}"))]
 SEEDED = [BASE, EQUAL, TRIAL, TOL, *_SEEDED, "ae AS (" + " UNION ALL ".join(f"SELECT {s} AS seed, * FROM e{s}" for s in SEEDS) + ")", frontier_sql("ae", "sf", "seed")]
 
 
-def _seeded(a: Audit) -> tuple[DataFrame, DataFrame]:
-    draws = stored(union_all([sa.draw_balanced(a.pop, BUDGETS, 20, s).withColumn("seed", F.lit(s)) for s in SEEDS]), "draws")
-    events = union_all([fi.joint_event(fi.constraints(fi.trial_stats(draws.filter(F.col("seed") == s), a.scores), a.tol())).withColumn("seed", F.lit(s)) for s in SEEDS])
-    return draws, events
-
-
-@query("j11_seed_grid", sql(*SEEDED, "SELECT seed, min(b) FILTER (lcb >= 0.1) AS b, max(n_pass) AS most_pass FROM sf GROUP BY seed"))
-def j11(spark, sf):
-    _, events = _seeded(Audit(spark, sf))
-    front = re_.frontier(events, ["seed"])
-    return front.groupBy("seed").agg(F.min(F.when(F.col("lcb") >= 0.1, F.col("b"))).alias("b"), F.max("n_pass").alias("most_pass"))
+def with_seeds(alloc: DataFrame) -> DataFrame:
+    return alloc.withColumn("seed", F.explode(F.array(*[F.lit(s) for s in SEEDS])))
 
 
 @query("j13_subset_overlap", sql(*SEEDED, "bs AS (" + " UNION ALL ".join(f"SELECT {s} AS seed, unit FROM d{s} JOIN sf ON sf.seed = {s} AND sf.b = 16 AND d{s}.b = 16 AND d{s}.trial = sf.best_trial" for s in SEEDS) + ")", "pr AS (SELECT x.seed AS a, y.seed AS c, (SELECT count(*) FROM bs u JOIN bs v USING (unit) WHERE u.seed = x.seed AND v.seed = y.seed) AS k, x.n AS nx, y.n AS ny FROM (SELECT seed, count(*) AS n FROM bs GROUP BY 1) x, (SELECT seed, count(*) AS n FROM bs GROUP BY 1) y WHERE x.seed < y.seed)", "SELECT count(*) AS n_pairs, round(avg(k::DOUBLE / (nx + ny - k)), 9) AS mean_jaccard, round(avg(k::DOUBLE / least(nx, ny)), 9) AS mean_overlap FROM pr"))
 def j13(spark, sf):
-    draws, events = _seeded(Audit(spark, sf))
+    a, keys = Audit(spark, sf), ["seed", *fi.TRIAL]
+    draws = stored(sa.draw_allocated(a.pop, with_seeds(sa.allocate_equal(a.pop, BUDGETS)), TRIALS, "seed"), "draws")
+    events = fi.joint_event(fi.constraints(fi.trial_stats(draws, a.scores, keys=keys), a.tol(), keys), keys)
     best = re_.frontier(events, ["seed"]).filter("b = 16").select("seed", "b", F.col("best_trial").alias("trial"))
     return re_.subset_overlap(draws.join(best, ["seed", "b", "trial"], "left_semi").select("seed", "unit"), "seed")
 
@@ -524,24 +562,51 @@ MODES = [*TRIED, *UNIFORM, trials_sql("udraws", "ut"), cons_sql("ut", "uc"), PRO
 ALL_CONS = "ac AS (SELECT 'equal' AS generator, * FROM cons UNION ALL SELECT 'uniform', * FROM uc UNION ALL SELECT 'proportional', * FROM pc)"
 
 
-def _generators(a: Audit) -> DataFrame:
-    draws = {"equal": a.drawn(), "uniform": sa.draw_uniform(a.pop, BUDGETS, TRIALS, SEED), "proportional": sa.draw_allocated(a.pop, sa.allocate_proportional(a.pop, BUDGETS), TRIALS, SEED)}
-    return union_all([fi.constraints(fi.trial_stats(d, a.scores), a.tol()).withColumn("generator", F.lit(k)) for k, d in draws.items()])
+GENERATOR = ["generator", *fi.TRIAL]
 
 
-@query("j14_failure_modes", sql(*MODES, ALL_CONS, "fm AS (SELECT generator, b, trial, bool_and(ok) FILTER (kind = 'mean') AS means, bool_and(ok) AS ok, round(max(ratio) FILTER (kind = 'mean'), 9) AS objective FROM ac GROUP BY ALL)", "SELECT generator, b, count(*) AS n_trials, count(*) FILTER (means) AS n_means, count(*) FILTER (ok) AS n_joint, count(*) FILTER (means AND NOT ok) AS n_means_only, min_by(trial, [objective, trial::DOUBLE]) FILTER (means AND NOT ok) AS example FROM fm GROUP BY ALL"))
-def j14(spark, sf):
-    return re_.failure_modes(_generators(Audit(spark, sf)), ["generator"])
+def _generators(a: Audit) -> tuple[DataFrame, DataFrame]:
+    """Trials and constraints of three generators, drawn at once."""
+    k = a.pop.select("regime").distinct().count()
+    named = lambda df, name, seed=None: df.withColumn("generator", F.lit(name)) if seed is None else df.withColumns({"generator": F.lit(name), "seed": F.lit(seed)})
+    all_ = a.pop.select("unit", F.lit("all").alias("regime"))
+    pops = union_all([named(a.pop, "equal"), named(a.pop, "proportional"), named(all_, "uniform")])
+    uniform = a.pop.sparkSession.createDataFrame([(b, "all", k * b) for b in BUDGETS], "b int, regime string, take int")
+    allocs = union_all([named(sa.allocate_equal(a.pop, BUDGETS), "equal", SEED), named(sa.allocate_proportional(a.pop, BUDGETS), "proportional", SEED), named(uniform, "uniform", SEED + 10000)])
+    trials = stored(fi.trial_stats(sa.draw_allocated(pops, allocs, TRIALS, "seed", ["generator"]), a.scores, keys=GENERATOR), "trials")
+    return trials, fi.constraints(trials, a.tol(), GENERATOR)
+
 
+ALL_EVENTS = f"ae AS (SELECT generator, b, trial, {EVENT} FROM ac GROUP BY ALL)"
+ALLOC_FRONT = [*MODES, ALL_CONS, ALL_EVENTS, frontier_sql("ae", "af", "generator")]
 
-ALLOC_FRONT = [*MODES, ALL_CONS, "ae AS (SELECT generator, b, trial, bool_and(ok) AS ok, round(max(ratio) FILTER (kind = 'mean'), 9) AS mean_objective, round(max(ratio), 9) AS joint_objective FROM ac GROUP BY ALL)", frontier_sql("ae", "af", "generator")]
+
+@query("j14_failure_modes", sql(*ALLOC_FRONT, "fm AS (SELECT generator, b, trial, bool_and(ok) FILTER (kind = 'mean') AS means, bool_and(ok) FILTER (kind = 'ks') AS kss, bool_and(ok) AS ok, round(max(ratio) FILTER (kind = 'mean'), 9) AS objective FROM ac WHERE generator <> 'proportional' GROUP BY ALL)",
+        "SELECT generator, b, count(*) AS n_trials, count(*) FILTER (means) AS n_means, count(*) FILTER (kss) AS n_ks, count(*) FILTER (ok) AS n_joint, count(*) FILTER (means AND NOT ok) AS n_means_only, min_by(trial, [objective, trial::DOUBLE]) FILTER (means AND NOT ok) AS example, "
+        f"round({WILSON.format(k='count(*) FILTER (ok)', n='count(*)')}, 9) AS lcb, round(count(*) FILTER (ok)::DOUBLE / count(*), 9) AS rate, '' AS note FROM fm GROUP BY generator, b UNION ALL SELECT generator, b, NULL, NULL, NULL, NULL, NULL, NULL, lcb, rate, 'summary only' FROM af WHERE generator = 'proportional'"))
+def j14(spark, sf):
+    """Two generators by trials; of the third only the summary is taken as known."""
+    _, cons = _generators(Audit(spark, sf))
+    summary = re_.frontier(fi.joint_event(cons.filter("generator = 'proportional'"), GENERATOR), ["generator"])
+    return re_.with_summaries(re_.failure_modes(cons.filter("generator <> 'proportional'"), ["generator"]), summary)
+
+
+@query("j14_exported_draws", sql(*MODES, ALL_CONS, ALL_EVENTS, "atr AS (SELECT 'equal' AS generator, * FROM trials UNION ALL SELECT 'uniform', * FROM ut UNION ALL SELECT 'proportional', * FROM pt)", """
+pd AS (SELECT metric, x.method AS f, y.method AS s, x.pop_mean - y.pop_mean AS pd FROM pm x JOIN pm y USING (metric) WHERE x.method < y.method),
+od AS (SELECT generator, b, trial, metric, x.method AS f, y.method AS s, x.mean - y.mean AS od FROM atr x JOIN atr y USING (generator, b, trial, metric) WHERE x.method < y.method),
+ko AS (SELECT generator, b, trial, bool_and(sign(round(od, 9)) = sign(round(pd, 9))) AS keeps_order FROM od JOIN pd USING (metric, f, s) GROUP BY ALL),
+eo AS (SELECT * FROM ae JOIN ko USING (generator, b, trial))""", " UNION ALL ".join(
+    f"SELECT * FROM (SELECT generator, b, '{c}' AS criterion, trial, mean_objective, joint_objective, max_ks, keeps_order FROM eo QUALIFY row_number() OVER (PARTITION BY generator, b ORDER BY {c}_objective, {o}_objective, trial) = 1)" for c, o in (("joint", "mean"), ("mean", "joint")))))
+def j14_exported(spark, sf):
+    """What a joint and a mean-only criterion export, and whether the ranking of methods is kept."""
+    a = Audit(spark, sf)
+    trials, cons = _generators(a)
+    events = fi.ranking_event(trials, a.scores, fi.joint_event(cons, GENERATOR), a.tol(), GENERATOR)
+    return re_.exported_draws(events, ["generator"], {"joint": ("joint_objective", "mean_objective"), "mean": ("mean_objective", "joint_objective")})
 
 
 def _alloc_front(a: Audit) -> DataFrame:
-    rows = _generators(a)
-    mean = F.max(F.when(F.col("kind") == "mean", F.col("ratio")))
-    events = rows.groupBy("generator", "b", "trial").agg(F.every("ok").alias("ok"), F.round(mean, 9).alias("mean_objective"), F.round(F.max("ratio"), 9).alias("joint_objective"))
-    return re_.frontier(events, ["generator"])
+    return re_.frontier(fi.joint_event(_generators(a)[1], GENERATOR), ["generator"])
 
 
 @query("j15_compare_allocations", sql(*ALLOC_FRONT, "SELECT * FROM af"))
@@ -562,7 +627,7 @@ def j18(spark, sf):
 LEVELS = {"two": ["N", "R"], "three": ["A", "N", "R"]}
 
 
-@query("j19_multi_method_frontier", sql(*TRIED, "lv AS (SELECT 'two' AS level, * FROM cons WHERE method IN ('N', 'R') UNION ALL SELECT 'three', * FROM cons)", "le AS (SELECT level, b, trial, bool_and(ok) AS ok, round(max(ratio) FILTER (kind = 'mean'), 9) AS mean_objective, round(max(ratio), 9) AS joint_objective FROM lv GROUP BY ALL)", frontier_sql("le", "lf", "level"), "SELECT * FROM lf"))
+@query("j19_multi_method_frontier", sql(*TRIED, "lv AS (SELECT 'two' AS level, * FROM cons WHERE method IN ('N', 'R') UNION ALL SELECT 'three', * FROM cons)", f"le AS (SELECT level, b, trial, {EVENT} FROM lv GROUP BY ALL)", frontier_sql("le", "lf", "level"), "SELECT * FROM lf"))
 def j19(spark, sf):
     cons = stored(Audit(spark, sf).cons(), "constraints")
     return re_.frontier(union_all([fi.joint_event(cons.filter(F.col("method").isin(m))).withColumn("level", F.lit(k)) for k, m in LEVELS.items()]), ["level"])

@@ -247,13 +247,13 @@ BOTH = [*RANKS, "b AS (SELECT metric, method, fr.average AS f, sr.average AS s F
 
 @query("k4_kendall", sql(*BOTH, "SELECT x.metric, round(sum(sign(x.f - y.f) * sign(x.s - y.s)) / sqrt(sum(abs(sign(x.f - y.f))) * sum(abs(sign(x.s - y.s)))), 9) AS tau FROM b x JOIN b y ON x.metric = y.metric AND x.method < y.method GROUP BY x.metric"))
 def k4(spark, sf):
-    return rk.kendall(_both(spark, sf), ["metric"], "method", "f", "s")
+    return rk.kendall(_both(spark, sf), ["metric"], "f", "s")
 
 
 @query("k4_kendall_units", f"WITH {EV}, w AS (SELECT unit, max(value) FILTER (method = 'click') AS f, max(value) FILTER (method = 'view') AS s FROM e WHERE metric = 'value' GROUP BY unit HAVING count(*) FILTER (method IN ('click', 'view')) = 2) SELECT 'value' AS metric, round(sum(sign(round(x.f - y.f, 9)) * sign(round(x.s - y.s, 9))) / sqrt(sum(abs(sign(round(x.f - y.f, 9)))) * sum(abs(sign(round(x.s - y.s, 9))))), 9) AS tau FROM w x JOIN w y ON x.unit < y.unit")
 def k4_units(spark, sf):
     w = al.align_methods(event_scores(spark, sf).filter("metric = 'value'").filter(F.col("method").isin("click", "view")), ["click", "view"])
-    return rk.kendall(w.withColumn("metric", F.lit("value")), ["metric"], "unit", "click", "view")
+    return rk.kendall(w.withColumn("metric", F.lit("value")), ["metric"], "click", "view")
 
 
 @query("k5_pairwise_agreement", sql(*BOTH, "SELECT x.metric, count(*) AS n_pairs, round(avg((sign(x.f - y.f) = sign(x.s - y.s))::INT), 9) AS agreement FROM b x JOIN b y ON x.metric = y.metric AND x.method < y.method GROUP BY x.metric"))

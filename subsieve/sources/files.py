@@ -92,6 +92,16 @@ def write_manifests(df: DataFrame, path: str, by: str = "b") -> None:
     df.repartition(by).sortWithinPartitions(by, "unit").write.partitionBy(by).option("header", True).csv(path)
 
 
+def write_report(df: DataFrame, path: str, order: list[str], fmt: str = "csv") -> None:
+    """A table of results (a frontier, trials, an audit's findings) as CSV with a header or JSON lines, its rows in `order`
+    over all part files, taken by name; nulls are written too."""
+    d = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    if fmt == "json":
+        d.write.option("ignoreNullFields", False).json(path)
+    else:
+        d.write.option("header", True).csv(path)
+
+
 def upsert(store: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """The store with new rows in place of those with the same key."""
     return store.join(new.select(*keys).distinct(), keys, "left_anti").unionByName(new)

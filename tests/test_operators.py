@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from subsieve.functions.graph import components
+from subsieve.functions import stats
 from subsieve.functions.stats import quantiles, wilson_lcb
 from subsieve.operators import clean as cl
 from subsieve.operators import fidelity as fi
@@ -101,7 +102,28 @@ def test_selector_relaxes(spark):
 
 def test_kendall_of_itself(spark):
     d = spark.createDataFrame([("m", i, float(i % 4)) for i in range(12)], "metric string, method int, v double")
-    assert rk.kendall(d.withColumn("w", F.col("v")), ["metric"], "method", "v", "w").first().tau == 1.0
+    assert rk.kendall(d.withColumn("w", F.col("v")), ["metric"], "v", "w").first().tau == 1.0
+
+
+def test_kendall_equals_brute_force(spark):
+    rnd = random.Random(12)
+    rows = [(g, float(rnd.randint(0, 30)), rnd.choice([None, *range(20)])) for g, n in (("x", 150), ("y", 3), ("z", 1)) for _ in range(n)] + [("c", 1.0, i) for i in range(5)]
+    got = {r.g: r.tau for r in rk.kendall(spark.createDataFrame(rows, "g string, v double, w int"), ["g"], "v", "w").collect()}
+    sign = lambda x: (x > 0) - (x < 0)
+    for g in "xyc":
+        p = [(v, w) for h, v, w in rows if h == g and w is not None]
+        pairs = [(sign(a[0] - b[0]), sign(a[1] - b[1])) for i, a in enumerate(p) for b in p[:i]]
+        under = (sum(abs(s) for s, _ in pairs) * sum(abs(t) for _, t in pairs)) ** 0.5
+        assert got.get(g) == (pytest.approx(sum(s * t for s, t in pairs) / under, abs=1e-8) if under else None)
+
+
+def test_running_sums_with_outliers_and_a_hot_group(spark, monkeypatch):
+    monkeypatch.setattr(stats, "SMALL", 50)
+    rnd = random.Random(13)
+    rows = [("hot", rnd.gauss(0, 1), rnd.randint(0, 5)) for _ in range(900)] + [("hot", v, 1) for v in (1e300, -1e300, float("inf"), float("-inf"))] + [("few", float(i), i) for i in range(9)]
+    d = stats.running_sums(spark.createDataFrame(rows, "g string, v double, c long"), ["g"], "v", ["c"], buckets=16)
+    for r in d.collect():
+        assert r.upto_c == sum(c for g, v, c in rows if g == r.g and v <= r.v)
 
 
 def test_components(spark):
@@ -116,6 +138,62 @@ def test_components(spark):
     assert got == {x: root[x] for x in linked}
 
 
+def test_medoids_and_exact_silhouettes_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(rg, "BLOCK", 7)
+    rnd = random.Random(14)
+    rows = [(i, i % 3 if i % 10 else 0, [rnd.gauss(i % 3, 1.0) for _ in range(3)]) for i in range(60)]
+    d = spark.createDataFrame(rows, "unit long, label int, v array<double>")
+    far = lambda a, b: sum((x - y) ** 2 for x, y in zip(a, b)) ** 0.5
+    got = {r.label: (r.unit, r.total) for r in rg.reps_medoid(d).collect()}
+    widths = []
+    for i, k, v in rows:
+        mean = {o: [far(v, w) for j, p, w in rows if p == o and j != i] for o in range(3)}
+        a, b = (sum(mean[k]) / len(mean[k])), min(sum(m) / len(m) for o, m in mean.items() if o != k)
+        widths.append((b - a) / max(a, b))
+    for k in range(3):
+        totals = {i: sum(far(v, w) for _, p, w in rows if p == k) for i, o, v in rows if o == k}
+        best = min(totals, key=lambda i: (round(totals[i], 6), i))
+        assert got[k] == (best, pytest.approx(totals[best], abs=1e-5))
+    assert rg.silhouette_exact(d).first().silhouette == pytest.approx(sum(widths) / 60, abs=1e-5)
+
+
+def test_choose_k_finds_planted_clusters(spark):
+    rnd = random.Random(15)
+    d = spark.createDataFrame([(i, [10.0 * (i % 4) + rnd.gauss(0, 0.3), -7.0 * (i % 4 == 2) + rnd.gauss(0, 0.3)]) for i in range(120)], "unit long, v array<double>")
+    rows = {r.k: r for r in rg.choose_k(d, [2, 3, 4, 5], 1).collect()}
+    assert [k for k, r in rows.items() if r.best] == [4] and rows[4].silhouette > 0.9
+
+
+def test_selector_stability_counts_passes(spark):
+    s = population(spark)
+    all_ = [r.unit for r in s.select("unit").distinct().orderBy("unit").collect()]
+    picks = spark.createDataFrame([(0, u) for u in all_] + [(1, u) for u in all_] + [(2, u) for u in all_[:3]], "run int, unit long")
+    r = re_.selector_stability(picks, s, fi.tolerances(s, 0.05, 0.05)).first()
+    assert (r.n_runs, r.n_pass, r.n_pairs) == (3, 2, 3) and r.mean_overlap == 1.0
+
+
+def test_joint_selection_relaxes_and_breaks_ties(spark):
+    kind = "k int, b int, size int, rate double, lcb double, feasible boolean, best_pass boolean, best_regime_pass boolean, silhouette double, balance double"
+    row = lambda k, size, lcb, ok=True, sil=0.5, bal=0.5, feasible=True: (k, size // 10, size, lcb, lcb, feasible, ok, ok, sil, bal)
+    pick = lambda rows, **kw: re_.select_joint(spark.createDataFrame(rows, kind), 0.5, **kw).first()
+    base = [row(4, 40, 0.6), row(5, 40, 0.6, sil=0.7), row(6, 20, 0.4), row(7, 10, 0.9, ok=False)]
+    assert pick(base).k == 5  # equal size and bound: the better silhouette
+    assert pick(base, max_size=30).k == 6 and pick(base, max_size=5).k == 5  # the cap holds where something passes it
+    assert pick([row(4, 40, 0.6, ok=False), row(5, 10, 0.9, feasible=False)]).k == 4  # nothing passes: all feasible ones
+    assert pick([row(4, 40, 0.2), row(5, 80, 0.3, sil=None), row(6, 80, 0.3, bal=0.1)]).k == 6
+    d = {r.k: r for r in re_.joint_sweep(spark.createDataFrame(base, kind), 0.5).collect()}
+    assert [k for k, r in d.items() if r.pareto] == [7] and [k for k, r in d.items() if r.recommended] == [5] and d[7].rank == 1
+
+
+def test_one_draw_for_several_populations(spark):
+    pop = population(spark).select("unit", "regime").distinct()
+    two = pop.withColumn("grouping", F.lit(1)).union(pop.select("unit", F.lit("all").alias("regime"), F.lit(2).alias("grouping")))
+    d = sa.draw_allocated(two, sa.allocate_equal(two, [4], ["grouping"]), 3, 1, ["grouping"])
+    alone = sa.draw_balanced(pop, [4], 3, 1)
+    assert sorted(map(tuple, d.filter("grouping = 1").select(*alone.columns).collect())) == sorted(map(tuple, alone.collect()))
+    assert d.filter("grouping = 2").groupBy("trial").agg(F.count_distinct("unit").alias("n")).filter("n = 4").count() == 3
+
+
 def test_hull(spark):
     rnd = random.Random(4)
     p = [(rnd.random(), rnd.random()) for _ in range(60)]
