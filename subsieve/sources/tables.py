@@ -4,21 +4,37 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+_SCOPES: list[list[str]] = []
+
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch(spark: SparkSession, tag: str) -> str:
-    """A new path in the folder that all executors share (spark.checkpoint.dir); a local one only where none is set."""
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share, spark.checkpoint.dir. Where none is set, a local one if all tasks run in this
+    process, as in tests; on a cluster ValueError, as other machines don't see local files."""
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not d:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         d = f"file://{tempfile.mkdtemp(prefix='subsieve-')}"
         spark.conf.set("spark.checkpoint.dir", d)
-    return f"{d.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    return d.rstrip("/")
+
+
+def scratch(spark: SparkSession, tag: str) -> str:
+    """A new path in the shared folder."""
+    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    for scope in _SCOPES[-1:]:
+        scope.append(path)
+    return path
 
 
 def stored(df: DataFrame, tag: str) -> DataFrame:
@@ -26,3 +42,19 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     path = scratch(df.sparkSession, tag)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Removes the scratch files that are made inside at its end; what is to stay must be written by then to a path made outside."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for path in _SCOPES.pop():
+            remove(spark, path)
