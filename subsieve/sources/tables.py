@@ -29,17 +29,17 @@ def shared_dir(spark: SparkSession) -> str:
     return d.rstrip("/")
 
 
-def scratch(spark: SparkSession, tag: str) -> str:
-    """A new path in the shared folder."""
+def scratch(spark: SparkSession, tag: str, keep: bool = False) -> str:
+    """A new path in the shared folder; inside temporary() it goes at the end, unless it is to be kept."""
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    for scope in _SCOPES[-1:]:
-        scope.append(path)
+    if _SCOPES and not keep:
+        _SCOPES[-1].append(path)
     return path
 
 
-def stored(df: DataFrame, tag: str) -> DataFrame:
+def stored(df: DataFrame, tag: str, keep: bool = False) -> DataFrame:
     """Cut lineage: write as Parquet to the shared folder, read it again."""
-    path = scratch(df.sparkSession, tag)
+    path = scratch(df.sparkSession, tag, keep)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -51,7 +51,7 @@ def remove(spark: SparkSession, path: str) -> None:
 
 @contextmanager
 def temporary(spark: SparkSession) -> Iterator[None]:
-    """Removes the scratch files that are made inside at its end; what is to stay must be written by then to a path made outside."""
+    """Removes the scratch files made inside at its end, but for those kept; nothing that reads them may be lazy by then."""
     _SCOPES.append([])
     try:
         yield
