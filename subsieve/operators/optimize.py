@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.stats import hash48
+from ..functions.stats import hash48, positions
 from ..sources.tables import stored
-from .regimes import distance
 
 
 def objective(wide: DataFrame, subset: DataFrame, tol: dict[str, float]) -> dict[str, float]:
@@ -61,31 +62,73 @@ def refine_restarts(wide: DataFrame, subset: DataFrame, tol: dict[str, float], i
 
 
 def facility_location(vectors: DataFrame, size: int, pool: int, runs: int, seed: int = 0) -> DataFrame:
-    """run, step, unit: greedy facility location of several runs at once over vectors (unit, v).
+    """run, step, unit: greedy facility location of several runs at once over vectors (unit, v of one length).
 
-    Each step draws `pool` candidates for each run by hash and takes the one that makes the sum of distances to the
-    nearest chosen unit least. A chosen unit isn't drawn again; copies of it may be. The state is one row for each run
-    and unit, written to shared files at each step; candidates are pool x runs rows.
+    Each step draws `pool` units for each run, of those that it hasn't chosen, and takes the one that makes the sum of
+    distances to the nearest chosen unit least (ties by unit). Copies of a chosen unit may be drawn. Draws are places in
+    the order of a hash of the unit, so they don't depend on how rows lie. Each step reads the vectors once and keeps
+    nothing for each unit: the drawn and chosen vectors, runs x (pool + size) of them, are broadcast, and sums come back.
     """
     spark = vectors.sparkSession
-    state = stored(vectors.select("unit", "v", F.explode(F.sequence(F.lit(0), F.lit(runs - 1))).alias("run")).withColumn("near", F.lit(float("inf"))).withColumn("taken", F.lit(False)), "state")
-    chosen: list[tuple] = []
-    for step in range(size):
-        h = hash48(F.lit(seed), F.col("run"), F.lit(step), F.col("unit"))
-        drawn = _lowest(state.filter("not taken").withColumn("h", h), pool)
-        cand = drawn.select("run", F.col("unit").alias("c"), F.col("v").alias("cv"))
-        d = state.join(F.broadcast(cand), "run").select("run", "c", F.least("near", distance(F.col("v"), F.col("cv"))).alias("d"))
-        best = d.groupBy("run", "c").agg(F.round(F.sum("d"), 9).alias("total")).groupBy("run").agg(F.min(F.struct("total", "c")).alias("x")).select("run", "x.c").collect()
-        chosen += [(r["run"], step, r["c"]) for r in best]
-        one = spark.createDataFrame([(r["run"], r["c"]) for r in best], "run int, c long")
-        with_vec = cand.join(F.broadcast(one), ["run", "c"], "left_semi")
-        state = stored(state.join(F.broadcast(with_vec), "run").select("unit", "v", "run", F.least("near", distance(F.col("v"), F.col("cv"))).alias("near"), (F.col("taken") | (F.col("unit") == F.col("c"))).alias("taken")), "state")
-    return spark.createDataFrame(chosen, "run int, step int, unit long")
-
-
-def _lowest(df: DataFrame, n: int) -> DataFrame:
-    w = Window.partitionBy("run").orderBy("h", "unit")  # only n rows of a task and run leave it
-    return df.withColumn("_at", F.row_number().over(w)).filter(F.col("_at") <= n)
+    placed = stored(positions(vectors.select("unit", "v"), [], "unit").select("pos", "unit", "v"), "placed")
+    n = placed.count()
+    taken: list[list[int]] = [[] for _ in range(runs)]
+    held: dict[int, tuple] = {}
+    chosen = []
+    for step in range(min(size, n)):
+        drawn = [_draw(np.random.default_rng([seed, run, step]), n, pool, taken[run]) for run in range(runs)]
+        need = spark.createDataFrame([(p,) for p in sorted({p for d in drawn for p in d} - held.keys())] or [(-1,)], "pos long")
+        rows = placed.join(F.broadcast(need), "pos").toArrow()  # runs x pool rows
+        held |= {p: (u, v) for p, u, v in zip(rows["pos"].to_pylist(), rows["unit"].to_pylist(), _matrix(rows["v"].combine_chunks()), strict=True)}
+        stack = lambda places: np.array([held[p][1] for p in places])
+        both = spark.sparkContext.broadcast([(stack(d), stack(t) if t else None) for d, t in zip(drawn, taken, strict=True)])
+        sums = placed.select("v").mapInArrow(_nearest_sums(both), "run int, place int, total double").groupBy("run", "place").agg(F.sum("total").alias("total"))
+        best: dict[int, tuple] = {}
+        for r in sums.collect():  # runs x pool rows
+            p = drawn[r["run"]][r["place"]]
+            best[r["run"]] = min(best.get(r["run"], (float("inf"),)), (round(r["total"], 9), held[p][0], p))
+        for run, (_, unit, p) in sorted(best.items()):
+            taken[run].append(p)
+            chosen.append((run, step, unit))
+        keep = {p for t in taken for p in t}
+        held = {p: x for p, x in held.items() if p in keep}
+        both.unpersist()
+    return spark.createDataFrame(chosen, f"run int, step int, unit {vectors.schema['unit'].dataType.simpleString()}")
+
+
+def _draw(random: np.random.Generator, n: int, pool: int, taken: list[int]) -> list[int]:
+    """`pool` different places below n that aren't taken; all of these, if they are fewer."""
+    if n < 4 * (pool + len(taken)):
+        return [p for p in random.permutation(n).tolist() if p not in taken][:pool]
+    out = dict.fromkeys(taken)
+    while len(out) < len(taken) + pool:
+        out[int(random.integers(n))] = None
+    return list(out)[len(taken) :]
+
+
+def _matrix(v: pa.ListArray) -> np.ndarray:
+    """Lists of one length as the rows of a matrix."""
+    return v.flatten().to_numpy(zero_copy_only=False).reshape(len(v), -1) if len(v) else np.zeros((0, 0))
+
+
+def _nearest_sums(both):
+    """For each run and drawn vector: the sum over a batch of the distance to the nearest of the chosen ones and it."""
+
+    def far(x, c):
+        return np.sqrt(np.maximum(0, (x**2).sum(1)[:, None] - 2 * x @ c.T + (c**2).sum(1)))
+
+    def run(batches):
+        totals: list = []
+        for b in batches:
+            if b.num_rows:
+                x = _matrix(b.column(0))
+                found = [(far(x, c) if t is None else np.minimum(far(x, c), far(x, t).min(1)[:, None])).sum(0) for c, t in both.value]
+                totals = found if not totals else [a + f for a, f in zip(totals, found, strict=True)]
+        if totals:
+            run_, place = np.repeat(np.arange(len(totals)), [len(t) for t in totals]), np.concatenate([np.arange(len(t)) for t in totals])
+            yield pa.RecordBatch.from_arrays([pa.array(run_, pa.int32()), pa.array(place, pa.int32()), pa.array(np.concatenate(totals))], ["run", "place", "total"])
+
+    return run
 
 
 def regime_coverage(pop: DataFrame, subset: DataFrame, thin: int = 3) -> DataFrame:

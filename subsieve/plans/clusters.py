@@ -171,7 +171,8 @@ def l1(spark, sf):
 
 @query("l2_facility_location")
 def l2(spark, sf):
-    return op.facility_location(vectors(spark, sf).drop("label"), 36, 16, 2)
+    """Subsets of 12 units from pools of 16, 400 runs."""
+    return op.facility_location(vectors(spark, sf).drop("label"), 12, 16, 400)
 
 
 @query("l3_regime_coverage", sql(*DRAWN, SUB, "SELECT regime, count(*) AS total, count(s.unit) AS selected, round(100.0::DOUBLE * count(s.unit) / count(*), 6) AS pct, count(s.unit) < 3 AS thin FROM pop LEFT JOIN (SELECT unit FROM sub WHERE regime <> (SELECT min(regime) FROM pop)) s USING (unit) GROUP BY regime"))

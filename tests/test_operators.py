@@ -236,6 +236,17 @@ def test_pca_and_clusters(spark):
     assert abs(rg.project_2d(v).agg(F.sum("px")).first()[0]) < 1e-6
 
 
+def test_facility_location_is_greedy(spark):
+    rnd = random.Random(16)
+    x = {i: [rnd.gauss(0, 1) for _ in range(3)] for i in range(40)}
+    far = lambda a, b: sum((p - q) ** 2 for p, q in zip(x[a], x[b])) ** 0.5
+    want: list = []
+    for _ in range(5):
+        want.append(min((i for i in x if i not in want), key=lambda i: (round(sum(min(far(j, c) for c in [*want, i]) for j in x), 9), i)))
+    d = op.facility_location(spark.createDataFrame(list(x.items()), "unit long, v array<double>").repartition(5), 5, 40, 2)
+    assert [[r.unit for r in d.filter(F.col("run") == k).orderBy("step").collect()] for k in (0, 1)] == [want, want]
+
+
 def test_facility_location_takes_copies(spark):
     v = spark.createDataFrame([(i, [float(i % 3), 1.0]) for i in range(6)], "unit long, v array<double>")
     d = op.facility_location(v, 6, 6, 2).collect()
