@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_or_empty
+from .common import small_batches, table, text_or_empty
 
 RANK_FILE = "byte_bpe_multi_50k.tiktoken"
 REMEMBERED = 200_000  # distinct pieces that a worker remembers, of at most LONGEST characters
@@ -143,6 +143,7 @@ def encode(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN)
     Null text is empty and has no ids; repeated rows come back each; empty table: no rows. `path` is the rank file on
     the driver; its tokens, as many as the vocabulary has, are broadcast.
     """
+    small_batches(docs.sparkSession)
     tokens = docs.sparkSession.sparkContext.broadcast(read_ranks(path))
 
     def run(batches):

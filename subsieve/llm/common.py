@@ -2,39 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import load as table
+from ..sources.tables import scratch, shared_dir, temporary
+from ..sources.tables import stored as materialize
+
+__all__ = ["BATCH_BYTES", "WORD", "fresh", "lowest", "materialize", "scratch", "shared_dir", "small_batches", "table", "temporary", "text_or_empty"]
+
 #: White space that parts words: space and the control characters 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
 
 BATCH_BYTES = 4 << 20
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a local one only where none is set, as in tests."""
-    d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not d:
-        d = f"file://{tempfile.mkdtemp(prefix='subsieve-')}"
-        spark.conf.set("spark.checkpoint.dir", d)
-    return d.rstrip("/")
-
-
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Cut lineage: write to the shared folder as Parquet and read it again."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def small_batches(spark: SparkSession) -> None:
     """Let Arrow's batches hold BATCH_BYTES at most, as whole texts go through them; what the session sets itself stays."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -54,7 +36,13 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
-def packed(df: DataFrame, *names: str) -> DataFrame:
-    """The named columns, and all others in the struct column `rest`, so that names can't clash inside an operator."""
-    rest = [F.col(f"`{c}`") for c in df.columns if c not in names]
-    return df.select(*names, (F.struct(*rest) if rest else F.struct(F.lit(0).alias("none"))).alias("rest"))
+def lowest(keys: DataFrame, n: int) -> DataFrame:
+    """The n different rows of `keys` whose hash is lowest (all, if they are fewer).
+
+    An estimate of how many there are gives a bound for the hash that about 4 n rows meet, so a task sends few rows,
+    however many tasks there are.
+    """
+    h = F.shiftrightunsigned(F.xxhash64(*keys.columns), 1)
+    about = keys.agg(F.approx_count_distinct(F.xxhash64(*keys.columns), 0.02)).first()[0]
+    some = keys.filter(h <= int(min(1.0, 4 * n / max(1, about)) * (2**63 - 1))) if about > 4 * n else keys
+    return some.distinct().orderBy(h, *keys.columns).limit(n)
