@@ -19,10 +19,10 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, shared_dir, table
+from .common import lowest, materialize, scratch, small_batches, table
 
 DICTIONARY_BYTES = 64 << 10
-SAMPLE = 1000  # records that the dictionary is built from, at most
+SAMPLE, SAMPLE_BYTES = 1000, 8 << 10  # records that the dictionary is built from, at most, and characters of each
 ROLL = 32 << 20  # compressed bytes from which a task begins another file
 LEVEL = 3
 DATE = "2000-01-01T00:00:00Z"  # of records whose table has no date
@@ -70,10 +70,17 @@ def _digest(payload: bytes) -> str:
 
 
 def build_dictionary(rows: DataFrame, sample: int = SAMPLE, size: int = DICTIONARY_BYTES) -> bytes:
-    """A dictionary from the records of the `sample` rows whose hash is lowest; empty if they are too few to build one."""
-    some = rows.select("page_id", "url", F.substring("html", 1, size).alias("html"), "refers_to").orderBy(F.xxhash64("page_id", "url"), "page_id", "url").limit(sample)
+    """A dictionary from records of the `sample` (page_id, url) whose hash is lowest; empty if they are too few to build one.
+
+    The ids are chosen alone; then of each the record with the least text, its first SAMPLE_BYTES, comes to the driver:
+    8 MB at most, whatever the table's size.
+    """
+    ids = lowest(rows.select("page_id", "url"), sample).toDF("i", "u")
+    text = F.substring("html", 1, SAMPLE_BYTES)
+    some = rows.join(F.broadcast(ids), F.col("page_id").eqNullSafe(F.col("i")) & F.col("url").eqNullSafe(F.col("u")))  # `sample` rows
+    some = some.groupBy("page_id", "url").agg(F.min(text).alias("html")).orderBy("page_id", "url")
     try:
-        return zstandard.train_dictionary(size, [record(*r) for r in some.collect()]).as_bytes()
+        return zstandard.train_dictionary(size, [record(*r, None) for r in some.collect()]).as_bytes()
     except (zstandard.ZstdError, ValueError):
         return b""
 
@@ -192,9 +199,10 @@ def archive(pages: DataFrame, folder: str | None = None) -> DataFrame:
 
     Null url: none; null page_id: kept as null. Repeated rows: a record each. Empty table: no files, no rows.
     """
-    folder = folder or f"{shared_dir(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
+    folder = folder or scratch(pages.sparkSession, "warc")
+    small_batches(pages.sparkSession)
     rows = roles(pages)
-    plain = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), F.lit(None).cast("long").alias("refers_to"))
+    plain = pages.select(F.col("page_id").cast("long"), "url", F.coalesce("html", F.lit("")).alias("html"))
     return read_archives(write_archives(rows, folder, build_dictionary(plain)), folder)
 
 
