@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_or_empty
+from .common import small_batches, table, text_or_empty
 
 UNIT = 576  # payloads are padded with bytes 255 to a positive multiple of this
 ACROSS = 24  # blocks in a row of an image that encode() writes
@@ -164,10 +164,14 @@ def _even_blocks(data: bytes, n: int) -> np.ndarray:
     bits[:, 1] = (raw[:, 1] & 63) << 4 | raw[:, 2] >> 4
     bits[:, 2] = (raw[:, 2] & 15) << 6 | raw[:, 3] >> 2
     bits[:, 3] = (raw[:, 3] & 3) << 8 | raw[:, 4]
-    return np.cumsum(_DIFFERENCE[bits.ravel()[:n]], dtype=np.int64)
+    differences = _DIFFERENCE[bits.ravel()[:n]]
+    if (differences == _NO_CODE).any():
+        raise ValueError("no such code")
+    return np.cumsum(differences, dtype=np.int64)
 
 
-_DIFFERENCE = np.zeros(1024, np.int16)
+_NO_CODE = -(1 << 15)
+_DIFFERENCE = np.full(1024, _NO_CODE, np.int16)  # of ten bits that aren't a code of a difference, its bits and the end of block
 _DIFFERENCE[_BITS] = np.arange(-255, 256)
 
 
@@ -183,14 +187,19 @@ def _lookup(lengths: bytes, symbols: bytes) -> dict[tuple[int, int], int]:
 
 
 class _Bits:
+    """Bits from the highest of the first byte; at most 16 are taken at once, so a few bytes are looked at for each."""
+
     def __init__(self, data: bytes):
-        self.value, self.left = int.from_bytes(data, "big"), 8 * len(data)
+        self.data, self.at, self.end = data, 0, 8 * len(data)
 
     def take(self, n: int) -> int:
-        if n > self.left:
+        end = self.at + n
+        if end > self.end:
             raise ValueError("a cut scan")
-        self.left -= n
-        return self.value >> self.left & ((1 << n) - 1)
+        last = end + 7 >> 3
+        some = int.from_bytes(self.data[self.at >> 3 : last], "big")
+        self.at = end
+        return some >> 8 * last - end & ((1 << n) - 1)
 
     def symbol(self, codes: dict) -> int:
         code = 0
@@ -274,6 +283,7 @@ def to_media(docs: DataFrame) -> DataFrame:
     def run(batches):
         yield from _out(schema, ((i, len(data := t.encode()), encode_payload(padded(data))) for b in batches for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)))
 
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")).mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 

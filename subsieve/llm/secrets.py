@@ -37,18 +37,24 @@ def _let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def running_sums(a: Column) -> Column:
-    """Sums of each prefix of an array of numbers, in blocks, so that long arrays don't cost their square."""
-    total = lambda x: F.aggregate(x, F.lit(0).cast("long"), lambda s, y: s + y)
+def _running(a: Column, total, join) -> Column:
+    """total of each prefix of an array, in blocks, so that long arrays don't cost their square; join: of two totals."""
     blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(a) - 1) / _BLOCK).cast("int")), lambda b: F.slice(a, b * _BLOCK + 1, _BLOCK))
 
     def joined(bs: Column) -> Column:
-        sums = F.transform(bs, total)
-        return _let(sums, lambda ss: F.flatten(F.transform(bs, lambda x, b: _let(total(F.slice(ss, F.lit(1), b)), lambda before: F.transform(x, lambda y, i: before + total(F.slice(x, F.lit(1), i + 1)))))))
+        return _let(F.transform(bs, total), lambda ts: F.flatten(F.transform(bs, lambda x, b: _let(total(F.slice(ts, F.lit(1), b)), lambda before: F.transform(x, lambda y, i: join(before, total(F.slice(x, F.lit(1), i + 1))))))))
 
     return F.when(F.size(a) > 0, _let(blocks, joined)).otherwise(F.array().cast("array<long>"))
 
 
+def running_sums(a: Column) -> Column:
+    return _running(a, lambda x: F.aggregate(x, F.lit(0).cast("long"), lambda s, y: s + y), lambda s, t: s + t)
+
+
+def running_max(a: Column) -> Column:
+    return _running(a, F.array_max, F.greatest)  # greatest passes over the null of no blocks before
+
+
 def matches(text: Column, pattern: str, group: int = 0) -> Column:
     """array<struct<start, end, found>> of a pattern's matches, leftmost and not overlapping; found is what the group has."""
     p = F.lit(pattern)
@@ -134,10 +140,11 @@ def redact(docs: DataFrame) -> DataFrame:
     Spans that overlap are replaced as one. Null text stays null.
     """
     found = find_secrets(docs)
+    found = found.withColumn("upto", running_max(F.transform("spans", lambda x: x["end"])))
     t = F.col("doc.text")
-    before = lambda i: F.coalesce(F.array_max(F.transform(F.slice("spans", F.lit(1), i), lambda x: x["end"])), F.lit(0))
+    before = lambda i: F.coalesce(F.get("upto", i - 1), F.lit(0))
     piece = lambda x, i: _let(before(i), lambda done: F.when(x["start"] >= done, F.concat(F.substring(t, done + 1, x["start"] - done), F.lit(MASK))).otherwise(""))
-    rest = F.substring(t, F.array_max(F.transform("spans", lambda x: x["end"])) + 1, F.length(t))
+    rest = F.substring(t, F.element_at("upto", -1) + 1, F.length(t))
     clean = F.when(F.size("spans") > 0, F.concat(F.array_join(F.transform("spans", piece), ""), rest)).otherwise(t)
     out = {"text": F.col("clean"), "n_chars": F.length("clean").cast("long")}
     return found.withColumn("clean", clean).select(*[F.when(F.size("spans") > 0, out[c]).otherwise(F.col(f"doc.`{c}`")).alias(c) if c in out else F.col(f"doc.`{c}`").alias(c) for c in docs.columns])
