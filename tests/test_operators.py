@@ -25,11 +25,11 @@ def test_wilson_anchors(spark):
 
 
 def test_canonical_columns(spark):
-    d = spark.createDataFrame([("10", 25.0, 20, 30, 0.8, 24.0), ("11", 26.5, 21, 31, 0.85, 25.2)], ["dish_id", "PNSR", "MIN", "MAX", "SSIM", "psnr avgmse"])
+    d = spark.createDataFrame([("a7", 31.5, 28, 36, 0.93, 30.75), ("b2", 19.25, 15, 22, 0.71, 18.5)], ["dish_id", "PNSR", "MIN", "MAX", "SSIM", "psnr avgmse"])
     spec = {"id": ["dishid"], "psnr": ["psnr", "pnsr"], "low": ["psnr_min", "min"], "avg": ["psnr_avgmse"], "lpips": ["lpips"]}
     got = cl.canonicalize(d, spec, ["id"], ["psnr", "low", "avg", "lpips"])
     assert got.columns == list(spec)
-    assert [tuple(r) for r in got.orderBy("id").collect()] == [("10", 25.0, 20.0, 24.0, None), ("11", 26.5, 21.0, 25.2, None)]
+    assert [tuple(r) for r in got.orderBy("id").collect()] == [("a7", 31.5, 28.0, 30.75, None), ("b2", 19.25, 15.0, 18.5, None)]
     with pytest.raises(ValueError, match="ssim"):
         cl.canonicalize(d.drop("SSIM"), {"ssim": ["ssim"]}, ["ssim"])
 
@@ -40,9 +40,9 @@ def test_stable_schema(spark):
 
 
 def test_drift_without_correlations(spark):
-    cur, base = spark.createDataFrame([("f1", 11.0), ("f1", None)], "feature string, value double"), spark.createDataFrame([("f1", 10.0)], "feature string, value double")
+    cur, base = spark.createDataFrame([("f1", 7.5), ("f1", None)], "feature string, value double"), spark.createDataFrame([("f1", 5.0)], "feature string, value double")
     r = pr.drift(cur, base, 0.1, 0.1).first()
-    assert (r.mean_delta, r.missing_delta, r.changed) == (1.0, 50.0, True)
+    assert (r.mean_delta, r.missing_delta, r.changed) == (2.5, 50.0, True)
     none = spark.createDataFrame([], "a string, b string, corr double")
     assert tuple(pr.correlation_drift(none, none).first()) == (0, None, None)
 
