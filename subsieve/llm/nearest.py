@@ -19,10 +19,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import lowest, materialize, table
 
 SAMPLE = 20_000  # vectors that the centroids are fitted on, at most
-VISIT, VISIT_LEAST = 0.6, 2_000  # share of the vectors, and number, that the visited cells hold at least
+VISIT = 0.7  # share of the vectors that the visited cells hold at least
 BLOCK = 4096
 SEED = 11
 
@@ -53,7 +53,8 @@ def _distances(x: np.ndarray, c: np.ndarray) -> np.ndarray:
 
 def fit(groups: DataFrame, k: int, sample: int = SAMPLE) -> list[np.ndarray]:
     """Centroids of both halves, from the `sample` vectors whose ids hash lowest."""
-    rows = groups.select("vid", "v").orderBy(F.xxhash64("vid"), "vid").limit(sample).select("v").toPandas()
+    ids = lowest(groups.select("vid"), sample)
+    rows = groups.join(F.broadcast(ids), "vid").orderBy("vid").select("v").toPandas()  # `sample` rows
     x = np.array(rows["v"].tolist(), dtype=np.float64)
     h = x.shape[1] // 2
     return [kmeans(x[:, :h], k, SEED), kmeans(x[:, h:], k, SEED + 1)]
@@ -120,24 +121,32 @@ def nearest(vectors: DataFrame, every: int = 100, k: int = 10, visit: float = VI
     counts = np.zeros(len(centroids[0]) * len(centroids[1]), np.int64)
     for r in indexed.groupBy("cell").count().collect():  # 256 x 256 cells at most
         counts[r["cell"]] = r["count"]
-    enough = max(visit * n, VISIT_LEAST)
+    # shards of BLOCK vectors in order of cells, so that a query goes to those only that hold cells it visits
+    ends = counts.cumsum()
+    place = spark.createDataFrame([(c, int(ends[c] - counts[c]), int(counts[c])) for c in np.flatnonzero(counts).tolist()], "cell int, start long, held long")
+    at = F.col("start") + F.pmod(F.xxhash64("vid"), "held")
+    indexed = indexed.join(F.broadcast(place), "cell").select("vid", "v", "cell", F.floor(at / BLOCK).alias("shard"))  # 256 x 256 rows at most
 
     asked = v.filter(F.col("vec_id") % every == 0).join(groups.select("v", "vid"), "v").select("vec_id", "vid").distinct()
     asked = materialize(asked, "asked")
-    shards = ceil(n / BLOCK)
     sides = max(1, ceil(asked.select("vid").distinct().count() / BLOCK))
 
+    def shards_of(seen: np.ndarray) -> np.ndarray:
+        some = seen & (counts > 0)
+        first, last = (ends - counts)[some] // BLOCK, (ends - 1)[some] // BLOCK
+        return np.unique(np.concatenate([np.arange(a, b + 1) for a, b in zip(first, last, strict=True)]))
+
     def visits(batches):
         for b in batches:
             x = np.array(b.column("v").to_pylist(), dtype=np.float64).reshape(b.num_rows, -1)
-            flags = [np.packbits(traverse(q, centroids, counts, enough)).tobytes() for q in x]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(flags, pa.binary())], [*b.schema.names, "visited"])
+            seen = [traverse(q, centroids, counts, visit * n) for q in x]
+            flags = [np.packbits(s).tobytes() for s in seen]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(flags, pa.binary()), pa.array([shards_of(s) for s in seen], pa.list_(pa.int64()))], [*b.schema.names, "visited", "shards"])
 
     queries = indexed.select("vid", "v").join(asked.select("vid").distinct(), "vid", "left_semi")
-    queries = queries.repartition(spark.sparkContext.defaultParallelism).mapInArrow(visits, "vid long, v array<double>, visited binary")
-    part = lambda of: F.pmod(F.xxhash64("vid"), F.lit(of).cast("long"))
-    left = queries.withColumn("side", part(sides)).withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
-    right = indexed.withColumn("shard", part(shards)).withColumn("side", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(sides - 1).cast("long"))))
+    queries = queries.repartition(spark.sparkContext.defaultParallelism).mapInArrow(visits, "vid long, v array<double>, visited binary, shards array<long>")
+    left = queries.withColumn("side", F.pmod(F.xxhash64("vid"), F.lit(sides).cast("long"))).withColumn("shard", F.explode("shards")).drop("shards")
+    right = indexed.withColumn("side", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(sides - 1).cast("long"))))
 
     def rank(q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
         out = []
