@@ -16,7 +16,7 @@ from math import ceil
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, packed, table
+from .common import WORD, materialize, table
 
 WEIGHTS = (5, 2, 1)
 SEED = 7
@@ -54,21 +54,25 @@ def targets(totals: DataFrame, weights=WEIGHTS, share: float = 1.0, max_repeat:
     return d.select("k", "source_size", "target")
 
 
-def mixing_plan(docs: DataFrame, weights=WEIGHTS, share: float = 1.0, max_repeat: int = 3, seed: int = SEED) -> DataFrame:
+def mixing_plan(docs: DataFrame, weights=WEIGHTS, share: float = 1.0, max_repeat: int = 3, seed: int = SEED, carry: list[str] | None = None) -> DataFrame:
     """Each document with size, source_size, target, start (words of its source before it), finish and taken.
 
-    `docs` has doc_id, text and source; all its columns come back in the struct column `doc`. Null text: size 0.
+    `docs` has doc_id, text and source; its columns, or those in `carry` only, come back in the struct column `doc`; what
+    isn't carried isn't shuffled. Null text: size 0.
     Null source: one more source, last in order. Null doc_id: shuffled by the text alone. Repeated rows: each counts.
     Documents without words take nothing. Empty table: no rows. The order depends on the rows and the seed only.
     """
     n = docs.count()
     buckets = max(1, min(MAX_BUCKETS, ceil(n / ROWS_PER_BUCKET)))
-    d = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
-    d = d.withColumn("k", F.when(F.col("doc.source").isNull(), "1").otherwise(F.concat(F.lit("0"), F.col("doc.source").cast("string"))))
-    d = d.withColumn("size", n_words(F.col("doc.text")))
-    d = d.withColumn("h", F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("doc.doc_id").cast("string"), F.md5(F.col("doc.text").cast("binary")))))
+    d = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in (docs.columns if carry is None else carry)]).alias("doc"),
+        F.when(F.col("source").isNull(), "1").otherwise(F.concat(F.lit("0"), F.col("source").cast("string"))).alias("k"),
+        n_words(F.col("text")).alias("size"),
+        F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("doc_id").cast("string"), F.md5(F.col("text").cast("binary")))).alias("h"),
+    )
+    d = d if carry is None else materialize(d, "sizes")
     d = d.withColumn("bucket", F.floor(F.conv(F.substring("h", 1, 4), 16, 10).cast("long") * buckets / MAX_BUCKETS))
-    sums = d.groupBy("k", "bucket").agg(F.sum("size").alias("bucket_size"))
+    sums = materialize(d.groupBy("k", "bucket").agg(F.sum("size").alias("bucket_size")), "sums")
     goals = targets(sums.groupBy("k").agg(F.sum("bucket_size").alias("source_size")), weights, share, max_repeat)
     before = Window.partitionBy("k").orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     sums = sums.withColumn("offset", F.sum("bucket_size").over(before) - F.col("bucket_size")).drop("bucket_size").join(goals, "k")
@@ -107,7 +111,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.0, max_repeat: int =
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    plan = mixing_plan(docs).select(F.col("doc.doc_id").alias("doc_id"), "size", "source_size", "target", "taken", "start", "finish")
+    plan = mixing_plan(docs, carry=["doc_id"]).select(F.col("doc.doc_id").alias("doc_id"), "size", "source_size", "target", "taken", "start", "finish")
     return in_order(plan).select("doc_id", "size", "source_size", "target", "taken", "start")
 
 
