@@ -9,14 +9,14 @@ joins them back to each chunk's n-grams; the chunk sums per document. Chunks and
 
 from __future__ import annotations
 
-from math import ceil, log2
+from math import ceil, log, log2
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_or_empty
+from .common import WORD, materialize, small_batches, table, text_or_empty
 from .hashing import Hashes, mixed
 
 ALPHA = 0.4
@@ -76,7 +76,7 @@ def scores(docs: DataFrame, alpha: float = ALPHA) -> DataFrame:
     `docs` has doc_id and text. A text's first word counts by its share of all words. Null text is empty: no words, sum
     0, mean null. Repeated rows are documents of their own. Empty table: no rows.
     """
-    spark = docs.sparkSession
+    small_batches(docs.sparkSession)
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     size = d.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     chunks = max(1, ceil(size / CHUNK))
@@ -124,6 +124,33 @@ def scores(docs: DataFrame, alpha: float = ALPHA) -> DataFrame:
     return out.withColumn("mean_score", F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words")))
 
 
+def scores_by_join(docs: DataFrame, alpha: float = ALPHA) -> DataFrame:
+    """The same scores by plain joins: count tables partitioned by hash, joined to the exploded n-grams, summed per row.
+
+    Every n-gram of every document is a row in five joins, so it moves many times the input; scores() packs them.
+    """
+    h = lambda w: F.xxhash64(w)
+    d = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.transform(F.regexp_extract_all(text_or_empty(), F.lit(WORD), F.lit(0)), h).alias("words"))
+    d = materialize(d, "words")
+    pairs = F.transform("words", lambda w, i: F.struct(w.alias("w"), F.when(i > 0, F.col("words")[i - 1]).alias("v")))
+    grams = d.select("row", F.explode(pairs).alias("g")).groupBy("row", "g.w", "g.v").agg(F.count(F.lit(1)).alias("n"))
+    grams = materialize(grams, "grams")
+    own = materialize(grams.groupBy("row", "w").agg(F.sum("n").alias("own")), "own")
+    one = materialize(own.groupBy("w").agg(F.sum("own").alias("c")), "one")
+    two = materialize(grams.filter("v is not null").groupBy("v", "w").agg(F.sum("n").alias("both")), "two")
+    sizes = d.select("row", "doc_id", F.size("words").cast("long").alias("n_words"))
+    total = sizes.agg(F.sum("n_words")).first()[0] or 0
+    x = grams.join(one, "w").join(own, ["row", "w"]).withColumn("alone", F.col("c") - F.col("own")).drop("c", "own")
+    first = own.join(one, "w").select("row", F.col("w").alias("v"), (F.col("c") - F.col("own")).alias("first"))
+    x = x.join(two, ["v", "w"], "left").join(first, ["row", "v"], "left").join(sizes, "row")
+    both, seen = F.col("both") - F.col("n"), F.coalesce(F.col("both") - F.col("n") > 0, F.lit(False))
+    back = F.log(F.when(F.col("alone") > 0, F.col("alone").cast("double")).otherwise(UNSEEN)) - F.log(F.greatest(F.lit(1), F.lit(total) - F.col("n_words"))) + F.when(F.col("v").isNotNull(), log(alpha)).otherwise(0.0)
+    score = F.when(seen, F.log(both) - F.log("first")).otherwise(back)
+    s = x.groupBy("row").agg(F.sum(F.when(seen, F.col("n")).otherwise(0)).alias("n_seen"), F.sum(F.col("n") * score).alias("log_score"))
+    out = sizes.join(s, "row", "left").select("doc_id", "n_words", F.coalesce("n_seen", F.lit(0)).alias("n_seen"), F.coalesce("log_score", F.lit(0.0)).alias("log_score"))
+    return out.withColumn("mean_score", F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words")))
+
+
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = scores(table(spark, sf_dir, "documents"))
     return d.select("doc_id", "n_words", "n_seen", F.round("log_score", 6).alias("log_score"), F.round("mean_score", 6).alias("mean_score"))

@@ -16,7 +16,7 @@ import xxhash
 from compare import plain
 from pyspark.sql import functions as F
 
-from subsieve.llm import backoff, bpe, jpeg, mixing, nearest, quality, queries, repeats, secrets, simhash, suffixes, warc
+from subsieve.llm import backoff, bpe, jpeg, mixing, nearcopies, nearest, quality, queries, repeats, secrets, simhash, suffixes, warc
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, size string, spans string"  # with names that operators use too
@@ -82,6 +82,68 @@ def test_jpeg_symbol_by_symbol(monkeypatch):
         jpeg.thumbnails(m[:-40])
 
 
+def _jpeg(components, width, height, restart, rnd):
+    """A baseline image with random coefficients, own Huffman tables, AC runs and restarts; and the first component's DC."""
+    dc_symbols, ac_symbols = list(range(12)), [0x00, 0xF0, 0x01, 0x02, 0x11, 0x23, 0x35, 0x71]
+    table = lambda kind, symbols, bits: struct.pack(">BBHB", 0xFF, 0xC4, 19 + len(symbols), kind) + bytes(len(symbols) * (b == bits) for b in range(1, 17)) + bytes(symbols)
+    code = lambda symbols, bits: {s: format(i, f"0{bits}b") for i, s in enumerate(symbols)}
+    dc, ac = code(dc_symbols, 5), code(ac_symbols, 4)
+    number = lambda v: "" if not v else format(v if v > 0 else v + (1 << abs(v).bit_length()) - 1, f"0{abs(v).bit_length()}b")
+    most = [max(c[i] for c in components) for i in (1, 2)]
+    if len(components) == 1:
+        across, down, shape = -(-width // 8), -(-height // 8), [(components[0][0], 1, 1)]
+    else:
+        across, down, shape = -(-width // (8 * most[0])), -(-height // (8 * most[1])), [c[:3] for c in components]
+    first = np.zeros((down * shape[0][2], across * shape[0][1]), int)
+    scan, bits, last = b"", "", {}
+    flush = lambda b: int(b + "1" * (-len(b) % 8) or "0", 2).to_bytes((len(b) + 7) // 8, "big").replace(b"\xff", b"\xff\0")
+    for unit in range(across * down):
+        if restart and unit and unit % restart == 0:
+            scan, bits, last = scan + flush(bits) + bytes([0xFF, 0xD0 + (unit // restart - 1) % 8]), "", {}
+        for c, h, v in shape:
+            for y in range(v):
+                for x in range(h):
+                    new = rnd.randint(-60, 60)
+                    step = new - last.get(c, 0)
+                    last[c] = new
+                    bits += dc[abs(step).bit_length()] + number(step)
+                    if c == components[0][0]:
+                        first[unit // across * v + y, unit % across * h + x] = new
+                    k = 1
+                    while k < 64 and rnd.random() < 0.7:
+                        rs = rnd.choice(ac_symbols[1:])
+                        if k + (rs >> 4) + 1 > 64:
+                            break
+                        size = rs & 15
+                        bits += ac[rs] + (number(rnd.choice([-1, 1]) * rnd.randint(1 << size >> 1, (1 << size) - 1)) if size else "")
+                        k += (rs >> 4) + 1
+                    if k < 64:
+                        bits += ac[0]
+    frame = struct.pack(">BBHBHHB", 0xFF, 0xC0, 8 + 3 * len(components), 8, height, width, len(components)) + b"".join(bytes([c, h << 4 | v, 0]) for c, h, v in components)
+    begin = struct.pack(">BBHB", 0xFF, 0xDA, 6 + 2 * len(components), len(components)) + b"".join(bytes([c, 0]) for c, *_ in components) + b"\0\x3f\0"
+    every = struct.pack(">BBHH", 0xFF, 0xDD, 4, restart) if restart else b""
+    quant = struct.pack(">BBHB", 0xFF, 0xDB, 67, 0) + b"\x04" * 64
+    return b"\xff\xd8" + quant + frame + table(0, dc_symbols, 5) + table(0x10, ac_symbols, 4) + every + begin + scan + flush(bits) + b"\xff\xd9", first
+
+
+@pytest.mark.parametrize("components, width, height", [([(1, 1, 1)], 40, 24), ([(1, 2, 2), (2, 1, 1), (3, 1, 1)], 50, 35), ([(1, 2, 1), (2, 1, 1)], 33, 9)])
+@pytest.mark.parametrize("restart", [0, 2])
+def test_jpeg_of_any_encoder(components, width, height, restart):
+    rnd = random.Random(width + restart)
+    for _ in range(4):
+        media, dc = _jpeg(components, width, height, restart, rnd)
+        [(w, h, t)] = jpeg.thumbnails(media)
+        rows, columns = -(-height // 8), -(-width // 8)
+        assert (w, h) == (width, height) and (t == np.clip((dc[:rows, :columns] * 4 + 4 >> 3) + 128, 0, 255)).all()
+
+
+def test_jpeg_rejects_bits_that_are_no_code():
+    m = jpeg.encode_payload(jpeg.padded(b"some text"))
+    begin = m.index(b"\xff\xda") + 10
+    with pytest.raises(ValueError):
+        jpeg.thumbnails(m[:begin] + b"\xfe\xfe\xfe\xfe\xfe" + m[begin + 5 :])
+
+
 def test_warc(spark, none):
     rows = [(1, "http://a/ b\r\n", "x" * 3000), (2, None, "x" * 3000), (3, "u", None), (4, "u", ""), (None, "u", "y"), (5, "u", "zé"), (5, "u", "zé"), (6, "u", "zé")] + [(i, "u", f"<html>page {i} of many</html>" * 9) for i in range(10, 60)]
     d = warc.archive(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
@@ -126,6 +188,26 @@ def test_models_tell_random_from_words(spark):
     assert found[1000] == ["random"] and found[1001] == []
 
 
+def test_models_on_labelled_strings(spark):
+    """Recall of random strings of four kinds, and false alarms over identifiers made of the corpus' words."""
+    docs, rnd = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), random.Random(22)
+    ratios, a = secrets.train(docs.select(F.coalesce("text", F.lit("")).alias("t"))), secrets.ALPHABET
+    score = lambda t: sum(ratios[a.index(x) * len(a) + a.index(y)] for x, y in zip(t, t[1:])) / (len(t) - 1)
+    for letters in (a[:64], a[:62], a[:26] + a[52:62], "0123456789abcdef"):
+        assert sum(score("".join(rnd.choice(letters) for _ in range(rnd.randint(20, 23)))) >= secrets.LEAST_RATIO for _ in range(400)) >= 0.93 * 400
+    words = sorted({w for r in docs.select("text").collect() for w in re.findall(r"[A-Za-z]{4,}", r.text or "")})
+    names = ["_".join(rnd.choice(words) for _ in range(6)) for _ in range(200)] + ["".join(rnd.choice(words).capitalize() for _ in range(6)) for _ in range(200)]
+    assert sum(score(n) >= secrets.LEAST_RATIO for n in names) <= 4
+
+
+def test_running_totals_over_blocks(spark):
+    rnd = random.Random(23)
+    rows = [([rnd.randrange(1000) for _ in range(n)],) for n in (0, 1, 255, 256, 257, 900)]
+    d = spark.createDataFrame(rows, "a array<long>").select("a", secrets.running_sums(F.col("a")).alias("s"), secrets.running_max(F.col("a")).alias("m"))
+    for r in d.collect():
+        assert r.s == np.cumsum(r.a).tolist() and r.m == (np.maximum.accumulate(r.a).tolist() if r.a else [])
+
+
 def test_copies_do_not_fill_the_ordinary_model(spark):
     rnd = random.Random(9)
     words = ["".join(rnd.choice(["lo", "re", "mi", "pan", "tu", "se"]) for _ in range(4)) for _ in range(500)]
@@ -154,6 +236,8 @@ def test_backoff(spark, odd, none):
                 total += np.log((one[w] - own[w] or backoff.UNSEEN) / rest) + (np.log(backoff.ALPHA) if i else 0)
         want.append((len(t), seen, round(float(total), 6)))
     assert np.allclose(np.array(got), np.array(sorted(want)), atol=1e-5)
+    joined = sorted((r.n_words, r.n_seen, round(r.log_score, 6)) for r in backoff.scores_by_join(odd).collect())
+    assert np.allclose(np.array(joined), np.array(sorted(want)), atol=1e-5)
     assert backoff.scores(none).count() == 0
 
 
@@ -257,9 +341,13 @@ def planted_copies():
     return [" ".join(w) for w in out] + ["a b c", "A  b c", "", " ", "x"]
 
 
-def test_near_copies_stage(spark):
+@pytest.mark.parametrize("crowd, huge, block", [(64, 4096, 512), (4, 30, 8)])
+def test_near_copies_stage(spark, monkeypatch, crowd, huge, block):
     import corpus_pipeline as cp
 
+    for name, n in (("CROWD", crowd), ("HUGE", huge), ("BLOCK", block)):
+        monkeypatch.setattr(nearcopies, name, n)
+
     texts = planted_copies()
     sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in (t.lower().split() for t in texts)]
     root = list(range(len(texts)))
@@ -307,6 +395,31 @@ def test_nearest(spark):
     assert [tuple(r) for r in few] == [(0, 1, 1, 1.0)]
 
 
+def test_pruned_index_finds_nine_in_ten(spark, monkeypatch):
+    monkeypatch.setattr(nearest, "BLOCK", 512)
+    rnd = np.random.default_rng(21)
+    x = (rnd.normal(size=(10, 32))[np.arange(4000) % 10] * 0.3 + rnd.normal(size=(4000, 32))).astype(np.float32).astype(float)
+    visited = []
+    traverse = nearest.traverse
+    got = nearest.nearest(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).collect()
+    hits, c = 0, nearest.fit(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vid long, v array<double>"), 32)
+    counts = np.bincount(nearest._distances(x[:, :16], c[0]).argmin(1) * 32 + nearest._distances(x[:, 16:], c[1]).argmin(1), minlength=1024)
+    for q in range(0, 4000, 100):
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        d[q] = np.inf
+        hits += len({r.vec_id for r in got if r.query_id == q} & set(np.argsort(d)[:10].tolist()))
+        visited.append(counts[traverse(x[q], c, counts, nearest.VISIT * 4000)].sum() / 4000)
+    assert hits >= 0.9 * 400 and max(visited) < 0.75
+
+
+def test_lowest_is_the_sample_by_hash(spark):
+    from subsieve.llm.common import lowest
+
+    keys = spark.createDataFrame([(i % 900,) for i in range(3000)], "k long")
+    want = [r.k for r in keys.distinct().orderBy(F.shiftrightunsigned(F.xxhash64("k"), 1)).limit(20).collect()]
+    assert sorted(r.k for r in lowest(keys, 20).collect()) == sorted(want) and lowest(keys, 5000).count() == 900
+
+
 def test_traverse_goes_by_growing_sums():
     rnd = np.random.default_rng(7)
     c = [rnd.normal(size=(6, 3)) for _ in range(2)]
@@ -334,6 +447,100 @@ def test_quality_held_out(spark, odd, none):
     assert {r.tail for r in quality.classified(odd, labels).collect()} == {1.0}
 
 
+def test_quality_gradients_and_thresholds():
+    rnd = np.random.default_rng(10)
+    n, m, k = 40, 12, 2
+    sizes = rnd.integers(0, 9, n)
+    row, at, y = np.repeat(np.arange(n), sizes), rnd.integers(0, m, sizes.sum()), rnd.integers(0, k + 1, n)
+    scale, w, t = 1 / np.sqrt(np.maximum(1, sizes)), rnd.normal(size=m), np.array([-0.4, 0.9])
+
+    def plain(w, t):
+        total = 0.0
+        for i in range(n):
+            s = sum(w[f] for r, f in zip(row, at) if r == i) / max(1, sizes[i]) ** 0.5
+            edges = [1.0, *(1 / (1 + np.exp(x - s)) for x in t), 0.0]  # P(grade > k - 1)
+            total -= np.log(edges[y[i]] - edges[y[i] + 1])
+        return total / n + quality.PENALTY / 2 * float(w @ w)
+
+    value, gw, gt = quality.loss(w, t, row, at, scale, y)
+    assert value == pytest.approx(plain(w, t), abs=1e-9)
+    for x, g in ((w, gw), (t, gt)):
+        for i in range(len(x)):
+            step = np.zeros(len(x))
+            step[i] = 1e-6
+            up, down = (plain(w + step * (x is w), t) if x is w else plain(w, t + step) for step in (step, -step))
+            assert g[i] == pytest.approx((up - down) / 2e-6, abs=1e-6)
+    docs = [rnd.integers(0, 40, 30).astype(np.int32) + 40 * (i % 3 == 0) + 100 * i for i in range(60)]
+    model = quality.fit_rows(np.array([i % 3 for i in range(60)]), docs, rounds=30)
+    assert model is not None and np.all(np.diff(model.thresholds) >= 0)
+    assert quality.fit_rows(np.ones(60, int), docs) is None
+
+
+def test_quality_scores_by_hand(spark, odd):
+    words = {w for r in odd.collect() for w in (r.text or "").split()}
+    weights = {f: (f % 17 - 8) / 9 for i, w in enumerate(sorted(words)) if i % 2 for f in quality.word_features(w)}
+    m = quality.Model((0, 1, 2), weights, np.array([-0.3, 0.4]))
+    for r in quality.graded(odd, m, least=0.5).collect():
+        known = [weights[f] for f in quality.features(r.doc.text or "").tolist() if f in weights]
+        s = sum(known) / max(1, len(known)) ** 0.5
+        above = [1 / (1 + np.exp(t - s)) for t in m.thresholds]
+        assert r.tail == pytest.approx(above[1]) and r.expected_grade == pytest.approx(sum(above))
+        assert r.keep == (r.tail >= min(0.5, 1 / (1 + np.exp(0.4)) - 1e-9))
+
+
+def test_stages_on_odd_tables(spark, odd, none):
+    """Each stage against a plain version of it, on nulls, empty and long texts, repeated rows and clashing columns."""
+    import corpus_pipeline as cp
+
+    stages, rows = dict(cp.STAGES), [tuple(r) for r in odd.collect()]
+    for name, stage in cp.STAGES:
+        assert stage(spark, none, SF).count() == 0
+        if name != "bpe":
+            assert stage(spark, odd, SF).columns == odd.columns
+    some = lambda df: Counter(tuple(r) for r in df.collect())
+    assert some(stages["quality"](spark, odd, SF)) <= Counter(rows)  # whole rows only; scores are tested by hand
+    words = lambda t: (t or "").lower().split()
+    assert {r[:2] for r in some(stages["near_duplicates"](spark, odd, SF))} == {min(((i is None, i, t) for i, t, *_ in rows if words(t) == words(u)), key=lambda x: (x[0], x[1] or 0))[1:] for _, u, *_ in rows}
+    want = Counter()
+    for i, t, lang, source, n, *rest in rows:
+        spans = [tuple(map(int, s.split(":")[1:])) for s in brute_secrets(t or "")]
+        new, at = "", 0
+        for a, e in spans:
+            if a >= at:
+                new += (t or "")[at:a] + secrets.MASK
+            at = max(at, e)
+        want[i, new + t[at:] if spans else t, lang, source, len(new + t[at:]) if spans else n, *rest] += 1
+    assert some(stages["secrets"](spark, odd, SF)) == want
+    plan = {(r.doc.doc_id, r.doc.text): r.taken for r in mixing.mixing_plan(odd).collect()}
+    got = Counter()
+    for r in stages["mixing"](spark, odd, SF).collect():
+        [whole] = [t for i, t, *_ in rows[: len(rows)] if i == r.doc_id and (t or "").startswith(r.text)][:1]
+        got[r.doc_id, whole] += len(re.findall(r"[^\x20\x09-\x0D]+", r.text))
+        assert r.n_chars == len(r.text) and r.source == {x[0]: x[3] for x in rows}[r.doc_id]
+    copies = Counter((i, t) for i, t, *_ in rows)
+    assert all(abs(n - plan[k] * copies[k]) <= sum(plan.values()) and n <= 3 * copies[k] * len(words(k[1])) for k, n in got.items())
+    assert sum(got.values()) == sum(r.taken for r in mixing.mixing_plan(odd).collect())
+    path = public_tokenizers.path(bpe.RANK_FILE)
+    tokens = bpe.read_ranks(path)
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks={t: i for i, t in enumerate(tokens)}, special_tokens={})
+    ids = lambda t: library.encode_ordinary(t or "")
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    assert some(stages["bpe"](spark, odd, SF)) == Counter((i, len(ids(t)), sha(struct.pack(f"<{len(ids(t))}I", *ids(t))), sha((t or "").encode())) for i, t, *_ in rows)
+
+
+def test_pipeline_clears_what_it_wrote(spark):
+    import os
+
+    import corpus_pipeline as cp
+    from subsieve.llm.common import shared_dir
+
+    folder = shared_dir(spark).removeprefix("file://")
+    before = set(os.listdir(folder))
+    n = cp.run(spark, SF).count()
+    left = {x.rpartition("-")[0] for x in set(os.listdir(folder)) - before}
+    assert n > 0 and left == {"quality", "near_duplicates", "secrets", "mixing"}
+
+
 def test_pipeline(spark):
     import corpus_pipeline as cp
 
