@@ -251,6 +251,7 @@ def test_bpe(spark, odd, none):
         assert b"".join(pieces[p] for p in split.findall(t)) == struct.pack(f"<{len(library.encode_ordinary(t))}I", *library.encode_ordinary(t))
     back = bpe.decode(bpe.encode(odd, path), path).collect()
     assert sorted(r.decoded for r in back) == sorted((r.text or "").encode() for r in odd.collect())
+    assert sorted(map(tuple, bpe.round_trip(odd, path).collect()), key=str) == sorted(map(tuple, back), key=str)
     words = spark.createDataFrame([("lower",), ("été",), (" tokens",), ("x",)], "word string")
     assert {r.word: r.ids for r in bpe.fold_words(words, path).collect()} == {w: library.encode_ordinary(w) for w in ("lower", "été", " tokens", "x")}
     assert bpe.digests(none).count() == 0
