@@ -1,6 +1,6 @@
 """Names of this subpackage's queries and their SQL."""
 
-from . import backoff, bpe, jpeg, mixing, nearest, quality, repeats, secrets, simhash, warc
+from . import backoff, bpe, jpeg, lexical, mixing, nearest, quality, repeats, secrets, simhash, variants, warc, wordbpe
 
 QUERIES = {
     "op1_source_mixing": mixing.op1,
@@ -13,5 +13,8 @@ QUERIES = {
     "op8_simhash": simhash.op8,
     "op9_multi_index": nearest.op9,
     "op10_quality": quality.op10,
+    "op11_word_bpe": wordbpe.op11,
+    "op12_spelling_variants": variants.op12,
+    "op13_lexical_search": lexical.op13,
 }
-ORACLES = {"op1_source_mixing": mixing.OP1_SQL, "op3_warc": warc.OP3_SQL, "op5_backoff": backoff.OP5_SQL}
+ORACLES = {"op1_source_mixing": mixing.OP1_SQL, "op3_warc": warc.OP3_SQL, "op5_backoff": backoff.OP5_SQL, "op13_lexical_search": lexical.OP13_SQL}
