@@ -7,9 +7,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import stored
+
 Z95 = 1.959963984540054  # two-sided normal quantile at confidence 0.95
 BUCKETS = 256
 SMALL = 4096  # values of a group that one task sorts
+ACCURACY = 1000  # of the sketches that bracket quantiles: a rank is off by one in so many at most
 
 
 def wilson_lcb(k: Column, n: Column, z: float = Z95) -> Column:
@@ -91,18 +94,68 @@ def running_counts(df: DataFrame, by: list[str], value: str = "value") -> DataFr
 
 
 def quantiles(df: DataFrame, by: list[str], qs: dict[str, float], value: str = "value") -> DataFrame:
-    """Exact quantiles with linear interpolation, one column for each name in qs."""
-    c = running_counts(df, by, value)
+    """Exact quantiles with linear interpolation of the non-null values, one column for each name in qs.
+
+    Groups of at most SMALL values are aggregated as they are. Of the others a sketch of bounded size brackets each wanted
+    rank; one scan then counts what lies below the brackets and hands on the values inside, a few in a thousand. Only
+    these are shuffled. The sketch's error is bounded by its accuracy; should a rank lie outside its bracket all the same,
+    the job fails instead of returning another value.
+    """
+    d, group = df.filter(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v")), [*by]
+    if not by:
+        d, group = d.withColumn("_all", F.lit(0)), ["_all"]
+    large = stored(d.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > SMALL), "large")
+    out = _small_quantiles(d.join(large, group, "left_anti"), group, qs)
+    if not large.isEmpty():
+        out = out.unionByName(_bracketed_quantiles(d.join(large, group), group, qs))
+    return out.select(*by, *qs)
 
-    def at(p: Column) -> Column:
-        return F.max(F.when((F.col("lt") <= p) & (p < F.col("le")), F.col(value)))
+
+def _small_quantiles(d: DataFrame, group: list[str], qs: dict[str, float]) -> DataFrame:
+    d = d.groupBy(*group).agg(F.sort_array(F.collect_list("_v")).alias("_v"))
 
     def one(q: float) -> Column:
-        p = (F.col("n") - 1) * F.lit(q)
-        low, high = at(F.floor(p)), at(F.ceil(p))
-        return low + (high - low) * (F.max(p) - F.floor(F.max(p)))
+        p = (F.size("_v") - 1) * F.lit(q)
+        low, high = (F.col("_v")[f(p).cast("int")] for f in (F.floor, F.ceil))
+        return F.when(high > low, low + (high - low) * (p - F.floor(p))).otherwise(low)
+
+    return d.select(*group, *[one(q).alias(name) for name, q in qs.items()])
+
+
+def _bracketed_quantiles(d: DataFrame, group: list[str], qs: dict[str, float]) -> DataFrame:
+    """Of d (group, _v, _n), _n being the number of values of the group."""
+    order = sorted(qs, key=qs.get)
+    shares = [qs[name] for name in order]
+    margin = 3 / ACCURACY
+    low, high = ([F.lit(min(1.0, max(0.0, q + m))) for q in shares] for m in (-margin, margin))
+    k = len(order)
+    cuts = d.groupBy(*group).agg(F.first("_n").alias("_n"), F.min("_v").alias("_min"), F.max("_v").alias("_max"), F.percentile_approx("_v", F.array(*low, *high), F.lit(ACCURACY)).alias("_s"))
+    ends = [F.col("_min") if q <= margin else F.col("_s")[i] for i, q in enumerate(shares)], [F.col("_max") if q >= 1 - margin else F.col("_s")[k + i] for i, q in enumerate(shares)]
+    cuts = stored(cuts.select(*group, "_n", F.array(*ends[0]).alias("_low"), F.array(*ends[1]).alias("_high")), "brackets")
+
+    # a row says how many brackets lie above it (as -1 less that), and again which ones hold it
+    above = F.size(F.filter("_low", lambda x: x > F.col("_v")))
+    inside = F.filter(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: (F.col("_low")[i] <= F.col("_v")) & (F.col("_v") <= F.col("_high")[i]))
+    told = F.concat(F.array(F.struct((-1 - above).alias("i"), F.lit(None).cast("double").alias("x"))), F.transform(inside, lambda i: F.struct(i.alias("i"), F.col("_v").alias("x"))))
+    c = d.drop("_n").join(cuts, group).select(*group, F.explode(told).alias("_t")).groupBy(*group, "_t.i", "_t.x").agg(F.count(F.lit(1)).alias("_c"))
+    c = stored(c, "inside")
+    # brackets are in order, so bracket i lies above what has more than k - 1 - i above it
+    below = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.aggregate("_zones", F.lit(0).cast("long"), lambda s, z: s + F.when(z["above"] > k - 1 - i, z["c"]).otherwise(0)))
+    zones = c.filter("i < 0").groupBy(*group).agg(F.collect_list(F.struct((-1 - F.col("i")).alias("above"), F.col("_c").alias("c"))).alias("_zones"))  # k + 1 at most
+    start = zones.join(cuts, group).select(*group, "_n", F.posexplode(below).alias("i", "_below"))
+
+    c = running_sums(c.filter("i >= 0"), [*group, "i"], "x", ["_c"]).join(start, [*group, "i"])
+    place = (F.col("_n") - 1) * F.array(*[F.lit(q) for q in shares])[F.col("i")]
+    upto = F.col("_below") + F.col("upto__c")
+
+    def at(p: Column) -> Column:
+        return F.max(F.when((upto - F.col("_c") <= p) & (p < upto), F.col("x")))
 
-    return c.groupBy(*by).agg(*[one(q).alias(name) for name, q in qs.items()])
+    c = c.withColumn("_p", place)
+    one = c.groupBy(*group, "i").agg(at(F.floor("_p")).alias("_a"), at(F.ceil("_p")).alias("_b"), F.max("_p").alias("_p"))
+    found = F.col("_a") + F.when(F.col("_b") > F.col("_a"), (F.col("_b") - F.col("_a")) * (F.col("_p") - F.floor("_p"))).otherwise(0.0)
+    one = one.withColumn("_q", F.when(F.col("_a").isNotNull() & F.col("_b").isNotNull(), found).otherwise(F.raise_error(F.lit("a quantile lies outside its bracket")).cast("double")))
+    return one.groupBy(*group).agg(*[F.max(F.when(F.col("i") == order.index(name), F.col("_q"))).alias(name) for name in qs])
 
 
 def unpivot(df: DataFrame, ids: list[str], cols: list[str], name: str = "feature", value: str = "value") -> DataFrame:

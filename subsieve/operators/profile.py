@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import adjusted_skewness, quantiles, running_counts, unpivot
+from ..sources.tables import stored
 
 QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
 
@@ -147,15 +148,23 @@ def select_scaler(stats: DataFrame) -> DataFrame:
     return stats.select("feature", F.coalesce(F.abs("skew") > 1, F.lit(False)).alias("robust"))
 
 
+def _robust() -> Column:
+    iqr = F.col("q3") - F.col("q1")
+    return (F.col("value") - F.col("median")) / F.when(iqr == 0, 1.0).otherwise(iqr)
+
+
+def _standard(mean: str, deviation: str) -> Column:
+    return (F.col("value") - F.col(mean)) / F.when(F.col(deviation) == 0, 1.0).otherwise(F.col(deviation))
+
+
 def robust_scale(long: DataFrame) -> DataFrame:
     q = quantiles(long, ["feature"], QUARTILES)
-    iqr = F.col("q3") - F.col("q1")
-    return long.join(F.broadcast(q), "feature").select(*[c for c in long.columns if c != "value"], ((F.col("value") - F.col("median")) / F.when(iqr == 0, 1.0).otherwise(iqr)).alias("value"))
+    return long.join(F.broadcast(q), "feature").select(*[c for c in long.columns if c != "value"], _robust().alias("value"))
 
 
 def standard_scale(long: DataFrame) -> DataFrame:
     s = long.groupBy("feature").agg(F.avg("value").alias("m"), F.stddev_pop("value").alias("s"))
-    return long.join(F.broadcast(s), "feature").select(*[c for c in long.columns if c != "value"], ((F.col("value") - F.col("m")) / F.when(F.col("s") == 0, 1.0).otherwise(F.col("s"))).alias("value"))
+    return long.join(F.broadcast(s), "feature").select(*[c for c in long.columns if c != "value"], _standard("m", "s").alias("value"))
 
 
 def clip(c: Column, limit: float = 3.0) -> Column:
@@ -169,10 +178,11 @@ def normalize(long: DataFrame) -> tuple[DataFrame, DataFrame]:
     d = long.join(F.broadcast(means), "feature").withColumn("value", F.coalesce("value", "_m")).drop("_m")
     log = select_log(inspect_features(d))
     d = d.join(F.broadcast(log), "feature").withColumn("value", F.when(F.col("log"), F.log1p("value")).otherwise(F.col("value"))).drop("log")
+    d = stored(d, "logged")  # read for the skew, the quartiles and the scaling
     robust = select_scaler(inspect_features(d))
-    ids = [c for c in d.columns if c != "value"]
-    both = robust_scale(d).withColumnRenamed("value", "r").join(standard_scale(d).withColumnRenamed("value", "s"), ids)
-    out = both.join(F.broadcast(robust), "feature").select(*ids, clip(F.when(F.col("robust"), F.col("r")).otherwise(F.col("s"))).alias("value"))
+    scales = d.groupBy("feature").agg(F.avg("value").alias("_m"), F.stddev_pop("value").alias("_s")).join(quantiles(d, ["feature"], QUARTILES), "feature").join(robust, "feature")
+    scaled = F.when(F.col("robust"), _robust()).otherwise(_standard("_m", "_s"))
+    out = d.join(F.broadcast(scales), "feature").select(*[c for c in d.columns if c != "value"], clip(scaled).alias("value"))  # a row for each feature
     return out, log.join(robust, "feature")
 
 

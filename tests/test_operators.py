@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -259,3 +261,24 @@ def test_restarts_keep_the_best(spark):
     one, best = op.refine_swap(s, sub, {"x": 0.1}, 1), op.refine_restarts(s, sub, {"x": 0.1}, 1, restarts=2)
     assert best[1][-1] <= one[1][-1] and best[0].count() == best[0].distinct().count() == 8
     assert {r.regime: r["count"] for r in best[0].groupBy("regime").count().collect()} == {"r0": 4, "r1": 4}
+
+
+def test_bracketed_quantiles_are_exact_and_shuffle_little(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    groups = [rng.normal(size=30_000), np.round(rng.normal(size=20_000), 1), np.full(5000, 2.5), rng.pareto(0.3, size=20_000), np.append(np.full(9000, -1.0), rng.normal(size=10)), rng.normal(size=5), np.array([1.0])]
+    d = pd.concat([pd.DataFrame({"g": g, "value": x}) for g, x in enumerate(groups)]).sample(frac=1, random_state=0)
+    qs, rows, kept = {"lo": 0.0, "a": 0.01, "q1": 0.25, "m": 0.5, "q3": 0.75, "z": 0.999, "hi": 1.0}, {}, stats.stored
+
+    def stored(df, tag):
+        df = kept(df, tag)
+        rows[tag] = df.count()
+        return df
+
+    monkeypatch.setattr(stats, "stored", stored)
+    got = stats.quantiles(spark.createDataFrame(d).repartition(7), ["g"], qs).toPandas().set_index("g").sort_index()
+    want = d.groupby("g")["value"].quantile(list(qs.values())).unstack()
+    assert np.allclose(got[list(qs)], want, rtol=1e-12)
+    assert rows["large"] == 5 and rows["inside"] < 0.05 * len(d)  # of seven quantiles
+    df = spark.createDataFrame([(1, None), (2, 3.0), (2, None)], "g int, value double")
+    assert [tuple(r) for r in stats.quantiles(df, ["g"], {"m": 0.5}).collect()] == [(2, 3.0)]
+    assert stats.quantiles(df, [], {"m": 0.5}).first()[0] == 3.0 and stats.quantiles(df.limit(0), ["g"], {"m": 0.5}).count() == 0
