@@ -24,13 +24,18 @@ def ranked(scores: DataFrame, by: list[str] = KEY) -> DataFrame:
 
 def trial_stats(draws: DataFrame, scores: DataFrame, by: list[str] = KEY, keys: list[str] = TRIAL) -> DataFrame:
     """keys, by, n, mean, pop_mean, gap (absolute), ks."""
-    d = draws.select(*keys, "unit").join(ranked(scores, by), "unit")
+    means = scores.groupBy(*by).agg(F.avg("value").alias("pop_mean"))
+    return drawn_stats(draws.select(*keys, "unit").join(ranked(scores, by), "unit"), by, keys, means)
+
+
+def drawn_stats(d: DataFrame, by: list[str], keys: list[str], means: DataFrame | None = None) -> DataFrame:
+    """trial_stats of drawn and ranked scores (keys, by, value, f_le, f_lt); without means (by, pop_mean) those that the
+    ranks hold, in the column pop_mean."""
     own = Window.partitionBy(*keys, *by)
     d = d.withColumn("n", F.count(F.lit(1)).over(own)).withColumn("lo", F.rank().over(own.orderBy("value")) - 1).withColumn("hi", F.count(F.lit(1)).over(own.orderBy("value")))
     apart = F.greatest(F.abs(F.col("hi") / F.col("n") - F.col("f_le")), F.abs(F.col("f_lt") - F.col("lo") / F.col("n")))
-    t = d.groupBy(*keys, *by).agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"), F.max(apart).alias("ks"))
-    means = scores.groupBy(*by).agg(F.avg("value").alias("pop_mean"))
-    t = t.join(means, by).withColumn("gap", F.round(F.abs(F.col("mean") - F.col("pop_mean")), 9))
+    t = d.groupBy(*keys, *by).agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"), F.max(apart).alias("ks"), *([F.first("pop_mean").alias("pop_mean")] if means is None else []))
+    t = (t if means is None else t.join(means, by)).withColumn("gap", F.round(F.abs(F.col("mean") - F.col("pop_mean")), 9))
     return t.withColumn("ks", F.round("ks", 9)).select(*keys, *by, "n", "mean", "pop_mean", "gap", "ks")
 
 

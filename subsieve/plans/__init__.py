@@ -1,5 +1,5 @@
 """Registered queries over the given tables, each with its SQL."""
 
-from . import audit, clusters, profiles, scenes, tables
+from . import audit, files, clusters, profiles, scenes, tables
 
-MODULES = [audit, tables, profiles, scenes, clusters]
+MODULES = [audit, files, tables, profiles, scenes, clusters]

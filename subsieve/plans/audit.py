@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +11,8 @@ from ..functions.stats import ks_critical, union_all, unpivot, wilson_lcb
 from ..operators import fidelity as fi
 from ..operators import reliability as re_
 from ..operators import sampling as sa
-from ..sources.tables import load, stored
+from ..sources.tables import load, scratch, stored
+from ..sources.trials import TrialStore
 
 BUDGETS, TRIALS, SEED = [4, 8, 16], 400, 7
 SWEEP = [4, 6, 8, 10, 12, 14, 16, 20]  # budgets of a full sweep
@@ -137,6 +140,13 @@ def frontier_sql(events: str = "ev", name: str = "fr", by: str = "") -> str:
            min_by(mean_objective, [joint_objective, mean_objective, trial::DOUBLE]) AS best_mean, min_by(max_ks, [joint_objective, mean_objective, trial::DOUBLE]) AS best_max_ks FROM {events} GROUP BY {by}b)"""
 
 
+def worked_out_once(text: str, *names: str) -> str:
+    """SQL whose common table expressions of these names are materialised."""
+    for name in names:
+        text = re.sub(rf"\b{name} AS \(", f"{name} AS MATERIALIZED (", text)
+    return text
+
+
 def sql(*parts: str) -> str:
     """All parts but the last are common table expressions."""
     return "WITH " + ", ".join(p.strip() for p in parts[:-1]) + "\n" + parts[-1]
@@ -235,6 +245,25 @@ def h7(spark, sf):
     return d.groupBy("b").agg(F.count(F.lit(1)).alias("n_trials"), F.count_if("one").alias("n_single"), F.count_if("ok").alias("n_joint"), F.count_if(F.col("ok") & ~F.col("one")).alias("n_odd"))
 
 
+STORED = " UNION ALL ".join(f"SELECT '{event}' AS event, {hit} AS hit, b, count(*) AS n_trials, count(*) FILTER (ok) AS n_pass, round(avg(joint_objective), 6) AS mean_joint FROM (SELECT b, trial, {EVENT} FROM cons WHERE {where} GROUP BY b, trial) GROUP BY b" for event, hit, where in (("one method", "false", "method = 'R'"), ("all methods", "true", "true"), ("changed input", "false", "method <> 'A'")))
+
+
+@query("h7_trial_store", sql(*TRIED[:-1], STORED))
+def h7_store(spark, sf):
+    """Three audits by one store: the first event draws and fills it, the second one, other constraints on the same trials,
+    reads what the first left, and scores without one of the methods aren't found in it."""
+    a = Audit(spark, sf)
+    store, alloc = TrialStore(spark, scratch(spark, "trials")), sa.allocate_equal(a.pop, BUDGETS)
+    out = []
+    for event, scores_, method in (("one method", a.scores, "R"), ("all methods", a.scores, None), ("changed input", a.scores.filter("method <> 'A'"), None)):
+        entry = store.get(scores_, alloc, TRIALS, SEED)
+        cons = fi.constraints(entry.trials, a.tol())
+        ev = fi.joint_event(cons.filter(F.col("method") == method) if method else cons)
+        summed = ev.groupBy("b").agg(F.count(F.lit(1)).alias("n_trials"), F.count_if("ok").alias("n_pass"), F.round(F.avg("joint_objective"), 6).alias("mean_joint"))
+        out.append(summed.select(F.lit(event).alias("event"), F.lit(entry.hit).alias("hit"), "b", "n_trials", "n_pass", "mean_joint"))
+    return union_all(out)
+
+
 # ---- I
 
 GAPS = """
@@ -490,10 +519,11 @@ def j3(spark, sf):
     return re_.recommend(re_.frontier(Audit(spark, sf).events()), TARGETS)
 
 
-@query("j4_best_subset", sql(*FRONT, "SELECT d.* FROM draws d JOIN fr ON d.b = fr.b AND d.trial = fr.best_trial"))
+@query("j4_best_subset", worked_out_once(sql(*FRONT, "SELECT d.* FROM draws d JOIN fr ON d.b = fr.b AND d.trial = fr.best_trial"), "scores", "draws", "trials", "cons", "ev"))
 def j4(spark, sf):
     a = Audit(spark, sf)
-    return re_.best_subset(a.events(), a.drawn())
+    draws = stored(a.drawn(), "draws")
+    return re_.best_subset(fi.joint_event(fi.constraints(fi.trial_stats(draws, a.scores), a.tol())), draws)
 
 
 SUMMARY = "sm AS (SELECT b, b * (SELECT count(*) FROM sz) AS size, lcb, true AS feasible, b <> 4 AS has_manifest FROM fr)"
