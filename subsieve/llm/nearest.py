@@ -2,7 +2,8 @@
 
 Vectors are cut into two halves, each quantised by its own k-means centroids; a pair of centroids is a cell. A query
 goes through the cells by growing sum of its distances to the two centroids (a heap over the sorted pairs), until the
-cells visited hold a given share of all vectors, and what is in them is ranked by exact distance.
+cells visited hold a given share of all vectors, and one more than the neighbours asked for (all, if they are fewer);
+what is in them is ranked by exact distance.
 
 Equal vectors are indexed once, with the few smallest ids that a result could need, so copies don't fill a cell.
 Ranking is done in blocks, at most BLOCK queries against BLOCK vectors a task, which return each query's best only.
@@ -131,29 +132,33 @@ def nearest(vectors: DataFrame, every: int = 100, k: int = 10, visit: float = VI
     asked = materialize(asked, "asked")
     sides = max(1, ceil(asked.select("vid").distinct().count() / BLOCK))
 
-    def shards_of(seen: np.ndarray) -> np.ndarray:
-        some = seen & (counts > 0)
-        first, last = (ends - counts)[some] // BLOCK, (ends - 1)[some] // BLOCK
-        return np.unique(np.concatenate([np.arange(a, b + 1) for a, b in zip(first, last, strict=True)]))
+    enough = max(visit * n, min(n, k + 1))
 
     def visits(batches):
+        """A row for each query and shard, with the visited cells that the shard holds some of."""
         for b in batches:
             x = np.array(b.column("v").to_pylist(), dtype=np.float64).reshape(b.num_rows, -1)
-            seen = [traverse(q, centroids, counts, visit * n) for q in x]
-            flags = [np.packbits(s).tobytes() for s in seen]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(flags, pa.binary()), pa.array([shards_of(s) for s in seen], pa.list_(pa.int64()))], [*b.schema.names, "visited", "shards"])
+            for i, q in enumerate(x):
+                cells = np.flatnonzero(traverse(q, centroids, counts, enough) & (counts > 0))
+                first, last = (ends - counts)[cells] // BLOCK, (ends[cells] - 1) // BLOCK
+                held = last - first + 1
+                shard = np.repeat(first, held) + np.arange(held.sum()) - np.repeat(held.cumsum() - held, held)
+                begin = np.flatnonzero(np.append(True, shard[1:] != shard[:-1]))  # cells are in order of their places, and so are shards
+                lists = [c.astype("<i4").tobytes() for c in np.split(np.repeat(cells, held), begin[1:])]
+                row = b.slice(i, 1).take(pa.array(np.zeros(len(begin), int)))
+                yield pa.RecordBatch.from_arrays([row.column("vid"), row.column("v"), pa.array(shard[begin], pa.int64()), pa.array(lists, pa.binary())], ["vid", "v", "shard", "visited"])
 
     queries = indexed.select("vid", "v").join(asked.select("vid").distinct(), "vid", "left_semi")
-    queries = queries.repartition(spark.sparkContext.defaultParallelism).mapInArrow(visits, "vid long, v array<double>, visited binary, shards array<long>")
-    left = queries.withColumn("side", F.pmod(F.xxhash64("vid"), F.lit(sides).cast("long"))).withColumn("shard", F.explode("shards")).drop("shards")
+    left = queries.repartition(spark.sparkContext.defaultParallelism).mapInArrow(visits, "vid long, v array<double>, shard long, visited binary")
+    left = left.withColumn("side", F.pmod(F.xxhash64("vid"), F.lit(sides).cast("long")))
     right = indexed.withColumn("side", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(sides - 1).cast("long"))))
 
     def rank(q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(q) and len(x):
             xs, ids, cells = np.array(x["v"].tolist()), x["vid"].to_numpy(), x["cell"].to_numpy()
-            for vid, vec, flags in zip(q["vid"], q["v"], q["visited"], strict=True):
-                at = np.unpackbits(np.frombuffer(flags, np.uint8))[cells] > 0
+            for vid, vec, visited in zip(q["vid"], q["v"], q["visited"], strict=True):
+                at = np.isin(cells, np.frombuffer(visited, "<i4"))
                 found, d = best(np.asarray(vec), xs[at], ids[at], k + 1)
                 out.append(pd.DataFrame({"qid": vid, "vid": found, "score": d}))
         return pd.concat(out) if out else pd.DataFrame({"qid": [], "vid": [], "score": []})
