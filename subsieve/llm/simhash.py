@@ -18,10 +18,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.graph import components
 from ..functions.graph import components
 from .common import materialize, small_batches, table, text_or_empty
-from .nearcopies import keep_one  # noqa: F401  the pipeline's stage, by the similarity of texts
 
 SEED = 42
 SHINGLE = 3
