@@ -179,7 +179,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     crowds = materialize(each.groupBy("anchor").agg(F.count(F.lit(1)).alias("m")).filter(f"m > {CROWD}").select("anchor", F.lit(True).alias("crowd")), "crowds")
     each = each.join(crowds, "anchor", "left").withColumn("crowd", F.coalesce("crowd", F.lit(False)))
 
-    bytes_of = F.substring(F.encode("text", "utf-8"), F.col("s0") + 1, F.col("s1") - F.col("s0") + SPAN)
+    bytes_of = F.substring(F.col("text").cast("binary"), F.col("s0") + 1, F.col("s1") - F.col("s0") + SPAN)
     cut = each.join(docs.dropDuplicates(["k"]), "k").select("anchor", "segment", "copied", "crowd", bytes_of.alias("bytes"))
     cut = materialize(cut.select("anchor", "segment", "copied", "crowd", F.lit(0).alias("low"), (F.octet_length("bytes") - SPAN).alias("high"), "bytes"), "cut")
 
