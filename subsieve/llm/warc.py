@@ -40,7 +40,7 @@ def roles(pages: DataFrame) -> DataFrame:
     """
     d = pages.select(F.col("page_id").cast("long"), "url", F.coalesce("html", F.lit("")).alias("html")).withColumn("sha", F.sha1("html"))
     again = d.groupBy("sha").agg(F.max("page_id").alias("largest"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    d = d.join(again, "sha", "left")
+    d = d.join(materialize(again, "again"), "sha", "left")  # written, so that the join can split the pages of a hot payload
     return d.select("page_id", "url", "html", F.when(~F.col("page_id").eqNullSafe(F.col("largest")), F.col("largest")).alias("refers_to"))
 
 
