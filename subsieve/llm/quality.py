@@ -192,7 +192,7 @@ def fit(rated: DataFrame, sample: int = SAMPLE) -> Model | None:
 
 
 def rated_sample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """(doc_id, text, grade) of the `sample` labelled documents whose hash is lowest.
+    """(doc_id, grade, text) of the `sample` labelled documents whose hash is lowest; of an id's texts the one of lowest hash.
 
     Grades: 0 for low quality, 1 for good but toxic, 2 for good. The labels sampled are broadcast; their number is bounded.
     """
@@ -200,7 +200,8 @@ def rated_sample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Da
     some = labels.select(F.col("doc_id").alias("id"), grade.alias("grade")).filter("grade is not null and id is not null").distinct()
     some = lowest(some, sample)
     d = docs.select("doc_id", "text")
-    return d.join(F.broadcast(some), d["doc_id"] == some["id"]).select("doc_id", "text", "grade")
+    d = d.join(F.broadcast(some), d["doc_id"] == some["id"]).select("doc_id", "grade", F.coalesce("text", F.lit("")).alias("text"))
+    return d.groupBy("doc_id", "grade").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
 
 
 class _Words(dict):
