@@ -81,7 +81,8 @@ def scores(docs: DataFrame, alpha: float = ALPHA) -> DataFrame:
     size = d.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     chunks = max(1, ceil(size / CHUNK))
     bits = max(1, ceil(log2(chunks)))
-    d = d.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks).cast("long")).alias("chunk"), "doc_id", "text")
+    # by where they are read, too, so that repeated rows don't all meet
+    d = d.select(F.pmod(F.xxhash64("doc_id", "text", F.input_file_name(), F.input_file_block_start()), F.lit(chunks).cast("long")).alias("chunk"), "doc_id", "text")
 
     def ask(rows: pd.DataFrame) -> pd.DataFrame:
         g = Grams(rows["text"])
