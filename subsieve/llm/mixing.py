@@ -89,8 +89,9 @@ def taken_in_pass(p: int) -> Column:
 
 
 def in_order(plan: DataFrame) -> DataFrame:
-    """Globally range-sorted by virtual finish time."""
-    return plan.repartitionByRange("finish").sortWithinPartitions("finish")
+    """Globally range-sorted by virtual finish time, equal ones by doc_id; plan has `finish` and doc_id, or `doc` with it."""
+    order = ["finish", "doc_id" if "doc_id" in plan.columns else "doc.doc_id"]
+    return plan.repartitionByRange(*order).sortWithinPartitions(*order)
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.0, max_repeat: int = 3, seed: int = SEED) -> DataFrame:
@@ -112,7 +113,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.0, max_repeat: int =
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     plan = mixing_plan(docs, carry=["doc_id"]).select(F.col("doc.doc_id").alias("doc_id"), "size", "source_size", "target", "taken", "start", "finish")
-    return in_order(plan).select("doc_id", "size", "source_size", "target", "taken", "start")
+    return in_order(plan)
 
 
 #: The same by one window over each source; the level is found by trying each source as the first that isn't capped.
@@ -134,6 +135,6 @@ x AS (SELECT doc_id, size, source_size, target,
       FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target,
        (least(size, greatest(0, floor(target)::BIGINT - start)) + least(size, greatest(0, floor(target)::BIGINT - source_size - start))
-        + least(size, greatest(0, floor(target)::BIGINT - 2 * source_size - start)))::BIGINT AS taken, start
+        + least(size, greatest(0, floor(target)::BIGINT - 2 * source_size - start)))::BIGINT AS taken, start, CASE WHEN target > 0 THEN (start + size) / target END AS finish
 FROM x
 """
