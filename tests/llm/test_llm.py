@@ -38,7 +38,7 @@ def none(spark):
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_equals_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "labels"):
+    for t in ("documents", "pages", "labels", "benchmark"):
         con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     got, want = plain(queries.QUERIES[name](spark, SF).toPandas()), plain(con.sql(queries.ORACLES[name]).df())
     assert list(got.columns) == list(want.columns) and got.fillna("~").equals(want.fillna("~"))
@@ -317,7 +317,7 @@ def test_simhash(spark, odd, none, monkeypatch, crowd):
     assert groups[0] == groups[1]
     d = {r.doc_id: r.component_id for r in simhash.near_duplicates(odd).collect()}
     assert d[1] == d[2] == 1 and d[3] == d[4] == 3
-    kept = simhash.keep_one(odd)
+    kept = nearcopies.keep_one(odd)
     assert kept.columns == odd.columns and {r.doc_id for r in kept.collect()} >= {1, 3, 5, 6, 7, 8} and kept.filter("doc_id = 2").count() == 0
     assert simhash.near_duplicates(none).count() == 0
 
@@ -342,13 +342,11 @@ def planted_copies():
     return [" ".join(w) for w in out] + ["a b c", "A  b c", "", " ", "x"]
 
 
-@pytest.mark.parametrize("crowd, huge, block", [(64, 4096, 512), (4, 30, 8)])
-def test_near_copies_stage(spark, monkeypatch, crowd, huge, block):
+@pytest.mark.parametrize("block", [512, 8])
+def test_near_copies_stage(spark, monkeypatch, block):
     import corpus_pipeline as cp
 
-    for name, n in (("CROWD", crowd), ("HUGE", huge), ("BLOCK", block)):
-        monkeypatch.setattr(nearcopies, name, n)
-
+    monkeypatch.setattr(nearcopies, "BLOCK", block)
     texts = planted_copies()
     sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in (t.lower().split() for t in texts)]
     root = list(range(len(texts)))
@@ -368,11 +366,21 @@ def test_near_copies_stage(spark, monkeypatch, crowd, huge, block):
     assert sorted(r.doc_id for r in kept.collect()) == [i for i in range(len(texts)) if top(i) == i]
 
 
+def test_parities_never_hide_a_near_copy():
+    rnd = np.random.default_rng(2)
+    for n in (1, 7, 100, 3000):
+        x = np.unique(rnd.integers(0, 2**63, n).astype(np.uint64))
+        for share in (0.0, 0.05, 0.3):
+            y = np.unique(np.concatenate([x[rnd.random(len(x)) >= share], rnd.integers(0, 2**63, int(share * n)).astype(np.uint64)]))
+            apart = len(np.setxor1d(x, y))
+            assert np.bitwise_count(nearcopies.parities(x) ^ nearcopies.parities(y)).sum() <= apart
+
+
 def test_one_row_for_each_group(spark):
     one, two, three, four = (" ".join(f"{k}{i}" for i in range(40)) for k in "pqrs")
     rows = [(None, one), (None, two), (None, three + " end"), (1, three), (1, four), (1, four), (2, four + " end"), (None, None), (None, "")]
     for wide in (rows, rows[::-1]):
-        kept = simhash.keep_one(spark.createDataFrame(wide, "doc_id long, text string")).collect()
+        kept = nearcopies.keep_one(spark.createDataFrame(wide, "doc_id long, text string")).collect()
         assert sorted((r.doc_id or 0, r.text or "") for r in kept) == sorted([(0, one), (0, two), (1, three), (1, four), (0, "")])
 
 
@@ -392,6 +400,11 @@ def test_nearest(spark):
         hits += len({r.vec_id for r in own} & set(want.tolist()))
     assert hits >= 54 and {r.query_id for r in got} == set(range(0, 600, 100))
     assert nearest.nearest(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
+    for n, different in [(n, n) for n in (1, 2, 3, 5, 8, 10, 11, 12, 13, 15, 16, 22, 30)] + [(25, 3), (25, 11), (14, 1)]:
+        v = rnd.normal(size=(different, 4))
+        rows = [(100 * i, v[i % different].tolist()) for i in range(n)]
+        got = nearest.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+        assert Counter(r.query_id for r in got) == Counter({100 * i: min(10, n - 1) for i in range(n) if n > 1})
     few = nearest.nearest(spark.createDataFrame([(0, [1.0, 2.0]), (1, [2.0, 2.0])], "vec_id long, embedding array<double>")).collect()
     assert [tuple(r) for r in few] == [(0, 1, 1, 1.0)]
 
