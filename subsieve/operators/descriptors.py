@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import quantiles, unpivot
+from ..sources.tables import stored
 
 
 def parse_points_text(df: DataFrame, text: str = "text", key: str = "scene") -> DataFrame:
@@ -110,22 +111,58 @@ def scene_image_stats(entropy: DataFrame, edges: DataFrame, frames: DataFrame) -
     return image_stats(d, ["entropy", "edges", "mask_share", "sharpness"])
 
 
+LEAST_WEIGHT = 1e-5  # of a pair of rays; more nearly parallel ones say nothing about where they meet
+
+
 def focus_point(df: DataFrame) -> DataFrame:
-    """scene, fx, fy, fz, weight: over all ordered pairs of a scene's rays, the mean of the closest points on the first,
-    weighted by |da x db|^2 where that is above 1e-5; a scene's rays are few."""
-    a = df.select("scene", *[F.col(c).alias(f"a{c}") for c in ("image", "cx", "cy", "cz", "dx", "dy", "dz")])
-    b = df.select("scene", *[F.col(c).alias(f"b{c}") for c in ("image", "cx", "cy", "cz", "dx", "dy", "dz")])
-    p = a.join(b, "scene").filter("aimage <> bimage")
-    da, db = [F.col(f"ad{c}") for c in "xyz"], [F.col(f"bd{c}") for c in "xyz"]
-    t = [F.col(f"bc{c}") - F.col(f"ac{c}") for c in "xyz"]
+    """scene, fx, fy, fz, weight: over all ordered pairs of a scene's rays (image, centre cx, cy, cz, direction dx, dy, dz),
+    the mean of the closest points on the first, weighted by |da x db|^2 where that is above LEAST_WEIGHT. Scenes without
+    such a pair aren't there.
+
+    Weight and weighted point are polynomials in the second ray, so what a ray sums up over all others follows from
+    moments of the scene, and no pairs are made. Only pairs below the weight have to be found and taken off: their
+    directions, or one and the other's opposite, are neighbours in a grid of directions.
+    """
+    d = stored(df.select("scene", "image", *[F.col(x + i).cast("double").alias(x + i) for x in "cd" for i in "xyz"]).na.drop(), "rays")
+    square = lambda u: sum((x * x for x in u[1:]), u[0] * u[0])
+    dot = lambda u, v: u[0] * v[0] + u[1] * v[1] + u[2] * v[2]
+    c, v = ([F.col(x + i) for i in "xyz"] for x in "cd")
+    places = [(i, j) for i in range(3) for j in range(i, 3)]
+    moments = [F.count(F.lit(1)).alias("n"), F.sum(square(v)).alias("squares"), F.min(square(v)).alias("shortest")]
+    moments += [F.sum(v[i] * v[j]).alias(f"m{i}{j}") for i, j in places]
+    moments += [F.sum(c[i] * square(v) - v[i] * dot(c, v)).alias(f"m{i}") for i in range(3)]  # of the part that doesn't depend on the first centre
+    whole = stored(d.groupBy("scene").agg(*moments), "moments")
+    m = lambda i, j: F.col(f"m{min(i, j)}{max(i, j)}")
+    turned = lambda u: [dot([m(i, j) for j in range(3)], u) for i in range(3)]
+    w = square(v) * F.col("squares") - dot(v, turned(v))
+    s = dot(v, [F.col(f"m{i}") for i in range(3)]) - dot(c, v) * F.col("squares") + dot(c, turned(v))
+    every = d.join(whole, "scene").groupBy("scene").agg(F.max(F.col("n") * (F.col("n") - 1)).alias("pairs"), F.sum(w).alias("w"), *[F.sum(w * c[i] + s * v[i]).alias(f"f{x}") for i, x in enumerate("xyz")])
+    few = _nearly_parallel(d, whole.select("scene", "shortest"))
+    d = every.join(few, "scene", "left")
+    rest = lambda x: F.col(x) - F.coalesce(F.col(f"{x}_off"), F.lit(0))
+    return d.filter(rest("pairs") > 0).select("scene", *[(rest(f"f{x}") / rest("w")).alias(f"f{x}") for x in "xyz"], rest("w").alias("weight"))
+
+
+def _nearly_parallel(d: DataFrame, shortest: DataFrame) -> DataFrame:
+    """scene, pairs_off, w_off, fx_off, fy_off, fz_off: number and sums of the ordered pairs of at most LEAST_WEIGHT."""
+    size = F.sqrt(sum((F.col(f"d{x}") * F.col(f"d{x}") for x in "yz"), F.col("dx") * F.col("dx")))
+    # directions this far apart, of rays as short as the shortest, have more than LEAST_WEIGHT; a scene without a direction has one cell
+    step = F.when(F.col("shortest") > 0, F.least(F.lit(4.0), F.lit((2 * LEAST_WEIGHT) ** 0.5 * (1 + 1e-6)) / F.col("shortest"))).otherwise(4.0)
+    d = d.join(shortest, "scene").withColumn("step", step).withColumn("size", size)
+    cell = lambda sign: F.array(*[F.floor(F.when(F.col("size") > 0, sign * F.col(f"d{x}") / F.col("size")).otherwise(0.0) / F.col("step")) for x in "xyz"])
+    rays = [f"{x}{i}" for x in "cd" for i in "xyz"]
+    a = d.select("scene", F.col("image").alias("a"), *[F.col(c).alias(f"a{c}") for c in rays], cell(1).alias("at"))
+    around = F.array(*[F.array(*[F.lit(x) for x in (i, j, k)]) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)])
+    a = a.select("*", F.explode(around).alias("by")).withColumn("cell", F.zip_with("at", "by", lambda x, y: x + y)).drop("at", "by")
+    b = d.select("scene", F.col("image").alias("b"), *[F.col(c).alias(f"b{c}") for c in rays], F.explode(F.array(F.struct(F.lit(True).alias("same"), cell(1).alias("cell")), F.struct(F.lit(False).alias("same"), cell(-1).alias("cell")))).alias("x"))
+    p = a.join(b.select("*", "x.*").drop("x"), ["scene", "cell"]).filter("a <> b")
+    da, db = ([F.col(f"{r}d{x}") for x in "xyz"] for r in "ab")
+    t = [F.col(f"bc{x}") - F.col(f"ac{x}") for x in "xyz"]
     cross = lambda u, v: [u[1] * v[2] - u[2] * v[1], u[2] * v[0] - u[0] * v[2], u[0] * v[1] - u[1] * v[0]]
     dot = lambda u, v: u[0] * v[0] + u[1] * v[1] + u[2] * v[2]
-    c = cross(da, db)
-    p = p.withColumn("w", dot(c, c)).withColumn("s", dot(cross(t, db), c)).filter("w > 1e-5")
-    at = F.col("s") / F.col("w")
-    own = lambda i, x: F.col(f"ac{x}") + at * da[i]
-    mean = lambda i, x: (F.sum(own(i, x) * F.col("w")) / F.sum("w")).alias(f"f{x}")
-    return p.groupBy("scene").agg(*[mean(i, x) for i, x in enumerate("xyz")], F.sum("w").alias("weight"))
+    n = cross(da, db)
+    p = p.filter((dot(da, db) >= 0) == F.col("same")).withColumn("w", dot(n, n)).withColumn("s", dot(cross(t, db), n)).filter(F.col("w") <= LEAST_WEIGHT)
+    return p.groupBy("scene").agg(F.count(F.lit(1)).alias("pairs_off"), F.sum("w").alias("w_off"), *[F.sum(F.col("w") * F.col(f"ac{x}") + F.col("s") * da[i]).alias(f"f{x}_off") for i, x in enumerate("xyz")])
 
 
 def normalize_poses(df: DataFrame, focus: DataFrame) -> DataFrame:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.clustering import BisectingKMeans, KMeans
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -54,9 +57,9 @@ def silhouette(df: DataFrame, label: str = "label", key: str = "unit") -> DataFr
 BLOCK = 1024  # units of a block
 
 
-def distance_sums(df: DataFrame, label: str = "label", key: str = "unit", within: bool = False) -> DataFrame:
-    """key, label, other, total, n: number and sum of Euclidean distances of each unit to the other units of each label,
-    or of its own label only (`within`).
+def distance_sums(df: DataFrame, label: str = "label", key: str = "unit", within: bool = False, asked: DataFrame | None = None) -> DataFrame:
+    """key, label, other, total, n: number and sum of Euclidean distances of each unit, or of those in asked (key), to the
+    other units of each label, or of its own label only (`within`).
 
     These sums are over all pairs by definition. Units are dealt into blocks of about BLOCK; each two blocks (of one
     label, if `within`) meet in a task of their own and give a row for each unit and label, so no label is gathered in a
@@ -67,7 +70,8 @@ def distance_sums(df: DataFrame, label: str = "label", key: str = "unit", within
     sizes = d.groupBy(F.col("scope").alias("of")).agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
     d = stored(d.join(sizes, F.col("scope").eqNullSafe(F.col("of"))).select("x", "lx", "v", "scope", "blocks", F.pmod(F.xxhash64("x"), "blocks").alias("block")), "blocks")
     every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    left = d.select("scope", F.col("block").alias("i"), every.alias("j"), "x", "lx", "v")
+    left = d if asked is None else d.join(asked.select(F.col(key).alias("x")), "x", "left_semi")
+    left = left.select("scope", F.col("block").alias("i"), every.alias("j"), "x", "lx", "v")
     right = d.select(F.col("scope").alias("scope2"), every.alias("i2"), F.col("block").alias("j2"), F.col("x").alias("y"), F.col("lx").alias("ly"), F.col("v").alias("w"))  # as one side of a cogroup must not have columns of the other
     kind, ids = df.schema[label].dataType.simpleString(), df.schema[key].dataType.simpleString()
 
@@ -144,10 +148,116 @@ def reps_centroid(df: DataFrame, n: int, label: str = "label", key: str = "unit"
     return d.withColumn("rank", F.row_number().over(Window.partitionBy(label).orderBy("d", key))).filter(F.col("rank") <= n).select(label, key, "rank")
 
 
+SHELLS, TRIED = 32, 8  # of each cluster: shells that bounds go by, and units summed for a first best
+
+
 def reps_medoid(df: DataFrame, label: str = "label", key: str = "unit") -> DataFrame:
-    """The unit of each cluster with the least sum of Euclidean distances to the others, ties by key."""
-    d = distance_sums(df, label, key, within=True)
-    return d.groupBy(label).agg(F.min(F.struct(F.round("total", 6).alias("d"), F.col(key).alias("x"))).alias("s")).select(label, F.col("s.x").alias(key), F.col("s.d").alias("total"))
+    """The unit of each cluster with the least sum of Euclidean distances to the others, ties by key; units without a label
+    are left out.
+
+    Not all pairs are measured: below what a unit's sum can't be follows from moments of its cluster. The units of least
+    bound are summed, and then those whose bound isn't above the best sum.
+    """
+    d, low = medoid_bounds(df, label, key)
+    first = Window.partitionBy(label).orderBy("low", key)
+    tried = stored(low.withColumn("at", F.row_number().over(first)).filter(F.col("at") <= TRIED).select(label, key), "tried")
+    sums = stored(distance_sums(d, label, key, within=True, asked=tried), "sums")
+    best = sums.groupBy(label).agg(F.min("total").alias("best"))
+    rest = stored(low.join(best, label).filter(F.col("low") <= F.col("best") * (1 + 1e-9) + 1e-6).select(label, key).join(tried, key, "left_anti"), "rest")
+    sums = sums.unionByName(distance_sums(d, label, key, within=True, asked=rest))
+    return sums.groupBy(label).agg(F.min(F.struct(F.round("total", 6).alias("d"), F.col(key).alias("x"))).alias("s")).select(label, F.col("s.x").alias(key), F.col("s.d").alias("total"))
+
+
+def medoid_bounds(df: DataFrame, label: str = "label", key: str = "unit") -> tuple[DataFrame, DataFrame]:
+    """(the units, (label, key, low)): a lower bound of the sum of a unit's distances to its cluster.
+
+    A cluster's units are taken in SHELLS shells by their distance to its mean. With h and z for x and y from the mean, and
+    M^2 = h^2 + the mean of z^2 in a shell, |x - y| is M sqrt(1 + s) with s = (z^2 - 2 h z + h^2) / M^2 - 1, and sqrt(1 + s)
+    is at least 1 + s / 2 - k s^2, k being 1/2 at most and less where s stays above -1. Summed over a shell this is a
+    polynomial in h whose coefficients are moments of the shell, so all bounds take two readings of the units. Means and
+    moments, a few for each cluster, are broadcast.
+    """
+    spark, kind, ids = df.sparkSession, df.schema[label].dataType.simpleString(), df.schema[key].dataType.simpleString()
+    d = stored(df.select(key, label, "v").filter(F.col(label).isNotNull()), "units")
+    mean = d.select(label, F.posexplode("v").alias("i", "x")).groupBy(label, "i").agg(F.avg("x").alias("m"))
+    mean = mean.groupBy(label).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("m"))  # as long as a vector
+    far = d.join(mean, label).select(label, distance(F.col("v"), F.col("m")).alias("far"))
+    cuts = far.groupBy(label).agg(F.percentile_approx("far", F.array(*[F.lit(i / SHELLS) for i in range(1, SHELLS)]), F.lit(1000)).alias("cuts"))
+    known = {r[label]: (np.array(r["m"]), np.array(r["cuts"])) for r in mean.join(cuts, label).collect()}  # a row for each cluster
+    known = spark.sparkContext.broadcast(known)
+
+    def parts(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x, labels = _rows(b.column("v")), np.array(b.column(label).to_pylist(), dtype=object)
+            out = []
+            for name, (m, cuts) in known.value.items():
+                z = x[labels == name] - m
+                r = np.sqrt((z**2).sum(1))
+                shell = np.searchsorted(cuts, r)
+                out += [(name, int(k), Shell.of(z[shell == k], r[shell == k]).packed()) for k in np.unique(shell)]
+            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], b.schema.field(label).type), pa.array([o[1] for o in out], pa.int32()), pa.array([o[2] for o in out], pa.binary())], [label, "shell", "moments"])
+
+    def added(rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({label: rows[label][:1], "shell": rows["shell"][:1], "moments": [Shell.sum(rows["moments"]).packed()]})
+
+    partial = d.select(label, "v").mapInArrow(parts, f"{label} {kind}, shell int, moments binary")
+    whole = partial.groupBy(label, "shell").applyInPandas(added, f"{label} {kind}, shell int, moments binary").collect()  # SHELLS rows for each cluster
+    shells = spark.sparkContext.broadcast([(r[label], Shell.sum([r["moments"]])) for r in whole])
+
+    def bounds(batches):
+        for b in batches:
+            x, labels, low = _rows(b.column("v")), np.array(b.column(label).to_pylist(), dtype=object), np.zeros(b.num_rows)
+            for name, shell in shells.value:
+                some = labels == name
+                if some.any():
+                    low[some] += shell.least(x[some] - known.value[name][0])
+            yield pa.RecordBatch.from_arrays([b.column(label), b.column(key), pa.array(low)], [label, key, "low"])
+
+    return d, stored(d.select(label, key, "v").mapInArrow(bounds, f"{label} {kind}, {key} {ids}, low double"), "bounds")
+
+
+def _rows(v: pa.ListArray) -> np.ndarray:
+    return v.flatten().to_numpy(zero_copy_only=False).reshape(len(v), -1)
+
+
+class Shell:
+    """Moments of vectors z of lengths between `inner` and `outer`, which bound sums of distances to them."""
+
+    def __init__(self, inner: float, outer: float, numbers: np.ndarray, vectors: np.ndarray, squares: np.ndarray):
+        self.inner, self.outer, self.numbers, self.vectors, self.squares = inner, outer, numbers, vectors, squares
+
+    @classmethod
+    def of(cls, z: np.ndarray, r: np.ndarray) -> Shell:
+        return cls(r.min(), r.max(), np.array([len(r), r.sum(), (r**2).sum(), (r**4).sum()]), np.stack([z.sum(0), (z * r[:, None] ** 2).sum(0)]), z.T @ z)
+
+    def packed(self) -> bytes:
+        return np.concatenate([[self.inner, self.outer, len(self.squares)], self.numbers, self.vectors.ravel(), self.squares.ravel()]).tobytes()
+
+    @classmethod
+    def sum(cls, packed) -> Shell:
+        rows = np.array([np.frombuffer(p) for p in packed])
+        n, total = int(rows[0, 2]), rows[:, 3:].sum(0)
+        return cls(rows[:, 0].min(), rows[:, 1].max(), total[:4], total[4 : 4 + 2 * n].reshape(2, n), total[4 + 2 * n :].reshape(n, n))
+
+    def least(self, h: np.ndarray) -> np.ndarray:
+        """For each row of h, a lower bound of the sum of its distances to all z."""
+        t = np.sqrt((h**2).sum(1))
+        n, r, r2, r4 = self.numbers
+        z, z2 = (h @ v for v in self.vectors)
+        own = r2 / n
+        m = np.maximum(own + t**2, 1e-300)
+        s = -2 * z / m
+        s2 = (r4 - 2 * own * r2 + n * own**2 - 4 * (z2 - own * z) + 4 * ((h @ self.squares) * h).sum(1)) / m**2
+        nearest = np.where(t < self.inner, self.inner - t, np.where(t > self.outer, t - self.outer, 0))
+        bound = np.sqrt(m) * (n + s / 2 - _bend(nearest**2 / m - 1) * np.maximum(0, s2))
+        return np.maximum(np.abs(n * t - r), bound * (1 - 1e-9))
+
+
+def _bend(s: np.ndarray) -> np.ndarray:
+    """The least k with sqrt(1 + x) >= 1 + x / 2 - k x^2 for all x from s (-1 at least) on: that of s itself."""
+    return 0.5 / (1 + np.sqrt(np.clip(1 + s, 0, 1))) ** 2
 
 
 def rep_metric_summary(reps: DataFrame, scores: DataFrame, key: str = "unit") -> DataFrame:
@@ -177,14 +287,55 @@ def project_2d(df: DataFrame, key: str = "unit") -> DataFrame:
 
 
 def radius_components(df: DataFrame, r: float, key: str = "unit") -> DataFrame:
-    """key, root of points (key, x, y): components of the graph that links points within r; pairs meet by grid cells of
-    width r and their neighbours."""
-    d = df.select(key, "x", "y", F.floor(F.col("x") / r).alias("gx"), F.floor(F.col("y") / r).alias("gy"))
-    near = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    other = d.select(F.col(key).alias("o"), F.col("x").alias("ox"), F.col("y").alias("oy"), "gx", "gy", F.explode(near).alias("s")).select("o", "ox", "oy", (F.col("gx") + F.col("s.i")).alias("gx"), (F.col("gy") + F.col("s.j")).alias("gy"))
-    far = (F.col("x") - F.col("ox")) * (F.col("x") - F.col("ox")) + (F.col("y") - F.col("oy")) * (F.col("y") - F.col("oy"))
-    links = d.join(other, ["gx", "gy"]).filter((F.col(key) > F.col("o")) & (far <= r * r)).select(F.col(key).alias("a"), F.col("o").alias("b"))
-    return df.select(key).join(components(links).withColumnRenamed("node", key), key, "left").withColumn("root", F.coalesce("root", key))
+    """key, root of points (key, x, y): components of the graph that links points within r, named by their smallest key;
+    a point without coordinates is its own.
+
+    Points of a grid cell whose diagonal is r are linked by construction, so components are those of cells, and all that
+    has to be known of two cells is whether some pair of their points is within r. That follows from the bounds of their
+    points, or else from those of ever smaller boxes, a quarter as wide each time, of the cells that are still in doubt.
+    """
+    width = r / 2**0.5 * (1 - 1e-9)
+    d = df.filter("x is not null and y is not null").select(key, F.col("x").cast("double"), F.col("y").cast("double"))
+    d = stored(d.withColumn("gx", F.floor(F.col("x") / width)).withColumn("gy", F.floor(F.col("y") / width)), "points")
+    ends = [f(c).alias(f"{c}_{n}") for c in "xy" for n, f in (("low", F.min), ("high", F.max))]
+    cells = stored(d.groupBy("gx", "gy").agg(F.min(key).alias("cell"), *ends), "cells")
+    bounds = [f"{c}_{n}" for c in "xy" for n in ("low", "high")]
+    side = lambda rows, p, *cols: rows.select(*cols, *[F.col(c).alias(f"{p}{c}") for c in bounds])
+
+    # each cell against half of the cells around it; those two away in both directions may still touch
+    around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(3) for j in range(-2, 3) if (i, j) > (0, 0)])
+    first = side(cells, "a_", "gx", "gy", F.col("cell").alias("a"), F.explode(around).alias("s"))
+    first = first.withColumn("gx", F.col("gx") + F.col("s.i")).withColumn("gy", F.col("gy") + F.col("s.j")).drop("s")
+    met = stored(_judged(first.join(side(cells, "b_", "gx", "gy", F.col("cell").alias("b")), ["gx", "gy"]), r).select("a", "b", "sure"), "met")
+    links, doubt = [met.filter("sure").select("a", "b")], met.filter("not sure").select("a", "b", *[F.lit(0).cast("long").alias(c) for c in ("ax", "ay", "bx", "by")])
+    doubt, level = stored(doubt, "doubt"), 0
+    points = d.join(cells.select("gx", "gy", "cell"), ["gx", "gy"]).select("cell", "x", "y", *[(F.col(c) / width - F.col(f"g{c}")).alias(f"u{c}") for c in "xy"])
+    while not doubt.isEmpty():
+        level += 1
+        at = lambda c, n: F.least(F.lit(4**n - 1), F.floor(F.col(f"u{c}") * 4**n)).cast("long")  # noqa: B023, E731
+        open_ = doubt.select(F.col("a").alias("cell")).union(doubt.select("b")).distinct()
+        boxes = points.join(open_, "cell", "left_semi").groupBy("cell", at("x", level).alias("kx"), at("y", level).alias("ky")).agg(*ends)
+        boxes = stored(boxes.withColumn("px", F.shiftright("kx", 2)).withColumn("py", F.shiftright("ky", 2)), "boxes")  # the box that it is part of
+        left = side(boxes, "a_", F.col("cell").alias("a"), F.col("px").alias("ax"), F.col("py").alias("ay"), F.col("kx").alias("nax"), F.col("ky").alias("nay"))
+        right = side(boxes, "b_", F.col("cell").alias("b"), F.col("px").alias("bx"), F.col("py").alias("by"), F.col("kx").alias("nbx"), F.col("ky").alias("nby"))
+        met = _judged(doubt.join(left, ["a", "ax", "ay"]).join(right, ["b", "bx", "by"]), r)
+        met = stored(met.select("a", "b", "sure", *[F.col(f"n{c}").alias(c) for c in ("ax", "ay", "bx", "by")]), "met")
+        new = stored(met.filter("sure").select("a", "b").distinct(), "found")
+        links.append(new)
+        doubt = stored(met.filter("not sure").drop("sure").join(new, ["a", "b"], "left_anti"), "doubt")
+    roots = components(reduce(DataFrame.union, links)).withColumnRenamed("node", "cell")
+    of = cells.select("gx", "gy", "cell").join(roots, "cell", "left").select("gx", "gy", F.coalesce("root", "cell").alias("root"))
+    return df.select(key).join(d.join(of, ["gx", "gy"]).select(key, "root"), key, "left").withColumn("root", F.coalesce("root", key))
+
+
+def _judged(pairs: DataFrame, r: float) -> DataFrame:
+    """Pairs of boxes by the bounds of their points (a_x_low and so on): sure, if all of one's points are within r of all of
+    the other's, not sure, if some may be; others are left out. Boxes of one point each are never in doubt."""
+    e = lambda n: F.col(n)
+    least = lambda c: F.greatest(F.lit(0.0), e(f"b_{c}_low") - e(f"a_{c}_high"), e(f"a_{c}_low") - e(f"b_{c}_high"))
+    most = lambda c: F.greatest(F.abs(e(f"b_{c}_high") - e(f"a_{c}_low")), F.abs(e(f"a_{c}_high") - e(f"b_{c}_low")))
+    square = lambda f: f("x") * f("x") + f("y") * f("y")
+    return pairs.filter(square(least) <= r * r).withColumn("sure", square(most) <= r * r)
 
 
 def region_bounds(df: DataFrame, flag: str, pad: float = 0.2) -> DataFrame:
