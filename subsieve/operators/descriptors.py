@@ -21,8 +21,9 @@ def parse_images_text(df: DataFrame, text: str = "text", key: str = "scene") ->
     """key, image_id, name, qw, qx, qy, qz, tx, ty, tz, observations array<struct<x, y, point_id>>: pairs of lines, the
     image and its triples `X Y POINT`; '#' lines are comments."""
     lines = F.filter(F.split(text, "\n"), lambda x: ~F.startswith(F.trim(x), F.lit("#")))
-    d = df.select(key, F.posexplode(lines).alias("at", "line"), lines.alias("all"))
-    d = d.filter("at % 2 = 0 and trim(line) <> ''").withColumn("h", F.split(F.trim("line"), r"\s+")).withColumn("o", F.filter(F.split(F.trim(F.coalesce(F.get("all", F.col("at") + 1), F.lit(""))), r"\s+"), lambda x: x != ""))
+    two = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("lines") - 1), F.lit(2)), lambda i: F.struct(F.get("lines", i).alias("head"), F.coalesce(F.get("lines", i + 1), F.lit("")).alias("rest")))
+    d = df.select(key, lines.alias("lines")).select(key, F.explode(two).alias("x")).select(key, "x.*").filter("trim(head) <> ''")
+    d = d.withColumn("h", F.split(F.trim("head"), r"\s+")).withColumn("o", F.filter(F.split(F.trim("rest"), r"\s+"), lambda x: x != ""))
     n = lambda i: F.get("h", F.lit(i)).try_cast("double")
     triple = lambda i: F.struct(F.get("o", i).try_cast("double").alias("x"), F.get("o", i + 1).try_cast("double").alias("y"), F.get("o", i + 2).try_cast("long").alias("point_id"))
     triples = F.when(F.size("o") >= 3, F.transform(F.sequence(F.lit(0), F.size("o") - 3, F.lit(3)), triple)).otherwise(F.array().cast("array<struct<x:double,y:double,point_id:bigint>>"))

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from itertools import combinations
-
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.stats import adjusted_skewness, quantiles, running_counts, unpivot
+from ..functions.stats import adjusted_skewness, quantiles, running_counts, to_double, unpivot
 from ..sources.tables import stored
 
 QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
@@ -46,11 +46,38 @@ def missingness(long: DataFrame) -> DataFrame:
 
 
 def correlation_long(df: DataFrame, cols: list[str]) -> DataFrame:
-    """a, b, corr for each two columns, over the rows that have both, in one aggregate."""
-    pairs = list(combinations(sorted(cols), 2))
-    row = df.agg(*[F.corr(a, b).alias(f"p{i}") for i, (a, b) in enumerate(pairs)])
-    cells = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"p{i}").alias("corr")) for i, (a, b) in enumerate(pairs)])
-    return row.select(F.explode(cells).alias("x")).select("x.a", "x.b", F.nanvl("x.corr", F.lit(None).cast("double")).alias("corr"))
+    """a, b, corr for each two columns, over the rows that have both (NaN counts as missing); null where either is constant
+    there.
+
+    Each task turns its rows into partial Gram matrices: for every two columns the number of rows that have both, and the
+    sums of either, of their squares and of their products over these, less the columns' means, so that nothing cancels.
+    A row of the matrices is added up over tasks at a time; the plan is as small for 500 columns as for two.
+    """
+    cols = sorted(cols)
+    d = df.select(*[to_double(F.col(c)).alias(f"x{i}") for i, c in enumerate(cols)])
+    mean = np.array([x or 0.0 for x in d.agg(*[F.avg(c) for c in d.columns]).first()])  # a number for each column
+    d = d.unionByName(df.sparkSession.createDataFrame([(None,) * len(cols)], d.schema))  # adds nothing, and makes an empty table one with rows
+
+    def grams(batches):
+        sums = np.zeros((4, len(cols), len(cols)))
+        for b in batches:
+            x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in b.columns]).astype(float) - mean
+            has = ~np.isnan(x)
+            x, has = np.where(has, x, 0.0), has.astype(float)
+            sums += [has.T @ has, x.T @ has, (x * x).T @ has, x.T @ x]
+        n, s, q, p = sums
+        rows = np.concatenate([n, s, s.T, q, q.T, p], axis=1)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(cols)), pa.int32()), pa.array([r.tobytes() for r in rows], pa.binary())], ["i", "sums"])
+
+    def correlated(rows: pa.Table) -> pa.Table:
+        i = rows["i"][0].as_py()
+        n, sa, sb, qa, qb, p = np.sum([np.frombuffer(r) for r in rows["sums"].to_pylist()], axis=0).reshape(6, len(cols))[:, i + 1 :]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            va, vb = qa - sa * sa / n, qb - sb * sb / n
+            r = np.where((n > 1) & (va > 1e-13 * qa) & (vb > 1e-13 * qb), (p - sa * sb / n) / np.sqrt(va * vb), np.nan)
+        return pa.table([pa.array([cols[i]] * len(r), pa.string()), pa.array(cols[i + 1 :], pa.string()), pa.array(r, mask=np.isnan(r))], names=["a", "b", "corr"])
+
+    return d.mapInArrow(grams, "i int, sums binary").groupBy("i").applyInArrow(correlated, "a string, b string, corr double")
 
 
 def top_correlated(corr: DataFrame, k: int) -> DataFrame:

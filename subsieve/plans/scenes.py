@@ -11,6 +11,7 @@ from ..operators import reliability as re_
 from ..sources import files as fs
 from ..sources.tables import load, scratch, stored
 from ..streaming import logs as st
+from ..streaming.store import LatestStore
 from .audit import BASE, DRAWN, FRONT, Audit, sql, wide_scores
 from .profiles import rounded
 
@@ -286,13 +287,33 @@ def m3(spark, sf):
 # ---- N
 
 
-@query("n1_stream_logs", "WITH l AS (SELECT user_id AS unit, event_type AS method, max_by(value, event_id) AS value FROM events GROUP BY ALL) SELECT method, count(DISTINCT unit) AS n_units, round(avg(value), 6) AS mean FROM l GROUP BY method")
-def n1(spark, sf):
-    path, store, mark = (scratch(spark, t) for t in ("arriving", "store", "progress"))
-    logs = load(spark, sf, "events").select(F.col("user_id").alias("unit"), F.col("event_type").alias("method"), F.col("event_id").alias("seq"), "value")
-    logs.repartition(6).write.json(path)
-    run = st.stream_logs(spark, path, logs.schema, store, mark, files_per_batch=2)
-    run.awaitTermination()
-    return st.coverage_and_means(st.stored_logs(spark, store))
+_LATEST = "WITH l AS (SELECT user_id AS unit, event_type AS method, max_by(value, event_id) AS value FROM events GROUP BY ALL)"
+
 
+def _logs(spark, sf) -> DataFrame:
+    return load(spark, sf, "events").select(F.col("user_id").alias("unit"), F.col("event_type").alias("method"), F.col("event_id").alias("seq"), "value")
 
+
+@query("n1_stream_logs", f"{_LATEST} SELECT method, count(DISTINCT unit) AS n_units, round(avg(value), 6) AS mean FROM l GROUP BY method")
+def n1(spark, sf):
+    path, mark = (scratch(spark, t) for t in ("arriving", "progress"))
+    logs = _logs(spark, sf)
+    logs.repartition(6).write.json(path)
+    store = LatestStore(spark, scratch(spark, "store"), logs.schema)
+    st.stream_logs(spark, path, logs.schema, store, mark, files_per_batch=2, merge_every=2).awaitTermination()
+    return st.coverage_and_means(store.rows())
+
+
+@query("n1_tiered_store", f"{_LATEST} SELECT method, count(DISTINCT unit) AS n_units, round(avg(value), 6) AS mean, 0 AS batches_left FROM l GROUP BY method")
+def n1_store(spark, sf):
+    """Two thirds of the logs are merged; then come the rest, the first ones again (late, so older rows don't win), and
+    the last batch once more; all are merged."""
+    logs = stored(_logs(spark, sf).withColumn("part", F.pmod(F.xxhash64("seq"), F.lit(3))), "logs")
+    store = LatestStore(spark, scratch(spark, "store"), logs.drop("part").schema)
+    for number, part in enumerate((0, 1)):
+        store.add(logs.filter(F.col("part") == part), number)
+    store.merge()
+    for number, part in ((2, 2), (3, 0), (3, 0)):
+        store.add(logs.filter(F.col("part") == part), number)
+    store.merge()
+    return st.coverage_and_means(store.rows()).withColumn("batches_left", F.lit(len(store.batches())))

@@ -7,31 +7,24 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
+from .store import LatestStore
 
-def stream_logs(spark: SparkSession, path: str, schema: StructType, store: str, checkpoint: str, files_per_batch: int = 100) -> StreamingQuery:
-    """Take in the JSON logs that are in `path` now: each batch appends its latest row per (unit, method) to `store`.
 
-    A batch is written to a folder of its own number, so a batch that runs again after a failure replaces itself.
+def stream_logs(spark: SparkSession, path: str, schema: StructType, store: LatestStore, checkpoint: str, files_per_batch: int = 100, merge_every: int = 20) -> StreamingQuery:
+    """Take in the JSON logs that are in `path` now: each batch adds its latest row per key to `store`, and every so many
+    batches are merged.
+
+    A batch that runs again after a failure replaces itself, or, if it was merged, changes nothing.
     """
 
     def put(batch: DataFrame, number: int) -> None:
-        latest(batch).write.mode("overwrite").parquet(f"{store}/batch={number}")
+        store.add(batch, number)
+        if number % merge_every == merge_every - 1:
+            store.merge()
 
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).json(path)
     return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def latest(df: DataFrame) -> DataFrame:
-    """The row with the largest seq per (unit, method), ties by value; an aggregate, so hot units are summed early."""
-    others = [c for c in df.columns if c not in ("unit", "method", "batch")]
-    d = df.groupBy("unit", "method").agg(F.max(F.struct("seq", *[c for c in others if c != "seq"])).alias("x"))
-    return d.select("unit", "method", "x.*")
-
-
-def stored_logs(spark: SparkSession, store: str) -> DataFrame:
-    """The latest row per (unit, method) over all batches."""
-    return latest(spark.read.parquet(store))
-
-
 def coverage_and_means(logs: DataFrame) -> DataFrame:
     return logs.groupBy("method").agg(F.count_distinct("unit").alias("n_units"), F.round(F.avg("value"), 6).alias("mean"))
