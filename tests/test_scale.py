@@ -4,15 +4,19 @@ import json
 import os
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from subsieve.operators import descriptors as de
 from subsieve.operators import fidelity as fi
+from subsieve.operators import optimize as op
+from subsieve.operators import profile as pr
 from subsieve.operators import regimes as rg
 from subsieve.operators import sampling as sa
 from subsieve.sources import listing as ls
 from subsieve.sources.trials import TrialStore, fingerprint
+from subsieve.streaming.store import LatestStore
 
 
 def _components(p, r):
@@ -167,3 +171,71 @@ def test_file_cache_over_real_folders(spark, tmp_path):
     path = tmp_path / "scenes/s2/transforms.json"
     os.utime(path, (path.stat().st_atime, path.stat().st_mtime + 5))
     assert run() == [3, 1]
+
+
+def test_swaps_by_index_equal_a_full_scan(spark):
+    rng = np.random.default_rng(6)
+    tol = {"x": 0.5, "y": 2.0}
+    rows = [(i, f"r{i % 3}", float(a), float(b)) for i, (a, b) in enumerate(rng.normal(size=(150, 2)) * [1, 5] + [3, 10])]
+    wide = spark.createDataFrame(rows, "unit long, regime string, x double, y double")
+    starts = {run: list(range(run, 150, 13 + run)) for run in (0, 1, 2)}
+    subsets = spark.createDataFrame([(run, i, f"r{i % 3}") for run, some in starts.items() for i in some], "run int, unit long, regime string")
+    members, traces, tried = op.refine_runs(wide, subsets, tol, 5)
+    v, t = np.array([r[2:] for r in rows]), np.array(list(tol.values()))
+    for run, some in starts.items():
+        cur, trace = set(some), []
+        objective = lambda c: float((np.abs(v[sorted(c)].mean(0) - v.mean(0)) / t).sum())
+        trace.append(objective(cur))
+        for _ in range(5):
+            o, new, out = min((round(objective(cur - {a} | {b}), 12), b, a) for a in cur for b in range(150) if b not in cur and a % 3 == b % 3)
+            if o >= trace[-1] - 1e-9:
+                break
+            cur = cur - {out} | {new}
+            trace.append(objective(cur))
+        assert traces[run] == pytest.approx(trace, abs=1e-9)
+        assert {r.unit for r in members.filter(F.col("run") == run).collect()} == cur
+    assert max(tried) < 0.2 * 3 * 12 * 46  # of a full scan's pairs
+    best, trace = op.refine_restarts(wide, subsets.filter("run = 0").select("unit", "regime"), tol, 5, restarts=2)
+    assert trace[-1] <= traces[0][-1] and best.count() == len(starts[0])
+
+
+def test_correlations_of_many_columns(spark):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(60, 500))
+    x[:, 3] = 1e6 + x[:, 4] * 1e-3  # a large mean
+    x[:, 5] = 2.5
+    x[rng.random(x.shape) < 0.1] = np.nan
+    x[:40, 6] = np.nan
+    names = [f"c{i:03}" for i in range(500)]
+    d = spark.createDataFrame([tuple(None if np.isnan(v) else float(v) for v in r) for r in x], ", ".join(f"{c} double" for c in names)).repartition(3)
+    got = {(r.a, r.b): r["corr"] for r in pr.correlation_long(d, names).collect()}
+    want = pd.DataFrame(x, columns=names).corr()
+    assert len(got) == 500 * 499 // 2
+    for (a, b), r in got.items():
+        w = None if "c005" in (a, b) else want.loc[a, b]
+        assert (r is None) == (w is None) and (r is None or abs(r - w) < 1e-6)
+    none = pr.correlation_long(d.limit(0), names[:3]).collect()
+    assert [(r.a, r.b, r["corr"]) for r in none] == [("c000", "c001", None), ("c000", "c002", None), ("c001", "c002", None)]
+
+
+def test_latest_store(spark, tmp_path):
+    schema = "unit string, method string, seq long, value double"
+    rows = lambda *r: spark.createDataFrame(list(r), schema)
+    store = LatestStore(spark, f"file://{tmp_path}", rows().schema, buckets=4)
+    now = lambda: {(r.unit, r.method): (r.seq, r.value) for r in store.rows().collect()}
+    assert now() == {} and store.merge() == []
+    store.add(rows(*[(f"u{i}", "m", 1, float(i)) for i in range(20)]), 0)
+    assert store.merge() == [0, 1, 2, 3] and store.batches() == [] and len(now()) == 20
+    files = lambda: {p.parent.name: p.stat().st_mtime_ns for p in tmp_path.glob("merged/bucket=*/*.parquet")}
+    before = files()
+    store.add(rows(("u3", "m", 5, 50.0), ("u3", "m", 4, 40.0)), 1)
+    assert now()["u3", "m"] == (5, 50.0)
+    hit = store.merge()
+    assert len(hit) == 1 and {b for b, t in files().items() if before[b] != t} == {f"bucket={hit[0]}"}  # the other buckets stay as they are
+    store.add(rows(("u3", "m", 2, 20.0), ("u4", "m", 1, 4.0)), 2)  # late and older, and known already
+    want = now()
+    store.merge()
+    store.add(rows(("u3", "m", 2, 20.0), ("u4", "m", 1, 4.0)), 2)  # the same batch again, after it was merged
+    assert now() == want and want["u3", "m"] == (5, 50.0) and len(want) == 20
+    store.merge()
+    assert now() == want
