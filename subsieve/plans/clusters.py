@@ -11,7 +11,8 @@ from ..operators import optimize as op
 from ..operators import regimes as rg
 from ..operators import reliability as re_
 from ..operators import sampling as sa
-from ..sources.tables import load, stored
+from ..sources import files as fs
+from ..sources.tables import load, scratch, stored
 from . import audit
 from .audit import BASE, BUDGETS, DRAWN, EQUAL, FRONT, SEED, SUB, TRIALS, Audit, draws_sql, sql
 from .profiles import FEATURES, descriptors, rounded
@@ -317,7 +318,11 @@ def shapes(spark, sf, s: DataFrame) -> DataFrame:
 
 
 def sweep(spark, sf, units: DataFrame | None = None, only: int | None = None) -> DataFrame:
-    """grouping, k, b, size, feasible and the summary of a simulation of each grouping and budget, over some units."""
+    return swept_draws(spark, sf, units, only)[0]
+
+
+def swept_draws(spark, sf, units: DataFrame | None = None, only: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(grouping, k, b, size, feasible and the summary of a simulation of each grouping and budget, over some units; the draws)."""
     a = Audit(spark, sf)
     s = a.scores if units is None else stored(a.scores.join(units, "unit", "left_semi"), "scores")
     a.scores, a.pop = s, audit.population(s)
@@ -329,8 +334,9 @@ def sweep(spark, sf, units: DataFrame | None = None, only: int | None = None) ->
     frame = sa.budget_frame(pop, BUDGETS, by).groupBy(*by, "b").agg(F.count(F.lit(1)).alias("k"), F.min("n").alias("smallest"))
     d = frame.join(su, [*by, "b"], "left")
     zero, no = F.lit(0.0), F.lit(False)
-    return d.select(*by, "k", "b", (F.col("b") * F.col("k")).alias("size"), (F.col("b") <= F.col("smallest")).alias("feasible"), F.coalesce("rate", zero).alias("rate"), F.coalesce("lcb", zero).alias("lcb"),
+    d = d.select(*by, "k", "b", (F.col("b") * F.col("k")).alias("size"), (F.col("b") <= F.col("smallest")).alias("feasible"), F.coalesce("rate", zero).alias("rate"), F.coalesce("lcb", zero).alias("lcb"),
                     "best_objective", F.coalesce("best_pass", no).alias("best_pass"), F.coalesce("best_regime_pass", no).alias("best_regime_pass"), "best_trial")
+    return d, draws
 
 
 @query("j6_joint_sweep", f"WITH {SHAPES}, sw AS ({swept()}), ch AS {chosen('sw', 0.2, 60)} SELECT sw.*, NOT EXISTS (SELECT 1 FROM sw y WHERE y.lcb >= sw.lcb AND y.size <= sw.size AND (y.lcb > sw.lcb OR y.size < sw.size)) AS pareto, row_number() OVER (ORDER BY sw.lcb DESC, sw.size, sw.silhouette DESC NULLS LAST, sw.grouping, sw.b) AS rank, (sw.grouping, sw.b) = (SELECT (grouping, b) FROM ch) AS recommended FROM sw")
@@ -347,6 +353,27 @@ def j6(spark, sf):
     return re_.select_joint(d.drop("k").withColumnRenamed("grouping", "k"), 0.2, 60).withColumnRenamed("k", "grouping")
 
 
+def manifest_sql(regime: str) -> str:
+    """The best draw of each budget."""
+    parts = [base_sql(regime), EQUAL, draws_sql("alloc"), audit.RUNTIME, audit.WIDE, audit.sim_sql(), *audit.summary_sql()]
+    return "(" + sql(*parts, "SELECT d.b, d.trial, d.unit, d.regime FROM draws d JOIN su ON d.b = su.b AND d.trial = su.best_trial") + ")"
+
+
+@query("j6_exported_subset", f"WITH {SHAPES}, sw AS ({swept()}), ch AS {chosen('sw', 0.2, 60)}, mf AS (" + " UNION ALL ".join(f"SELECT {k} AS grouping, * FROM {manifest_sql(e)}" for k, e in REGIMES.items()) + ") SELECT grouping, b, trial, unit, regime FROM mf JOIN ch USING (grouping, b)")
+def j6_exported(spark, sf):
+    """A manifest of the best draw is written for each grouping and budget that can be drawn; read back is that of the
+    recommended row."""
+    summary, draws = swept_draws(spark, sf)
+    summary = stored(summary.join(shapes(spark, sf, audit.scores(spark, sf)), "grouping"), "summary")
+    best = summary.filter("feasible").select("grouping", "b", F.col("best_trial").alias("trial"))
+    path = scratch(spark, "manifests")
+    fs.write_manifests(draws.join(best, ["grouping", "b", "trial"], "left_semi").select("grouping", "b", "trial", "unit", "regime"), path, ["grouping", "b"])
+    one = re_.select_joint(summary.drop("k").withColumnRenamed("grouping", "k"), 0.2, 60).select(F.col("k").alias("grouping"), "b").first()
+    kept = spark.read.option("header", True).schema("trial int, unit long, regime string, grouping int, b int").csv(path)
+    at = (F.col("grouping") == one["grouping"]) & (F.col("b") == one["b"]) if one else F.lit(False)
+    return kept.filter(at).select("grouping", "b", "trial", "unit", "regime")
+
+
 HOLDOUT = f"{SHAPES}, " + ", ".join(f"{n} AS ({swept(split_sql(n))})" for n in ("selection", "tune", "test"))
 
 

@@ -87,9 +87,10 @@ def read_manifest(df: DataFrame, column: str) -> DataFrame:
     return df.select(F.trim(F.col(column).cast("string")).alias("unit")).filter("unit <> ''").distinct()
 
 
-def write_manifests(df: DataFrame, path: str, by: str = "b") -> None:
-    """A folder for each budget, rows in order of unit."""
-    df.repartition(by).sortWithinPartitions(by, "unit").write.partitionBy(by).option("header", True).csv(path)
+def write_manifests(df: DataFrame, path: str, by: str | list[str] = "b") -> None:
+    """A folder for each budget (and what else is in `by`), rows in order of unit."""
+    by = [by] if isinstance(by, str) else by
+    df.repartition(*by).sortWithinPartitions(*by, "unit").write.partitionBy(*by).option("header", True).csv(path)
 
 
 def write_report(df: DataFrame, path: str, order: list[str], fmt: str = "csv") -> None:
