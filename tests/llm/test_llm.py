@@ -73,13 +73,33 @@ def test_jpeg_round_trip(spark, odd, none):
     assert jpeg.from_media(jpeg.to_media(none)).count() == 0
 
 
-def test_jpeg_symbol_by_symbol(monkeypatch):
-    p = jpeg.padded(bytes(range(256)) * 3)
+@pytest.mark.parametrize("window", [1, 64, 1 << 12])
+def test_jpeg_in_windows(monkeypatch, window):
+    monkeypatch.setattr(jpeg, "_WINDOW", window)  # units longer than it make it wider
+    p = jpeg.padded(random.Random(2).randbytes(4000) + bytes(range(256)) * 3)
     m = jpeg.encode_payload(p)
-    monkeypatch.setattr(jpeg, "_DC_LENGTHS", b"other")
     assert jpeg.thumbnails(m)[0][2].tobytes() == p
-    with pytest.raises(ValueError):
-        jpeg.thumbnails(m[:-40])
+    for cut in (m[:-40], m[:-40] + b"\xff\xd9"):
+        with pytest.raises(ValueError):
+            jpeg.thumbnails(cut)
+    media, dc = _jpeg([(1, 2, 2), (2, 1, 1), (3, 1, 1)], 90, 70, 0, random.Random(3))
+    assert (jpeg.thumbnails(media)[0][2] == np.clip((dc[:9, :12] * 4 + 4 >> 3) + 128, 0, 255)).all()
+
+
+def test_jpeg_tables_are_the_usual_ones():
+    dc, ac = jpeg.codes(jpeg._DC_LENGTHS, jpeg._DC_SYMBOLS), jpeg.codes(jpeg._AC_LENGTHS, jpeg._AC_SYMBOLS)
+    assert [dc.code(s) for s in (0, 5, 6, 11)] == [(0, 2), (6, 3), (14, 4), (510, 9)]
+    assert ac.code(0) == (0b1010, 4) and ac.code(0xF0) == (0b11111111001, 11) and ac.code(0xFA) == (0xFFFE, 16)
+    assert len(set(jpeg._AC_SYMBOLS)) == len(jpeg._AC_SYMBOLS) == 162
+
+
+def test_jpeg_images_of_several_widths(spark):
+    images = [_jpeg([(1, 1, 1)], w, 72, 0, random.Random(w))[0] for w in (80, 96)]
+    alone = [jpeg.difference_hash(jpeg.thumbnails(m)[0][2]) for m in images]
+    d = spark.createDataFrame([(1, 2, b"".join(images)), (2, 2, images[0] * 2), (3, 0, None)], "doc_id long, n_bytes long, media binary")
+    got = {r.doc_id: r for r in jpeg.from_media(d).collect()}
+    assert got[1].thumbnail_hash == ",".join(alone) and got[1].images == 2 and got[1].height == 144
+    assert len(got[2].thumbnail_hash) == 16 and got[3].payload is None and got[3].thumbnail_hash is None
 
 
 def _jpeg(components, width, height, restart, rnd):
