@@ -5,8 +5,7 @@ Equal strings have equal anchors at equal places, so all comparisons stay within
 the same anchor start one after another; the bytes that they span are a segment. Anchors that occur once have nothing
 to compare. Where all of an anchor's segments are equal, all are repeats. The other anchors' segments, each different
 one once, are sharded by anchor, and each shard gets a suffix array by induced sorting and its permuted common
-prefixes; strings that share SPAN bytes with a neighbour in order are repeats. Hashes of strings drop those that occur
-once in a shard before.
+prefixes; strings that share SPAN bytes with a neighbour in order are repeats.
 
 An anchor with more than CROWD different segments isn't gathered in one shard. Its strings are dealt anew, in ranges of
 neighbouring starts, by the anchor, the place before it and the bytes that all strings of the range share, which equal
@@ -121,27 +120,11 @@ def anchor_rows(docs: DataFrame) -> DataFrame:
 
 
 def repeated_starts(segments: list[bytes]) -> list[np.ndarray]:
-    """For each of several different segments, at which places a string starts that also starts elsewhere in them."""
-    sizes = np.array([len(x) for x in segments])
-    ends = np.cumsum(sizes)
-    begin = ends - sizes
-    count = sizes - SPAN + 1
-    starts = np.arange(count.sum()) + np.repeat(begin - (np.cumsum(count) - count), count)
-    hashes = Hashes(np.frombuffer(b"".join(segments), np.uint8)).of(starts, starts + SPAN)
-    _, back, number = np.unique(hashes, return_inverse=True, return_counts=True)
-    starts = starts[number[back] > 1]
-    owner = np.searchsorted(ends, starts, side="right")
-    some, first = np.unique(owner, return_index=True)
-    low, high = (starts - begin[owner])[first], (starts - begin[owner])[np.append(first[1:], len(starts)) - 1] if len(some) else None
-    out = [np.zeros(0, np.int64)] * len(segments)
-    if len(some):
-        found = _by_suffixes([segments[i][a : b + SPAN] for i, a, b in zip(some, low, high, strict=True)])
-        for i, a, at in zip(some, low, found, strict=True):
-            out[i] = at + a
-    return out
-
-
-def _by_suffixes(segments: list[bytes]) -> list[np.ndarray]:
+    """For each of several different segments, at which places a string starts that also starts elsewhere in them.
+
+    All segments are one text, parted by a symbol below all bytes: a string comes again if its suffix and a neighbour in
+    order have SPAN bytes in common.
+    """
     sizes = np.array([len(x) + 1 for x in segments])
     begin = np.cumsum(sizes) - sizes
     s = np.frombuffer(b"\0".join([*segments, b""]), np.uint8).astype(np.int32) + 1
