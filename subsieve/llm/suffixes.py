@@ -104,18 +104,10 @@ def _names(s: np.ndarray, ordered: np.ndarray, lms: np.ndarray) -> np.ndarray:
 
 def _by_symbol(s: list[int], names: int) -> list[int]:
     """Suffixes in order of a list of numbers below `names`, whose last one is the only 0."""
-    n = len(s)
-    small = [True] * n
-    for i in range(n - 2, -1, -1):
-        small[i] = s[i] < s[i + 1] or (s[i] == s[i + 1] and small[i + 1])
-    lms = [i for i in range(1, n) if small[i] and not small[i - 1]]
-    sizes = [0] * names
-    for c in s:
-        sizes[c] += 1
-    ends, total = [], 0
-    for x in sizes:
-        total += x
-        ends.append(total)
+    n, text = len(s), np.array(s, np.int64)
+    types = _types(text)
+    lms = np.flatnonzero(types[1:] & ~types[:-1]) + 1
+    small, ends = types.tolist(), np.cumsum(np.bincount(text, minlength=names)).tolist()
 
     def induced(some: list[int]) -> list[int]:
         out = [-1] * n
@@ -123,38 +115,31 @@ def _by_symbol(s: list[int], names: int) -> list[int]:
         for i in reversed(some):
             tails[s[i]] -= 1
             out[tails[s[i]]] = i
-        heads = [e - x for e, x in zip(ends, sizes, strict=True)]
-        for i in range(n):
-            j = out[i] - 1
-            if j >= 0 and not small[j]:
-                out[heads[s[j]]] = j
-                heads[s[j]] += 1
+        heads = [0, *ends[:-1]]
+        for i in out:  # what is put in comes up later in the same pass
+            if i > 0 and not small[i - 1]:
+                c = s[i - 1]
+                out[heads[c]] = i - 1
+                heads[c] += 1
         tails = ends[:]
-        for i in range(n - 1, -1, -1):
-            j = out[i] - 1
-            if j >= 0 and small[j]:
-                tails[s[j]] -= 1
-                out[tails[s[j]]] = j
+        for i in reversed(out):
+            if i > 0 and small[i - 1]:
+                c = s[i - 1]
+                tails[c] -= 1
+                out[tails[c]] = i - 1
         out[0] = n - 1
         return out
 
-    if not lms:
+    if not len(lms):
         return induced([])
-    is_lms, after = [False] * n, {}
-    for i, j in zip(lms, [*lms[1:], n - 1], strict=True):
-        is_lms[i], after[i] = True, j + 1
-    name, last, of = -1, None, {}
-    for i in induced(lms):
-        if is_lms[i]:
-            piece = s[i : after[i]]
-            if piece != last:
-                name, last = name + 1, piece
-            of[i] = name
-    if name + 1 < len(lms):
-        lms = [lms[i] for i in _by_symbol([of[i] for i in lms], name + 1)]
-    else:
-        lms.sort(key=of.__getitem__)
-    return induced(lms)
+    is_lms, of = np.zeros(n, bool), np.empty(n, np.int64)
+    is_lms[lms] = True
+    ordered = np.array(induced(lms.tolist()), np.int64)
+    ordered = ordered[is_lms[ordered]]
+    of[ordered] = found = _names(text, ordered, lms)
+    if found[-1] + 1 < len(lms):
+        ordered = lms[_by_symbol(of[lms].tolist(), int(found[-1]) + 1)]
+    return induced(ordered.tolist())
 
 
 def permuted_prefixes(s: np.ndarray, order: np.ndarray, stop: int = 0) -> tuple[np.ndarray, np.ndarray]:
