@@ -26,22 +26,26 @@ def query(name: str, text: str | None = None):
 
 
 def _written(spark, sf) -> str:
-    """A folder of the files of all suppliers: unit=<key>/asset=<name>/<file>."""
+    """A folder of the files of all suppliers: unit=<key>/asset=<name>/part-0.txt."""
     s = load(spark, sf, "supplier").select(F.col("s_suppkey").alias("unit"), F.col("s_name").alias("name"), F.col("s_acctbal").alias("x"))
     frames = F.when(F.col("unit") % 13 == 0, "{not json").otherwise(F.to_json(F.struct("name", "x")))
     made = [("frames", frames, F.col("unit") % 11 != 0), ("points", F.col("name"), F.col("unit") % 7 != 0), ("masks", F.lit("m"), F.col("unit") % 3 == 0), ("alpha", F.lit("a"), F.col("unit") % 3 == 1)]
     files = F.filter(F.array(*[F.struct(F.lit(n).alias("asset"), text.alias("text"), there.alias("there")) for n, text, there in made]), lambda f: f["there"])
     path = scratch(spark, "files")
-    s.select("unit", F.explode(files).alias("f")).select("unit", "f.asset", "f.text").write.partitionBy("unit", "asset").text(path)
+    ls.write_files(s.repartition(spark.sparkContext.defaultParallelism).select("unit", F.explode(files).alias("f")).select(_place("unit", "f.asset"), "f.text"), path)
     return path
 
 
+def _place(unit: str, asset: str):
+    return F.format_string("unit=%s/asset=%s/part-0.txt", F.col(unit).cast("string"), F.col(asset)).alias("path")
+
+
 def _checked(spark, root: str) -> tuple[DataFrame, DataFrame]:
     """(units with error codes, the frames file of each)."""
     files = stored(ls.unit_files(ls.list_files(spark, root, "part-*"), PATTERN), "files")
     units = ls.first_missing(files.select("unit"), files, REQUIRED)
     frames = files.filter("asset = 'frames'").select("unit", "path", "modified")
-    broken = frames.join(ls.invalid_json(ls.read_whole(spark, root, "part-*").filter(F.col("path").contains("/asset=frames/"))), "path", "left_semi").select("unit", F.lit("invalid_frames").alias("broken"))
+    broken = frames.join(ls.invalid_json(ls.texts_of(frames, root)), "path", "left_semi").select("unit", F.lit("invalid_frames").alias("broken"))
     units = units.join(broken, "unit", "left").select("unit", F.coalesce("broken", "error_code").alias("error_code"))
     return stored(units, "units"), frames
 
@@ -70,7 +74,7 @@ def a9_files(spark, sf):
         if run == "one changed":
             one = _checked(spark, root)[0].filter("error_code is null").agg(F.min(F.col("unit").cast("long")).alias("unit"))
             one = one.filter("unit is not null").select("unit", F.lit("frames").alias("asset"), F.lit('{"name": "changed"}').alias("text"))
-            one.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("unit", "asset").text(root)
+            ls.write_files(one.select(_place("unit", "asset"), "text"), root)
         units, frames = _checked(spark, root)
         good = frames.join(units.filter("error_code is null"), "unit", "left_semi")
         hits, left = (stored(d, "work") for d in ls.plan_work(good, ls.load_cache(spark, cache, "unit string, n int", version), params, version))

@@ -239,3 +239,18 @@ def test_latest_store(spark, tmp_path):
     assert now() == want and want["u3", "m"] == (5, 50.0) and len(want) == 20
     store.merge()
     assert now() == want
+
+
+def test_files_are_written_listed_and_read_by_tasks(spark, tmp_path):
+    root = f"file://{tmp_path}/many"
+    texts = {f"unit={i}/asset={a}/part-0.txt": f"{a}{i}" for i in range(300) for a in ("frames", "points")} | {"unit=x/_hidden/part-0.txt": "h", "unit=x/.part-1.txt": "h", "top.txt": "ü"}
+    assert ls.write_files(spark.createDataFrame(list(texts.items()), "path string, text string"), root) == len(texts)
+    seen = {f"{root}/{p}": f"{t}\n" for p, t in texts.items() if "hidden" not in p and "/.part" not in p}
+    listed = ls.list_files(spark, root)
+    assert {r.path: r.size for r in listed.collect()} == {p: len(t.encode()) for p, t in seen.items()}
+    assert {r.path: r.text for r in ls.texts_of(listed, root).collect()} == seen
+    assert ls.list_files(spark, root, "top.*").count() == 1
+    was = {r.path: r.modified for r in listed.collect()}
+    assert ls.write_files(spark.createDataFrame([("unit=7/asset=frames/part-0.txt", "new")], "path string, text string"), root) == 1
+    assert [r.path for r in ls.list_files(spark, root).collect() if was[r.path] != r.modified] == [f"{root}/unit=7/asset=frames/part-0.txt"]
+    assert not list(tmp_path.glob("many/**/_temporary")) and not list(tmp_path.glob("many/**/*.crc"))  # no writer's folders or moves
