@@ -72,7 +72,7 @@ def a9_files(spark, sf):
     out = []
     for run, params, version in (("first", "stride=1", VERSION), ("again", "stride=1", VERSION), ("one changed", "stride=1", VERSION), ("other parameters", "stride=2", VERSION), ("other version", "stride=1", VERSION + 1)):
         if run == "one changed":
-            one = _checked(spark, root)[0].filter("error_code is null").agg(F.min(F.col("unit").cast("long")).alias("unit"))
+            one = units.filter("error_code is null").agg(F.min(F.col("unit").cast("long")).alias("unit"))
             one = one.filter("unit is not null").select("unit", F.lit("frames").alias("asset"), F.lit('{"name": "changed"}').alias("text"))
             ls.write_files(one.select(_place("unit", "asset"), "text"), root)
         units, frames = _checked(spark, root)
