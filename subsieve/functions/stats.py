@@ -32,6 +32,14 @@ def ks_critical(n: Column, m: Column) -> Column:
     return 1.358 * F.sqrt((n + m) / (n * m))
 
 
+def rounded_ratio(a: Column, n: Column, digits: int = 9) -> Column:
+    """a / n of whole numbers, rounded half away from zero in whole numbers, so no tie is left to the last bit of a double;
+    null where n is 0."""
+    wide = lambda c: F.abs(c).cast("decimal(25,0)")
+    r = F.call_function("div", 2 * wide(a) * F.lit(10**digits).cast("decimal(11,0)") + wide(n), F.when(n != 0, 2 * wide(n)))
+    return F.signum(a.cast("double")) * F.signum(n.cast("double")) * r / float(10**digits)
+
+
 def to_double(c) -> Column:
     """A number, or null for what isn't one; NaN is null."""
     c = F.col(c) if isinstance(c, str) else c

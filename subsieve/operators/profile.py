@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.stats import adjusted_skewness, quantiles, running_counts, to_double, unpivot
+from ..functions.stats import adjusted_skewness, quantiles, rounded_ratio, running_counts, running_sums, to_double, unpivot
 from ..sources.tables import stored
 
 QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
@@ -153,13 +153,11 @@ def varying_features(profile: DataFrame, cols: list[str], n: int) -> DataFrame:
 
 def ecdf_table(pop: DataFrame, subset: DataFrame) -> DataFrame:
     """value, pop_share, subset_share at each value of the population (a subset of it is the other)."""
-    p = running_counts(pop, []).select("value", (F.col("le") / F.col("n")).alias("pop_share"))
+    p = running_counts(pop, []).select("value", rounded_ratio(F.col("le"), F.col("n")).alias("pop_share"))
     marked = pop.join(subset.select("unit", F.lit(1).alias("s")).distinct(), "unit", "left")
-    from ..functions.stats import running_sums
-
     c = marked.groupBy("value").agg(F.sum(F.coalesce("s", F.lit(0))).alias("s"))
     c = running_sums(c, [], "value", ["s"]).crossJoin(c.agg(F.sum("s").alias("n")))
-    return p.join(c.select("value", (F.col("upto_s") / F.col("n")).alias("subset_share")), "value").select("value", F.round("pop_share", 9).alias("pop_share"), F.round("subset_share", 9).alias("subset_share"))
+    return p.join(c.select("value", rounded_ratio(F.col("upto_s"), F.col("n")).alias("subset_share")), "value").select("value", "pop_share", "subset_share")
 
 
 # ---- transforms

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.stats import rounded_ratio
 from ..operators import profile as pr
 from ..operators import sampling as sa
 from ..sources.tables import load, stored
@@ -184,9 +185,19 @@ def c15(spark, sf):
     return pr.varying_features(profile(spark, sf), FEATURES, 4)
 
 
-@query("c16_ecdf_table", sql(DESC, "c AS (SELECT price_avg AS value, count(*) AS p, count(*) FILTER (unit % 7 = 0) AS s FROM desc_ GROUP BY 1)", "SELECT value, round(sum(p) OVER (ORDER BY value)::DOUBLE / sum(p) OVER (), 9) AS pop_share, round(sum(s) OVER (ORDER BY value)::DOUBLE / sum(s) OVER (), 9) AS subset_share FROM c"))
+# mean prices and shares from whole numbers: a mean of doubles depends on the order of rows, and with 32 line items often lies on a tie of the ninth digit
+EXACT = """
+cents AS (SELECT l_partkey AS unit, sum(round(l_extendedprice * 100)::BIGINT) AS s, count(l_extendedprice) AS n FROM lineitem GROUP BY 1),
+c AS (SELECT sign(s) * ((20000 * abs(s) + n) // (2 * n)) / 1e9::DOUBLE AS value, count(*) AS p, count(*) FILTER (unit % 7 = 0) AS s FROM cents WHERE unit IN (SELECT p_partkey FROM part) GROUP BY 1),
+u AS (SELECT value, sum(p) OVER (ORDER BY value) AS p, sum(p) OVER () AS np, sum(s) OVER (ORDER BY value) AS s, sum(s) OVER () AS ns FROM c)"""
+
+
+@query("c16_ecdf_table", sql(EXACT, "SELECT value, ((2000000000 * p + np) // (2 * np))::DOUBLE / 1e9::DOUBLE AS pop_share, ((2000000000 * s + ns) // nullif(2 * ns, 0))::DOUBLE / 1e9::DOUBLE AS subset_share FROM u"))
 def c16(spark, sf):
-    d = stored(descriptors(spark, sf).select("unit", F.col("price_avg").alias("value")), "values")
+    """Shares of the parts, and of every seventh, whose mean price (in cents, so exact) is at most each value, in thousands."""
+    cents = load(spark, sf, "lineitem").groupBy(F.col("l_partkey").alias("unit")).agg(F.sum(F.round(F.col("l_extendedprice") * 100).cast("long")).alias("s"), F.count("l_extendedprice").alias("n"))
+    d = cents.join(load(spark, sf, "part").select(F.col("p_partkey").alias("unit")), "unit", "left_semi")
+    d = stored(d.select("unit", rounded_ratio(F.col("s"), F.col("n") * 100_000).alias("value")), "values")
     return pr.ecdf_table(d, d.filter("unit % 7 = 0"))
 
 

@@ -254,3 +254,24 @@ def test_files_are_written_listed_and_read_by_tasks(spark, tmp_path):
     assert ls.write_files(spark.createDataFrame([("unit=7/asset=frames/part-0.txt", "new")], "path string, text string"), root) == 1
     assert [r.path for r in ls.list_files(spark, root).collect() if was[r.path] != r.modified] == [f"{root}/unit=7/asset=frames/part-0.txt"]
     assert not list(tmp_path.glob("many/**/_temporary")) and not list(tmp_path.glob("many/**/*.crc"))  # no writer's folders or moves
+
+
+def test_equal_means_are_one_value_in_any_order(spark, tmp_path):
+    """Parts with the same 32 prices in other orders, and shares on a tie, beside the query's SQL."""
+    import duckdb
+    from compare import plain
+
+    from subsieve.plans import profiles
+
+    rng = np.random.default_rng(5)
+    cents = rng.integers(90_000, 10_000_000, 32)
+    cents[0] += 1 - cents.sum() % 2  # an odd sum: a tie
+    rows = [(part, float(c) / 100) for part in range(200) for c in rng.permutation(cents)] + [(200 + i, 1000.0 + i) for i in range(56)]
+    pd.DataFrame(rows, columns=["l_partkey", "l_extendedprice"]).to_parquet(tmp_path / "lineitem.parquet")
+    pd.DataFrame({"p_partkey": range(256)}).to_parquet(tmp_path / "part.parquet")
+    got = profiles.c16(spark, str(tmp_path)).toPandas()
+    assert len(got) == 57 and got["value"].max() == (20000 * int(cents.sum()) + 32) // 64 / 1e9
+    con = duckdb.connect()
+    for t in ("lineitem", "part"):
+        con.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet'")
+    assert plain(got).equals(plain(con.sql(profiles.SQL["c16_ecdf_table"]).df()))
