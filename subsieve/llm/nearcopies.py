@@ -1,8 +1,10 @@
 """Near copies: texts whose sets of five-word shingles have a Jaccard similarity of at least 0.8.
 
-Candidates come from min-hash bands: BANDS keys of ROWS minima each, met by equality joins. A pair at exactly 0.8 shares
-no key with probability (1 - 0.8 ** ROWS) ** BANDS, 3 in a million. Each candidate pair is then verified by its exact
-similarity, so nothing below 0.8 is linked.
+First candidates come from SimHash fingerprints of the shingles, by op8's search: pairs that differ in at most two of 64
+bits, found by deletion-variant signatures. Fingerprints of texts at 0.8 differ in about ten bits, which no signatures of
+64 bits find at scale, so what they leave in different groups goes on to min-hash bands: BANDS keys of ROWS minima each,
+met by equality joins. A pair at exactly 0.8 shares no key with probability (1 - 0.8 ** ROWS) ** BANDS, 3 in a million.
+Each candidate pair of either kind is verified by its exact similarity, so nothing below 0.8 is linked.
 
 Texts with one set of shingles are one node. A key's nodes are first held against its hub only, the node that meets most
 others over all its keys, which is the most central one of a group of near copies; so a large group isn't expanded into
@@ -26,6 +28,7 @@ from pyspark.sql import functions as F
 
 from ..functions.graph import components
 from .common import fresh, materialize, small_batches, text_or_empty
+from .simhash import majority, near_links
 
 SEED = 42
 SHINGLE = 5
@@ -86,17 +89,18 @@ def jaccard(x: np.ndarray, ys: list[np.ndarray]) -> np.ndarray:
 
 
 def _sets(batches):
-    """id, h, node (hash of the set), n (its size) and keys of each text."""
+    """id, h, node (hash of the set), n (its size), keys and fingerprint of each text."""
     for b in batches:
-        nodes, sizes, keys = [], [], []
+        nodes, sizes, keys, prints = [], [], [], []
         for t in b.column("text"):
             s = shingles(t.as_py())
             nodes.append(np.uint64(xxhash.xxh64_intdigest(s.tobytes(), SEED)).astype(np.int64))
             sizes.append(len(s))
             keys.append(bands(s))
+            prints.append(majority(s))
         yield pa.RecordBatch.from_arrays(
-            [b.column("k"), b.column("h"), b.column("doc_id"), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64()))],
-            ["k", "h", "doc_id", "node", "n", "keys"],
+            [b.column("k"), b.column("h"), b.column("doc_id"), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64())), pa.array(prints, pa.int64())],
+            ["k", "h", "doc_id", "node", "n", "keys", "fp"],
         )
 
 
@@ -234,22 +238,37 @@ def _pair(a: str, b: str) -> list:
     return [F.greatest(a, b).alias("a"), F.least(a, b).alias("b")]
 
 
+def by_fingerprint(nodes: DataFrame) -> DataFrame:
+    """(a, b): candidate pairs of nodes (node, fp). Of each fingerprint the least node meets the others, and that of each
+    fingerprint within two bits."""
+    first = materialize(nodes.groupBy("fp").agg(F.min("node").alias("rep")), "prints")
+    same = nodes.join(first, "fp").filter("node != rep").select(*_pair("node", "rep"))
+    near = near_links(first.select("fp")).join(first.toDF("a", "x"), "a").join(first.toDF("b", "y"), "b")
+    return same.union(near.select(*_pair("x", "y"))).distinct()
+
+
 def groups(docs: DataFrame) -> DataFrame:
     """(k, h, doc_id, root) of each row of docs (doc_id, text): rows of one root are linked. Null text is empty."""
     small_batches(docs.sparkSession)
-    d = materialize(_keyed(docs).mapInArrow(_sets, f"k long, h long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, node long, n int, keys array<long>"), "sets")
-    nodes = materialize(d.select("node", "k", "h", "n", "keys").dropDuplicates(["node"]), "nodes")
+    d = materialize(_keyed(docs).mapInArrow(_sets, f"k long, h long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, node long, n int, keys array<long>, fp long"), "sets")
+    nodes = materialize(d.select("node", "k", "h", "n", "keys", "fp").dropDuplicates(["node"]), "nodes")
+    alike = materialize(by_fingerprint(nodes.select("node", "fp")), "alike")
     keys = nodes.select("node", "n", F.explode("keys").alias("group"))
     met = keys.groupBy("group").agg(F.count(F.lit(1)).alias("of")).filter("of > 1")
     shared = materialize(keys.join(materialize(met, "met"), "group"), "shared")
     scores = materialize(shared.groupBy("node").agg(F.sum("of").alias("score")), "scores")
     shared = materialize(shared.join(scores, "node"), "scored")
-    need = nodes.join(scores.select("node"), "node", "left_semi").select("k", "h", "node")
+    asked = scores.select("node").union(alike.select("a")).union(alike.select("b"))
+    need = nodes.join(asked, "node", "left_semi").select("k", "h", "node")
     texts = materialize(_keyed(docs).join(need, ["k", "h"]).select("node", "text").dropDuplicates(["node"]), "texts")
 
+    found = _links(alike, texts)
+    roots = materialize(components(found).toDF("node", "root"), "roots")
     hubs = materialize(shared.groupBy("group").agg(F.max(F.struct("score", "node"))["node"].alias("hub")), "hubs")
-    tried = materialize(shared.join(hubs, "group").filter("node != hub").select(*_pair("node", "hub")).distinct(), "tried")
-    links = _links(tried, texts)
+    tried = shared.join(hubs, "group").filter("node != hub").select(*_pair("node", "hub")).distinct()
+    tried = tried.join(roots.toDF("a", "a_root"), "a", "left").join(roots.toDF("b", "b_root"), "b", "left")
+    tried = materialize(tried.filter("coalesce(a_root, a) != coalesce(b_root, b)").select("a", "b"), "tried")
+    links = found.union(_links(tried, texts))
     roots = materialize(components(links).toDF("node", "root"), "roots")
     links = links.union(_among_groups(_open(shared.select("group", "node"), roots), nodes, texts))
     roots = materialize(components(links).toDF("node", "root"), "roots")

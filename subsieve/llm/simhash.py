@@ -33,7 +33,11 @@ def fingerprint(text: str) -> int:
     if not words:
         return 0
     shingles = zip(*(words[i:] for i in range(SHINGLE)), strict=False) if len(words) >= SHINGLE else [words]
-    h = np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in map(b" ".join, shingles)), np.uint64)
+    return majority(np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in map(b" ".join, shingles)), np.uint64))
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits that more than half of the hashes have, as a signed number; 0 without hashes."""
     ones = np.zeros(64, np.int64)
     for i in range(0, len(h), _AT_ONCE):
         ones += np.unpackbits(h[i : i + _AT_ONCE].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)

@@ -386,6 +386,24 @@ def test_near_copies_stage(spark, monkeypatch, block):
     assert sorted(r.doc_id for r in kept.collect()) == [i for i in range(len(texts)) if top(i) == i]
 
 
+def test_near_copies_begin_with_fingerprints(spark):
+    """The stage's candidates by fingerprint: copies within two bits meet, whatever min-hash makes of them."""
+    rng = np.random.default_rng(8)
+    base = [[f"w{x}" for x in rng.integers(0, 5000, 3000)] for _ in range(12)]
+    texts = [" ".join(w) for w in base] + [" ".join([*w[:-1], "other"]) for w in base]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = [nearcopies.shingles(t) for t in texts]
+    prints = [simhash.majority(s) for s in sets]
+    close = {(i, j) for i in range(24) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= 2}
+    assert {(i + 12, i) for i in range(12)} <= close
+    nodes = spark.createDataFrame(list(enumerate(prints)), "node long, fp long")
+    assert {(r.a, r.b) for r in nearcopies.by_fingerprint(nodes).collect()} >= {(i, j) for i, j in close if prints.index(prints[i]) == i and prints.index(prints[j]) == j}
+    linked = nearcopies._links(nearcopies.by_fingerprint(nodes), d.toDF("node", "text"))
+    roots = nearcopies.components(linked).collect()
+    assert {(r.node, r.root) for r in roots} == {(i + 12, i) for i in range(12)} | {(i, i) for i in range(12)}
+    assert sorted(r.doc_id for r in nearcopies.keep_one(d).collect()) == list(range(12))
+
+
 def test_parities_never_hide_a_near_copy():
     rnd = np.random.default_rng(2)
     for n in (1, 7, 100, 3000):
