@@ -54,20 +54,41 @@ def silhouette(df: DataFrame, label: str = "label", key: str = "unit") -> DataFr
     return d.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(s), 6).alias("silhouette"))
 
 
-BLOCK = 1024  # units of a block
+BLOCK, WIDE = 1024, 16  # units of a block, and how many times that a block has where blocks would be over 8
+
+
+def _sums(x: np.ndarray, y: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """Sums of the distances of each x to the y of each label (of: a column for each label), in tiles that stay in a core's cache."""
+    total = np.zeros((len(x), of.shape[1]))
+    for at in range(0, len(y), 1024):
+        some, label = y[at : at + 1024], of[at : at + 1024]
+        turned, square = np.ascontiguousarray(-2 * some.T), (some**2).sum(1)
+        for i in range(0, len(x), 64):
+            part = x[i : i + 64]
+            own = (part**2).sum(1)
+            far = part @ turned
+            far += own[:, None]
+            far += square
+            least = 1e-4 * (own + square.max())
+            for p in np.flatnonzero(far.min(1) < least):
+                q = np.flatnonzero(far[p] < least[p])
+                far[p, q] = ((part[p] - some[q]) ** 2).sum(1)
+            total[i : i + 64] += np.sqrt(far, out=far) @ label
+    return total
 
 
 def distance_sums(df: DataFrame, label: str = "label", key: str = "unit", within: bool = False, asked: DataFrame | None = None) -> DataFrame:
     """key, label, other, total, n: number and sum of Euclidean distances of each unit, or of those in asked (key), to the
     other units of each label, or of its own label only (`within`).
 
-    These sums are over all pairs by definition. Units are dealt into blocks of about BLOCK; each two blocks (of one
-    label, if `within`) meet in a task of their own and give a row for each unit and label, so no label is gathered in a
-    task, however many units it has; a vector is sent once for each block that it meets.
+    These sums are over all pairs by definition. Units are dealt into blocks of BLOCK to WIDE * BLOCK; each two blocks (of
+    one label, if `within`) meet in a task of their own and give a row for each unit and label, so no label is gathered in
+    a task, however many units it has; a vector is sent once for each block that it meets. Distances come from products
+    of matrices; those that are small beside the vectors, where that loses digits, from differences.
     """
     scope = F.col(label) if within else F.lit(0)
     d = df.select(F.col(key).alias("x"), F.col(label).alias("lx"), "v", scope.alias("scope"))
-    sizes = d.groupBy(F.col("scope").alias("of")).agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
+    sizes = d.groupBy(F.col("scope").alias("of")).agg(F.greatest(F.ceil(F.count(F.lit(1)) / (WIDE * BLOCK)), F.least(F.lit(8), F.ceil(F.count(F.lit(1)) / BLOCK))).cast("long").alias("blocks"))
     d = stored(d.join(sizes, F.col("scope").eqNullSafe(F.col("of"))).select("x", "lx", "v", "scope", "blocks", F.pmod(F.xxhash64("x"), "blocks").alias("block")), "blocks")
     every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
     left = d if asked is None else d.join(asked.select(F.col(key).alias("x")), "x", "left_semi")
@@ -79,13 +100,14 @@ def distance_sums(df: DataFrame, label: str = "label", key: str = "unit", within
         out = []
         if len(a) and len(b):
             y, codes, labels = np.array(b["w"].tolist(), float), *pd.factorize(b["ly"], use_na_sentinel=False)
-            for at in range(0, len(a), 32):
-                part = a[at : at + 32]
-                far = np.sqrt(((np.array(part["v"].tolist(), float)[:, None] - y[None]) ** 2).sum(2))
-                other = part["x"].to_numpy()[:, None] != b["y"].to_numpy()[None]
-                for k, name in enumerate(labels):
-                    inside = other & (codes == k)[None]
-                    out.append(pd.DataFrame({"x": part["x"], "lx": part["lx"], "ly": name, "total": (far * inside).sum(1), "n": inside.sum(1)}))
+            x = np.array(a["v"].tolist(), float)
+            of, sizes = np.eye(len(labels))[codes], np.bincount(codes, minlength=len(labels))
+            total, n = _sums(x, y, of), np.tile(sizes, (len(x), 1))
+            same = pd.DataFrame({"x": a["x"].to_numpy(), "p": range(len(x))}).merge(pd.DataFrame({"x": b["y"].to_numpy(), "q": range(len(y))}), on="x")
+            p, q = same["p"].to_numpy(), same["q"].to_numpy()  # a unit isn't one of the others
+            np.subtract.at(total, (p, codes[q]), np.sqrt(((x[p] - y[q]) ** 2).sum(1)))
+            np.subtract.at(n, (p, codes[q]), 1)
+            out = [pd.DataFrame({"x": a["x"], "lx": a["lx"], "ly": name, "total": total[:, k], "n": n[:, k]}) for k, name in enumerate(labels)]
         return pd.concat(out) if out else pd.DataFrame({"x": [], "lx": [], "ly": [], "total": [], "n": []})
 
     met = left.groupBy("scope", "i", "j").cogroup(right.groupBy("scope2", "i2", "j2")).applyInPandas(pairs, f"x {ids}, lx {kind}, ly {kind}, total double, n long")

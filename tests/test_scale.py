@@ -275,3 +275,20 @@ def test_equal_means_are_one_value_in_any_order(spark, tmp_path):
     for t in ("lineitem", "part"):
         con.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet'")
     assert plain(got).equals(plain(con.sql(profiles.SQL["c16_ecdf_table"]).df()))
+
+
+def test_distance_sums_of_copies_and_far_vectors(spark):
+    """By products of matrices, but exact for copies and near ones beside far larger vectors; few, large blocks."""
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(2500, 6)) + 1000
+    v[::5] = v[0]
+    v[1::5] = v[1] + rng.normal(size=(500, 6)) * 1e-6
+    rows = pd.DataFrame({"unit": range(2500), "label": np.arange(2500) % 5, "v": v.tolist()})
+    got = rg.distance_sums(spark.createDataFrame(rows)).toPandas().set_index(["unit", "other"]).sort_index()
+    for unit in (0, 1, 6, 2499):
+        far = np.sqrt(((v - v[unit]) ** 2).sum(1))
+        for other in range(5):
+            inside = (np.arange(2500) % 5 == other) & (np.arange(2500) != unit)
+            assert got.loc[(unit, other), "n"] == inside.sum()
+            assert got.loc[(unit, other), "total"] == pytest.approx(far[inside].sum(), rel=1e-9, abs=1e-15)
+    assert len(rg._sums(v[:3], v, np.eye(5)[rows["label"]])) == 3
