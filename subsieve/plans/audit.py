@@ -51,11 +51,13 @@ def raw_scores(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def scores(spark: SparkSession, sf: str) -> DataFrame:
-    """Scores of units that every method has."""
-    s = raw_scores(spark, sf)
-    methods = s.select("method").distinct().count()
-    common = s.filter("metric = 'qty'").groupBy("unit").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") == methods)
-    return stored(s.join(common.select("unit"), "unit", "left_semi"), "scores")
+    """Scores of units that every method has. Line items are read once; what follows is worked out of the means."""
+    regimes = load(spark, sf, "part").select(F.col("p_partkey").alias("unit"), F.col("p_type").alias("regime"))
+    w = stored(wide_scores(spark, sf).join(regimes, "unit"), "means")
+    methods = w.select("method").distinct().count()
+    common = w.groupBy("unit").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") == methods)
+    s = unpivot(w.join(common.select("unit"), "unit", "left_semi"), ["unit", "regime", "method"], ["price", "disc", "qty"], "metric")
+    return stored(s, "scores")
 
 
 def population(s: DataFrame) -> DataFrame:

@@ -292,3 +292,20 @@ def test_distance_sums_of_copies_and_far_vectors(spark):
             assert got.loc[(unit, other), "n"] == inside.sum()
             assert got.loc[(unit, other), "total"] == pytest.approx(far[inside].sum(), rel=1e-9, abs=1e-15)
     assert len(rg._sums(v[:3], v, np.eye(5)[rows["label"]])) == 3
+
+
+def test_line_items_are_read_once_for_scores_and_once_for_descriptors(spark, monkeypatch):
+    """What each written table reads: the line items, then only what was made of them."""
+    from subsieve.plans import audit, clusters
+    from subsieve.sources import tables
+
+    sf, read = "/root/testdata/sf0.001", []
+
+    def seen(df, tag, keep=False):
+        read.append(any("lineitem" in f for f in df.inputFiles()))
+        return tables.stored(df, tag, keep)
+
+    monkeypatch.setattr(audit, "stored", seen)
+    monkeypatch.setattr(clusters, "stored", seen)
+    assert audit.scores(spark, sf).count() and read == [True, False]
+    assert clusters.parts(spark, sf).count() and read == [True, False, True, False]
