@@ -40,7 +40,7 @@ X = "x AS (SELECT unit, label, unnest(v) AS x, unnest(range(0, len(v))) AS i FRO
 
 
 def parts(spark, sf) -> DataFrame:
-    return stored(rg.scaled(descriptors(spark, sf), FEATURES), "scaled")
+    return stored(rg.scaled(stored(descriptors(spark, sf), "descriptors"), FEATURES), "scaled")
 
 
 @query("f1_cluster_regimes")
